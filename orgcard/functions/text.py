@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,21 @@ from pyspark.sql import functions as F
 WIDE_BLANKS = r"(?=[^\x00-\x7F])[\x{00A0}\x{1680}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+def built_once(make):
+    """Reuse the columns that ``make`` builds from hashable arguments: the large expressions take
+    thousands of calls into the JVM, and they name columns only, so every plan can share them."""
+    built: dict = {}
+
+    @wraps(make)
+    def cached(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in built:
+            built[key] = make(*args)
+        return built[key]
+
+    return cached
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,15 +8,20 @@ shuffle is needed. The two Arrow functions here and the name ratio are the only
 from __future__ import annotations
 
 import json
+import sys
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from orgcard.functions.text import let
 
+# Executors get the functions of this module by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values ---------------------------------------------------------------------------
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()

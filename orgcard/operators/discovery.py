@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from orgcard.functions import html as H
 from orgcard.functions import tree as T
-from orgcard.functions.text import contains_any, let
-from orgcard.functions.urls import contact_score, host, is_valid_url, resolve, url_key
+from orgcard.functions.text import built_once, contains_any, let
+from orgcard.functions.urls import (
+    authority, contact_score, host, is_valid_url, resolve, scheme, url_key,
+)
 from orgcard.operators.extraction import with_trees
 from orgcard.operators.storage import materialize
 from orgcard.sources import dims
@@ -43,56 +45,78 @@ def _tagged(source: int, urls: Column) -> Column:
     )
 
 
+def _area(source: int, nodes: Column) -> Column:
+    return F.transform(nodes, lambda n: F.struct(F.lit(source).alias("source_ord"), n["id"], n["end"]))
+
+
 def _area_links(base: Column, areas: Column, terms: list[str], patterns: bool) -> Column:
+    """Contact references inside the areas; the first area that holds an anchor names the source."""
     nodes, text = F.col("tree.nodes"), F.col("tree.text")
-    anchors = F.filter(
-        T.descendants(nodes, areas),
-        lambda n: (n["tag"] == "a")
-        & n["href"].isNotNull()
-        & is_contact_reference(n["href"], T.subtree_text(n, text), terms, patterns),
-    )
-    return _absolute(base, F.transform(anchors, lambda n: n["href"]))
 
+    def of(areas: Column) -> Column:
+        anchors = F.filter(
+            T.descendants(nodes, areas),
+            lambda n: (n["tag"] == "a")
+            & n["href"].isNotNull()
+            & is_contact_reference(n["href"], T.subtree_text(n, text), terms, patterns),
+        )
+        tagged = F.transform(
+            anchors,
+            lambda n: F.struct(
+                F.array_min(F.filter(areas, lambda a: T.inside(n, a)))["source_ord"].alias("source_ord"),
+                resolve(base, n["href"]).alias("url"),
+            ),
+        )
+        return F.filter(tagged, lambda t: is_valid_url(t["url"]))
 
-def homepage_links(homes: DataFrame, terms: list[str] | None = None, patterns: bool = False) -> DataFrame:
-    """(site_key, url, sources[], sitemaps[]) of homepages (site_key, url, html).
+    return let(areas, of)
 
-    ``sources`` are contact page addresses with their source, found on the homepage itself.
-    """
-    terms = dims.literal_terms() if terms is None else terms
+
+@built_once
+def _homepage_columns(terms: tuple[str, ...], patterns: bool) -> tuple[Column, Column]:
+    """Contact page sources and sitemap addresses over the columns html, url, text, tree."""
     html, base, nodes = F.col("html"), F.col("url"), F.col("tree.nodes")
-    prepared = with_trees(homes, NEEDS_TREE)
+    none = F.array().cast("array<string>")
     header = F.filter(nodes, lambda n: n["tag"].isin("header", "nav"))
     footer = F.filter(nodes, lambda n: n["tag"] == "footer")
     main_nav = F.filter(nodes, lambda n: T.class_like(n, dims.NAV_CLASS))
-
-    def links(source: int, areas: Column) -> Column:
-        found = let(areas, lambda a: _area_links(base, a, terms, patterns))
-        return _tagged(source, F.coalesce(found, F.array().cast("array<string>")))
-
-    own = F.when(H.relevance(html, F.col("text")) > dims.SELF_RELEVANCE, F.array(base)).otherwise(
-        F.array().cast("array<string>")
-    )
+    areas = F.concat(*[_area(i + 1, found) for i, found in enumerate((header, footer, main_nav))])
+    own = F.when(H.relevance(html, F.col("text")) > dims.SELF_RELEVANCE, F.array(base)).otherwise(none)
     sources = F.concat(
         _tagged(0, own),
-        links(1, header), links(2, footer), links(3, main_nav),
-        _tagged(4, F.transform(H.json_ld_contact_urls(html, terms), lambda u: resolve(base, u))),
+        F.coalesce(_area_links(base, areas, list(terms), patterns), _tagged(0, none)),
+        _tagged(4, F.transform(H.json_ld_contact_urls(html, list(terms)), lambda u: resolve(base, u))),
         _tagged(5, F.transform(H.contact_metas(html), lambda u: resolve(base, u))),
     )
-    sitemaps = F.transform(
-        F.filter(H.anchors(html), lambda a: a["href"].rlike("(?i)sitemap")),
-        lambda a: resolve(base, a["href"]),
+    sitemaps = F.when(
+        html.rlike("(?i)href[^>]*sitemap"),
+        F.transform(
+            F.filter(H.anchors(html), lambda a: a["href"].rlike("(?i)sitemap")),
+            lambda a: resolve(base, a["href"]),
+        ),
+    ).otherwise(none)
+    return sources, sitemaps
+
+
+def homepage_links(homes: DataFrame, terms: list[str] | None = None, patterns: bool = False) -> DataFrame:
+    """(site_key, url, sources[], sitemaps[]) of homepages (site_key, url, html).
+
+    ``sources`` are contact page addresses with their source, found on the homepage itself.
+    """
+    terms = dims.literal_terms() if terms is None else terms
+    sources, sitemaps = _homepage_columns(tuple(terms), patterns)
+    return with_trees(homes, NEEDS_TREE).select(
+        "site_key", "url", sources.alias("sources"), sitemaps.alias("sitemaps")
     )
-    return prepared.select("site_key", "url", sources.alias("sources"), sitemaps.alias("sitemaps"))
 
 
 def probes(homes: DataFrame, paths: list[str] | None = None) -> DataFrame:
-    """(site_key, url, probe_url): the common contact paths of each site."""
+    """(site_key, url, probe_url): the common contact paths (absolute) of each site."""
     paths = dims.COMMON_PATHS if paths is None else paths
-    path = F.explode(F.array(*[F.lit(p) for p in paths]))
-    return homes.select("site_key", "url", path.alias("path")).select(
-        "site_key", "url", resolve(F.col("url"), F.col("path")).alias("probe_url")
-    )
+    root = F.concat(scheme(F.col("url")), F.lit("://"), authority(F.col("url")))
+    return homes.select("site_key", "url", root.alias("root")).select(
+        "site_key", "url", F.explode(F.array(*[F.lit(p) for p in paths])).alias("path"), "root"
+    ).select("site_key", "url", F.concat("root", "path").alias("probe_url"))
 
 
 def page_relevance(pages: DataFrame) -> DataFrame:
@@ -103,6 +127,16 @@ def page_relevance(pages: DataFrame) -> DataFrame:
     )
 
 
+@built_once
+def _second_level_columns() -> list[Column]:
+    html = F.col("html")
+    return [
+        F.when(F.col("is_probe"), let(html, lambda h: H.relevance(h, H.visible_text(h)))).alias("relevance"),
+        F.when(F.col("is_map"), H.sitemap_locations(html)).alias("locations"),
+        F.when(F.col("is_map"), H.anchors(html)).alias("anchors"),
+    ]
+
+
 def _second_level(pages: DataFrame, links: DataFrame, terms: list[str], patterns: bool) -> DataFrame:
     """Contact pages that need a further page: sitemap entries and verified common paths."""
     sitemaps = links.select(
@@ -114,17 +148,10 @@ def _second_level(pages: DataFrame, links: DataFrame, terms: list[str], patterns
         F.col("probe_url").alias("wanted"),
     )
     requests = sitemaps.unionByName(guesses).withColumn("url_key", url_key(F.col("wanted")))
-    html = F.col("html")
-    body = (
-        fetch(pages, requests)
-        .select("url_key", "html", H.visible_text(html).alias("text"))
-        .select(
-            "url_key",
-            H.relevance(html, F.col("text")).alias("relevance"),
-            H.sitemap_locations(html).alias("locations"),
-            H.anchors(html).alias("anchors"),
-        )
-    )
+    body = fetch(
+        pages, requests,
+        is_probe=F.bool_or(F.col("purpose") == "probe"), is_map=F.bool_or(F.col("purpose") == "sitemap"),
+    ).select("url_key", *_second_level_columns())
     answers = requests.join(body, "url_key")
     verified = answers.filter(
         (F.col("purpose") == "probe") & (F.col("relevance") > dims.PROBE_RELEVANCE)

@@ -18,7 +18,7 @@ from orgcard import schemas
 from orgcard.functions import contacts as C
 from orgcard.functions import html as H
 from orgcard.functions import tree as T
-from orgcard.functions.text import first_where, let, strip
+from orgcard.functions.text import built_once, first_where, let, strip
 from orgcard.sources.dims import BUILDER_CLASSES, SECTION_CLASS
 
 # Steps of a page visit in order: methods 1 and 2 alternate by container, 8 and 9 by script.
@@ -129,38 +129,40 @@ def _last_leaf(leaves: Column, keys: str, predicate) -> Column:
     return F.get(fits, F.size(fits) - 1)["value"]
 
 
+@built_once
+def _text_and_tree(needs_tree: str) -> tuple[Column, Column]:
+    html = F.col("html")
+    return H.visible_text(html), T.shred(F.when(html.rlike(needs_tree), html))
+
+
 def with_trees(pages: DataFrame, needs_tree: str) -> DataFrame:
     """Add ``text`` (visible) and ``tree`` (NULL where the markup needs none)."""
-    html = F.col("html")
-    return pages.withColumn("text", H.visible_text(html)).withColumn(
-        "tree", T.shred(F.when(html.rlike(needs_tree), html))
-    )
+    text, tree = _text_and_tree(needs_tree)
+    return pages.withColumns({"text": text, "tree": tree})
 
 
-def page_evidence(
-    pages: DataFrame, deobfuscated: bool = False, decoded: bool = False,
-    boundary: bool = False, rdfa: bool = False,
-) -> DataFrame:
-    """(page_id, url, [url_key,] candidates, frames) of (page_id, url, [url_key,] html)."""
-    keep = [c for c in pages.columns if c != "html"]
-    html = F.col("html")
-    promising = F.coalesce(html.rlike(MAY_HOLD_CONTACT), F.lit(False)) | (
-        F.lit(True) if deobfuscated or decoded else F.lit(False)
-    )
-    base = pages.select(*keep, F.when(promising, html).alias("html"), H.frame_sources(html).alias("frames"))
-    prepared = (
-        with_trees(base, NEEDS_TREE)
-        .withColumn("scripts", H.scripts(html))
-        .withColumn("text", C.canonical_text(F.col("text"), deobfuscated, decoded))
-    )
-    prepared = prepared.withColumn(
-        "leaves",
-        T.json_leaves(F.flatten(F.transform("scripts", lambda s: H.extract_all(s, H.OBJECT_LITERAL, 1)))),
-    )
-    nodes, tree_text = F.col("tree.nodes"), F.col("tree.text")
-    prepared = prepared.withColumn("chunks", _section_chunks(nodes)).withColumn(
-        "n_blocks", F.coalesce(F.size(_builders(nodes)) + F.size(_sections(nodes)), F.lit(0))
-    )
+@built_once
+def _frame_sources() -> Column:
+    return H.frame_sources(F.col("html"))
+
+
+@built_once
+def _script_columns() -> tuple[Column, Column]:
+    objects = F.flatten(F.transform("scripts", lambda s: H.extract_all(s, H.OBJECT_LITERAL, 1)))
+    return H.scripts(F.col("html")), T.json_leaves(objects)
+
+
+@built_once
+def _walk_columns() -> dict[str, Column]:
+    nodes = F.col("tree.nodes")
+    n_blocks = F.coalesce(F.size(_builders(nodes)) + F.size(_sections(nodes)), F.lit(0))
+    return {"chunks": _section_chunks(nodes), "n_blocks": n_blocks}
+
+
+@built_once
+def _candidates(boundary: bool, rdfa: bool) -> Column:
+    """All methods over the columns html, text, tree, scripts, leaves, chunks, n_blocks."""
+    html, nodes, tree_text = F.col("html"), F.col("tree.nodes"), F.col("tree.text")
     text, chunks, leaves = F.col("text"), F.col("chunks"), F.col("leaves")
     bodies = F.col("scripts")
     simple = [
@@ -187,8 +189,25 @@ def page_evidence(
         F.array(*simple).cast(raw_type),
         F.coalesce(_builder_candidates(nodes, tree_text).cast(raw_type), F.array().cast(raw_type)),
     )
-    candidates = F.transform(F.filter(found, lambda c: c["raw"].isNotNull()), _with_value)
-    return prepared.select(*keep, candidates.alias("candidates"), "frames")
+    return F.transform(F.filter(found, lambda c: c["raw"].isNotNull()), _with_value)
+
+
+def page_evidence(
+    pages: DataFrame, deobfuscated: bool = False, decoded: bool = False,
+    boundary: bool = False, rdfa: bool = False,
+) -> DataFrame:
+    """(page_id, url, [url_key,] candidates, frames) of (page_id, url, [url_key,] html)."""
+    keep = [c for c in pages.columns if c != "html"]
+    html = F.col("html")
+    promising = F.lit(True) if deobfuscated or decoded else html.rlike(MAY_HOLD_CONTACT)
+    base = pages.select(*keep, F.when(promising, html).alias("html"), _frame_sources().alias("frames"))
+    scripts, leaves = _script_columns()
+    prepared = with_trees(base, NEEDS_TREE).withColumn("scripts", scripts).withColumn("leaves", leaves)
+    if deobfuscated or decoded:
+        prepared = prepared.withColumn("text", C.canonical_text(F.col("text"), deobfuscated, decoded))
+    return prepared.withColumns(_walk_columns()).select(
+        *keep, _candidates(boundary, rdfa).alias("candidates"), "frames"
+    )
 
 
 def page_candidates(pages: DataFrame, **options) -> DataFrame:
@@ -198,10 +217,9 @@ def page_candidates(pages: DataFrame, **options) -> DataFrame:
     return evidence.select(*keep, F.inline("candidates"))
 
 
-def first_contacts(pages: DataFrame, **options) -> DataFrame:
-    """One e-mail and phone per page, each page taken by itself (see ``picking`` for sites)."""
-    evidence = page_evidence(pages, **options)
-    keep = [c for c in evidence.columns if c not in ("candidates", "frames")]
+@built_once
+def _page_picks() -> tuple[Column, Column]:
+    """Where both values are known, and the winners, over the columns candidates and cutoff."""
 
     def rank(c: Column) -> Column:
         return F.struct(c["stage"], c["chunk_ord"])
@@ -211,22 +229,34 @@ def first_contacts(pages: DataFrame, **options) -> DataFrame:
         return F.array_min(F.transform(own, rank))
 
     both = known_at("email").isNotNull() & known_at("phone").isNotNull()
-    evidence = evidence.withColumn("cutoff", F.when(both, F.greatest(known_at("email"), known_at("phone"))))
+    cutoff = F.when(both, F.greatest(known_at("email"), known_at("phone")))
+
+    def ranked(kind: str, source: str) -> Column:
+        def counts(c: Column) -> Column:
+            mine = (c["kind"] == kind) & (c["source_class"] == source)
+            if source == "fill":
+                return mine
+            return mine & (c["always"] | F.col("cutoff").isNull() | (rank(c) <= F.col("cutoff")))
+
+        return F.transform(
+            F.filter("candidates", counts),
+            lambda c: F.struct(c["stage"], c["chunk_ord"], c["method_ord"], c["value"]),
+        )
 
     def pick(kind: str) -> Column:
-        def ranked(source: str) -> Column:
-            own = F.filter(
-                "candidates",
-                lambda c: (c["kind"] == kind) & (c["source_class"] == source)
-                & (c["always"] | F.col("cutoff").isNull() | (rank(c) <= F.col("cutoff")) | (F.lit(source) == "fill")),
-            )
-            return F.transform(own, lambda c: F.struct(c["stage"], c["chunk_ord"], c["method_ord"], c["value"]))
+        last = F.array_max(ranked(kind, "override"))["value"]
+        return F.coalesce(last, F.array_min(ranked(kind, "fill"))["value"]).alias(kind)
 
-        return F.coalesce(F.array_max(ranked("override"))["value"], F.array_min(ranked("fill"))["value"])
+    return cutoff, F.struct(pick("email"), pick("phone"))
 
+
+def first_contacts(pages: DataFrame, **options) -> DataFrame:
+    """One e-mail and phone per page, each page taken by itself (see ``picking`` for sites)."""
+    evidence = page_evidence(pages, **options)
+    keep = [c for c in evidence.columns if c not in ("candidates", "frames")]
+    cutoff, row = _page_picks()
     # A generator keeps later filters on the result from repeating the work above.
-    row = F.struct(pick("email").alias("email"), pick("phone").alias("phone"))
-    return evidence.select(*keep, F.inline(F.array(row)))
+    return evidence.withColumn("cutoff", cutoff).select(*keep, F.inline(F.array(row)))
 
 
 __all__ = ["page_evidence", "page_candidates", "first_contacts", "with_trees"]

@@ -91,7 +91,7 @@ def method_coverage(picked: DataFrame) -> DataFrame:
             F.inline(
                 F.array(
                     F.struct(F.lit("email").alias("kind"), F.col("email_method").alias("method_ord")),
-                    F.struct(F.lit("phone"), F.col("phone_method")),
+                    F.struct(F.lit("phone").alias("kind"), F.col("phone_method").alias("method_ord")),
                 )
             )
         )

@@ -27,31 +27,41 @@ def latest_snapshot(df: DataFrame, key: str, time: str, tie: str, columns: list[
     return df.groupBy(key).agg(picked.alias("row")).select(key, "row.*")
 
 
-def page_ids(pages: DataFrame, requests: DataFrame) -> DataFrame:
+def page_ids(pages: DataFrame, requests: DataFrame, **carried: Column) -> DataFrame:
     """One page per requested ``url_key``: the newest snapshot, then the smallest id.
 
-    Reads the URL column only, so the markup takes no part in this shuffle.
+    Reads the URL column only, so the markup takes no part in this shuffle. ``carried`` are
+    aggregates over the requests of a key.
     """
     has_time = "fetched_at" in pages.columns
     narrow = with_url_key(pages.select("page_id", "url", *(["fetched_at"] if has_time else [])))
     newest = F.struct(*(["fetched_at"] if has_time else []), (-F.col("page_id")).alias("neg_id"))
+    wanted = (
+        requests.groupBy("url_key").agg(*[c.alias(n) for n, c in carried.items()])
+        if carried else requests.select("url_key").distinct()
+    )
     return (
-        narrow.groupBy("url_key")
-        .agg(F.max(newest).alias("newest"))
-        .join(requests.select("url_key").distinct(), "url_key", "left_semi")
-        .select("url_key", (-F.col("newest.neg_id")).alias("page_id"))
+        narrow.groupBy("url_key").agg(F.max(newest).alias("newest"))
+        .join(wanted, "url_key")
+        .select("url_key", (-F.col("newest.neg_id")).alias("page_id"), *carried)
     )
 
 
-def fetch(pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """(url_key, page_id, url, html) of the requested ``url_key`` values that have a page.
+def fetch(pages: DataFrame, requests: DataFrame, **carried: Column) -> DataFrame:
+    """(url_key, page_id, url, html, carried...) of the requested keys that have a page.
 
     The markup is joined on ``page_id``, which is unique: copies of one URL cannot pile up in a
     task. A pages table stored with :func:`save_pages` needs no shuffle for it.
     """
-    ids = broadcast_if_small(materialize(page_ids(pages, requests), "page_ids"))
+    ids = broadcast_if_small(materialize(page_ids(pages, requests, **carried), "page_ids"))
     body = pages.select("page_id", "url", "html").filter(F.col("html").isNotNull())
-    return body.join(ids, "page_id").select("url_key", "page_id", "url", "html")
+    return body.join(ids, "page_id").select("url_key", "page_id", "url", "html", *carried)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores when the input has fewer splits than cores; else leave it alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def save_pages(pages: DataFrame, table: str, buckets: int) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from orgcard.sources.dims import CACHE_DAYS
@@ -30,7 +31,8 @@ def upsert_stream(
 
 def first_in_window(arriving: DataFrame, key: str, time: str, days: int = CACHE_DAYS) -> DataFrame:
     """Pass a key once per cache period: later rows within the watermark are repeats."""
-    return arriving.withWatermark(time, f"{days} days").dropDuplicatesWithinWatermark([key])
+    timed = arriving.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, f"{days} days").dropDuplicatesWithinWatermark([key])
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
