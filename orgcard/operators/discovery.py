@@ -45,31 +45,23 @@ def _tagged(source: int, urls: Column) -> Column:
     )
 
 
-def _area(source: int, nodes: Column) -> Column:
-    return F.transform(nodes, lambda n: F.struct(F.lit(source).alias("source_ord"), n["id"], n["end"]))
-
-
-def _area_links(base: Column, areas: Column, terms: list[str], patterns: bool) -> Column:
-    """Contact references inside the areas; the first area that holds an anchor names the source."""
+def _area_links(
+    source: int, base: Column, areas: Column, terms: list[str], patterns: bool
+) -> Column:
+    """Contact references inside the areas (an anchor in nested areas occurs once for each)."""
     nodes, text = F.col("tree.nodes"), F.col("tree.text")
 
-    def of(areas: Column) -> Column:
+    def of(area: Column) -> Column:
         anchors = F.filter(
-            T.descendants(nodes, areas),
+            T.descendants(nodes, area),
             lambda n: (n["tag"] == "a")
             & n["href"].isNotNull()
             & is_contact_reference(n["href"], T.subtree_text(n, text), terms, patterns),
         )
-        tagged = F.transform(
-            anchors,
-            lambda n: F.struct(
-                F.array_min(F.filter(areas, lambda a: T.inside(n, a)))["source_ord"].alias("source_ord"),
-                resolve(base, n["href"]).alias("url"),
-            ),
-        )
-        return F.filter(tagged, lambda t: is_valid_url(t["url"]))
+        return F.transform(anchors, lambda n: resolve(base, n["href"]))
 
-    return let(areas, of)
+    urls = F.filter(F.flatten(F.transform(areas, of)), lambda u: is_valid_url(u))
+    return _tagged(source, F.coalesce(urls, F.array().cast("array<string>")))
 
 
 @built_once
@@ -80,11 +72,13 @@ def _homepage_columns(terms: tuple[str, ...], patterns: bool) -> tuple[Column, C
     header = F.filter(nodes, lambda n: n["tag"].isin("header", "nav"))
     footer = F.filter(nodes, lambda n: n["tag"] == "footer")
     main_nav = F.filter(nodes, lambda n: T.class_like(n, dims.NAV_CLASS))
-    areas = F.concat(*[_area(i + 1, found) for i, found in enumerate((header, footer, main_nav))])
     own = F.when(H.relevance(html, F.col("text")) > dims.SELF_RELEVANCE, F.array(base)).otherwise(none)
     sources = F.concat(
         _tagged(0, own),
-        F.coalesce(_area_links(base, areas, list(terms), patterns), _tagged(0, none)),
+        *[
+            _area_links(i + 1, base, areas, list(terms), patterns)
+            for i, areas in enumerate((header, footer, main_nav))
+        ],
         _tagged(4, F.transform(H.json_ld_contact_urls(html, list(terms)), lambda u: resolve(base, u))),
         _tagged(5, F.transform(H.contact_metas(html), lambda u: resolve(base, u))),
     )
@@ -148,21 +142,20 @@ def _second_level(pages: DataFrame, links: DataFrame, terms: list[str], patterns
         F.col("probe_url").alias("wanted"),
     )
     requests = sitemaps.unionByName(guesses).withColumn("url_key", url_key(F.col("wanted")))
+    known = links.select(F.count("*"), F.sum(F.size("sitemaps"))).first()
     body = fetch(
-        pages, requests,
+        pages, requests, rows=known[0] * len(dims.COMMON_PATHS) + (known[1] or 0),
         is_probe=F.bool_or(F.col("purpose") == "probe"), is_map=F.bool_or(F.col("purpose") == "sitemap"),
     ).select("url_key", *_second_level_columns())
-    answers = requests.join(body, "url_key")
-    verified = answers.filter(
-        (F.col("purpose") == "probe") & (F.col("relevance") > dims.PROBE_RELEVANCE)
-    ).select("site_key", F.lit(7).alias("source_ord"), F.col("wanted").alias("url"))
     listed = F.filter("locations", lambda u: contains_any(F.lower(u), terms) & is_valid_url(u))
     anchors = F.filter("anchors", lambda a: is_contact_reference(a["href"], a["text"], terms, patterns))
     absolute = _absolute(F.col("base"), F.transform(anchors, lambda a: a["href"]))
-    mapped = answers.filter(F.col("purpose") == "sitemap").select(
-        "site_key", F.lit(6).alias("source_ord"), F.explode(F.concat(listed, absolute)).alias("url")
+    verified = F.when(F.col("relevance") > dims.PROBE_RELEVANCE, F.array("wanted"))
+    # Both kinds leave through one generator, so the pages are read and scored once.
+    found = F.when(F.col("purpose") == "probe", _tagged(7, verified)).otherwise(
+        _tagged(6, F.concat(listed, absolute))
     )
-    return verified.unionByName(mapped)
+    return requests.join(body, "url_key").select("site_key", F.inline(found))
 
 
 def top_per_key(df: DataFrame, key: str, order: list[Column], n: int, rank: str = "rn") -> DataFrame:

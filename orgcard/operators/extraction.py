@@ -32,7 +32,7 @@ NEEDS_TREE = (
     + "(?:contact|footer|header|info|details)"
 )
 # Without an address sign or five digits there is nothing to find.
-MAY_HOLD_CONTACT = r"@|&commat;|&#|[0-9](?:[^0-9<]{0,12}[0-9]){4}"
+MAY_HOLD_CONTACT = r"@|&commat;|&#|[0-9](?:[^0-9]*[0-9]){4}"
 
 
 def _candidate(
@@ -80,7 +80,7 @@ def _builder_candidates(nodes: Column, text: Column) -> Column:
     """Per container: overriding links, then the text of its paragraphs, spans and divisions."""
 
     def of(container: Column, i: Column) -> Column:
-        return let(F.filter(nodes, lambda n: T.inside(n, container)), lambda own: from_nodes(own, i))
+        return let(T.descendants(nodes, container), lambda own: from_nodes(own, i))
 
     def from_nodes(own: Column, i: Column) -> Column:
         links = F.filter(own, lambda n: (n["tag"] == "a") & n["href"].isNotNull())
@@ -100,8 +100,8 @@ def _builder_candidates(nodes: Column, text: Column) -> Column:
 
 def _section_chunks(nodes: Column) -> Column:
     """Strings met on a walk through the contact sections: attributes, then own text."""
-    walk = let(
-        T.outermost(_sections(nodes)), lambda areas: T.descendants(nodes, areas, with_self=True)
+    walk = F.flatten(
+        F.transform(T.outermost(_sections(nodes)), lambda a: T.descendants(nodes, a, with_self=True))
     )
     parts = F.flatten(
         F.transform(
@@ -114,9 +114,9 @@ def _section_chunks(nodes: Column) -> Column:
 
 def _microdata(nodes: Column, text: Column, prop: str, predicate) -> Column:
     def of(org: Column) -> Column:
-        node = first_where(nodes, lambda n: T.inside(n, org) & (n["itemprop"] == prop))
-        value = F.coalesce(node["content"], T.subtree_text(node, text))
-        return F.when(predicate(value), value)
+        node = first_where(T.descendants(nodes, org), lambda n: n["itemprop"] == prop)
+        value = let(node, lambda n: F.coalesce(n["content"], T.subtree_text(n, text)))
+        return let(value, lambda v: F.when(predicate(v), v))
 
     orgs = F.filter(
         nodes, lambda n: F.coalesce(n["itemtype"].rlike("schema.org/Organization"), F.lit(False))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from orgcard.functions import html as H
 from orgcard.functions import names as N
-from orgcard.functions.text import first_where, let
+from orgcard.functions.text import built_once, first_where, let
 from orgcard.functions.urls import is_valid_url, registrable_label, url_key
+from orgcard.operators.storage import materialize
 from orgcard.sources import dims
 from orgcard.sources.pages import fetch
 
@@ -22,25 +23,21 @@ def name_queries(names: DataFrame) -> DataFrame:
     )
 
 
-def matching_hits(
+def match_hits(
     hits: DataFrame, suffixes: list[str] | None = None, stop_words: list[str] | None = None,
-    use_similarity: bool = True,
 ) -> DataFrame:
-    """Hits (company_name, url, ...) whose domain fits the company name.
+    """Add ``fits``: whether the domain of a hit (company_name, url, ...) matches the name.
 
     The three exact rules run in the JVM; only hits that fail them and whose lengths allow the
     threshold reach the similarity function.
     """
     name, label = F.col("company_name"), F.col("label")
     labelled = hits.withColumn("label", registrable_label(F.col("url"), suffixes))
-    allowed = labelled.filter(label.isNotNull() & ~label.isin(N.EXCLUDED_LABELS))
-    exact = allowed.withColumn("exact", N.matches_label_exactly(name, label, stop_words))
-    if not use_similarity:
-        return exact.filter("exact").drop("exact", "label")
-    scored = exact.withColumn("ratio", N.similarity(name, label, wanted=~F.col("exact")))
-    return scored.filter(F.col("exact") | (F.col("ratio") > N.MIN_SIMILARITY)).drop(
-        "exact", "ratio", "label"
-    )
+    exact = labelled.withColumn("exact", N.matches_label_exactly(name, label, stop_words))
+    open_ = ~F.col("exact") & ~label.isin(N.EXCLUDED_LABELS)
+    scored = exact.withColumn("ratio", N.similarity(name, label, wanted=open_))
+    fits = F.col("exact") | F.coalesce(F.col("ratio") > N.MIN_SIMILARITY, F.lit(False))
+    return scored.withColumn("fits", fits).drop("exact", "ratio", "label")
 
 
 def _directory_ord(url: Column, directories: list[str]) -> Column:
@@ -50,31 +47,52 @@ def _directory_ord(url: Column, directories: list[str]) -> Column:
     )
 
 
-def directory_hits(hits: DataFrame, directories: list[str] | None = None, slug: bool = False) -> DataFrame:
-    """First directory entry per name: its URL holds the directory and the lower-case name.
-
-    ``slug`` also accepts the name with hyphens for blanks.
-    """
-    directories = dims.DIRECTORIES if directories is None else directories
+def _directory_rank(directories: list[str], slug: bool) -> Column:
+    """Order of a hit among directory entries of its company; NULL when it is none."""
     low, name = F.lower("url"), F.lower("company_name")
     named = F.contains(low, name)
     if slug:
         named = named | F.contains(low, F.regexp_replace(name, r"\s+", "-"))
-    order = F.struct("dir_ord", "engine_ord", "attempt", "rank", "url")
+    place = _directory_ord(F.col("url"), directories)
+    return F.when(
+        place.isNotNull() & named,
+        F.struct(place.alias("dir_ord"), "engine_ord", "attempt", "rank", "url"),
+    )
+
+
+def best_hits(
+    names: DataFrame, serp: DataFrame, suffixes: list[str] | None = None,
+    stop_words: list[str] | None = None, directories: list[str] | None = None, slug: bool = False,
+) -> DataFrame:
+    """(company_name, website, entry): first fitting hit and first directory entry per name.
+
+    Precedence is engine, attempt, rank for websites, and directory first for entries: its URL
+    must hold the directory and the lower-case name (``slug``: or its hyphenated form). Both come
+    out of one aggregation, which reduces each name before the shuffle.
+    """
+    directories = dims.DIRECTORIES if directories is None else directories
+    useful = (F.col("rank") < dims.TOP_HITS) | _directory_ord(F.col("url"), directories).isNotNull()
+    hits = name_queries(names).join(serp.filter(useful), "query")
+    order = F.struct("engine_ord", "attempt", "rank", "url")
+    fitting = F.col("fits") & (F.col("rank") < dims.TOP_HITS)
     return (
-        hits.withColumn("dir_ord", _directory_ord(F.col("url"), directories))
-        .filter(F.col("dir_ord").isNotNull() & named)
-        .groupBy("company_name").agg(F.min_by("url", order).alias("url"))
+        match_hits(hits, suffixes, stop_words)
+        .groupBy("company_name")
+        .agg(
+            F.min_by("url", F.when(fitting, order)).alias("website"),
+            F.min_by("url", _directory_rank(directories, slug)).alias("entry"),
+        )
     )
 
 
-def directory_website(html: Column) -> Column:
-    """Link from a directory page to the company: anchor text decides, in pattern order."""
+@built_once
+def directory_website() -> Column:
+    """Link from a directory page (column html) to the company: anchor text decides, in pattern order."""
 
     def by_text(anchors: Column, pattern: str) -> Column:
         return first_where(anchors, lambda a: a["text"].rlike(pattern) & is_valid_url(a["href"]))["href"]
 
-    return let(H.anchors(html), lambda a: F.coalesce(*[by_text(a, p) for p in dims.WEBSITE_ANCHORS]))
+    return let(H.anchors(F.col("html")), lambda a: F.coalesce(*[by_text(a, p) for p in dims.WEBSITE_ANCHORS]))
 
 
 def resolve_websites(
@@ -87,21 +105,15 @@ def resolve_websites(
     Names are resolved once however many companies share them. Precedence: engine, attempt, rank.
     """
     names = companies.select("company_name").distinct()
-    hits = name_queries(names).join(serp, "query")
-    order = F.struct("engine_ord", "attempt", "rank", "url")
-    by_search = (
-        matching_hits(hits.filter(F.col("rank") < dims.TOP_HITS), suffixes, stop_words)
-        .groupBy("company_name").agg(F.min_by("url", order).alias("website"))
-    )
-    resolved = companies.join(by_search, "company_name", "left")
+    best = best_hits(names, serp, suffixes, stop_words, directories, slug)
     if pages is not None:
-        entries = directory_hits(hits, directories, slug).join(by_search, "company_name", "left_anti")
-        entries = entries.withColumn("url_key", url_key(F.col("url")))
-        listed = entries.join(
-            fetch(pages, entries).select("url_key", directory_website(F.col("html")).alias("listed")),
-            "url_key",
-        ).select("company_name", "listed")
-        resolved = resolved.join(listed, "company_name", "left").withColumn(
+        best = materialize(best, "best_hits")
+        entries = best.filter(F.col("website").isNull() & F.col("entry").isNotNull()).select(
+            "company_name", url_key(F.col("entry")).alias("url_key")
+        )
+        entry_pages = fetch(pages, entries, rows=best.count())
+        listed = entries.join(entry_pages.select("url_key", directory_website().alias("listed")), "url_key")
+        best = best.join(listed.select("company_name", "listed"), "company_name", "left").withColumn(
             "website", F.coalesce("website", "listed")
         )
-    return resolved.select("company_id", "company_name", "website")
+    return companies.join(best, "company_name", "left").select("company_id", "company_name", "website")

@@ -6,10 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Rows of narrow key tables that are broadcast; 32 bytes each, so 64 MB at most.
-BROADCAST_ROWS = 2_000_000
+# Rows of narrow key tables that may be broadcast: about 100 MB of URLs.
+BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,10 +30,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def broadcast_if_small(written: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for a written key table of proven size; larger ones join by shuffle.
-
-    The count of a written Parquet table reads footers only.
-    """
-    return F.broadcast(written) if written.count() <= limit else written

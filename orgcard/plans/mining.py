@@ -30,25 +30,24 @@ def mine_sites(
 ) -> DataFrame:
     """(site_key, email, phone, email_method, phone_method) of the sites with a crawled homepage.
 
+    ``site_keys`` holds distinct keys, best read from a written table.
+
     Only pages that a visit needs are parsed; each is parsed once, however many companies share
     its site. Small derived tables (links, visits, evidence) are written, markup never is.
     """
-    homes = fetch(pages, site_keys.select(F.col("site_key").alias("url_key"))).withColumnRenamed(
-        "url_key", "site_key"
-    )
+    home_requests = site_keys.select(F.col("site_key").alias("url_key"))
+    homes = fetch(pages, home_requests, site_keys.count()).withColumnRenamed("url_key", "site_key")
     ranked = contact_pages(pages, homes, terms, patterns)
     visits = materialize(visit_list(site_keys, ranked), "visits")
 
-    def evidence_of(requests: DataFrame, name: str) -> DataFrame:
-        found = page_evidence(fetch(pages, requests), **options)
+    def evidence_of(requests: DataFrame, rows: int, name: str) -> DataFrame:
+        found = page_evidence(fetch(pages, requests, rows), **options)
         keys = F.transform("frames", lambda f: url_key(f))
-        return materialize(
-            found.select("url_key", "candidates", keys.alias("frame_keys")), name
-        )
+        return materialize(found.select("url_key", "candidates", keys.alias("frame_keys")), name)
 
-    evidence = evidence_of(visits, "evidence")
-    frame_requests = evidence.select(F.explode("frame_keys").alias("url_key"))
-    framed = evidence_of(frame_requests, "frame_evidence")
+    evidence = evidence_of(visits, visits.count(), "evidence")
+    frames = evidence.filter(F.size("frame_keys") > 0).select(F.explode("frame_keys").alias("url_key"))
+    framed = evidence_of(frames, frames.count(), "frame_evidence")
     return pick_contacts(site_candidates(visits, evidence, framed))
 
 

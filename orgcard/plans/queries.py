@@ -364,10 +364,10 @@ def common_path_probe(spark, sf_dir):
 
 def directory_website(spark, sf_dir):
     companies, serp, pages = derived.site_tables(spark, sf_dir)
-    hits = resolution.name_queries(companies.select("company_name").distinct()).join(serp, "query")
-    entries = resolution.directory_hits(hits)
+    best = resolution.best_hits(companies.select("company_name").distinct(), serp)
+    entries = best.filter(F.col("entry").isNotNull()).select("company_name", F.col("entry").alias("url"))
     links = pages.select("url", "html").join(entries, "url")
-    return links.select("company_name", "url", resolution.directory_website(F.col("html")).alias("website"))
+    return links.select("company_name", "url", resolution.directory_website().alias("website"))
 
 
 def frame_contacts(spark, sf_dir):

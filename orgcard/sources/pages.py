@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgcard.functions.urls import url_key
-from orgcard.operators.storage import broadcast_if_small, materialize
+from orgcard.operators.storage import BROADCAST_ROWS, materialize
 from orgcard.sources.dims import CACHE_DAYS
 
 
@@ -27,37 +27,51 @@ def latest_snapshot(df: DataFrame, key: str, time: str, tie: str, columns: list[
     return df.groupBy(key).agg(picked.alias("row")).select(key, "row.*")
 
 
-def page_ids(pages: DataFrame, requests: DataFrame, **carried: Column) -> DataFrame:
-    """One page per requested ``url_key``: the newest snapshot, then the smallest id.
+def page_ids(pages: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
+    """One page per wanted ``url_key``: the newest snapshot, then the smallest id.
 
-    Reads the URL column only, so the markup takes no part in this shuffle. ``carried`` are
-    aggregates over the requests of a key.
+    Reads the URL column only, so the markup takes no part in this. A small request table is
+    broadcast before the aggregation; beyond that, pages are reduced to one row per key first, so
+    that copies of one URL never meet in a join task.
     """
     has_time = "fetched_at" in pages.columns
     narrow = with_url_key(pages.select("page_id", "url", *(["fetched_at"] if has_time else [])))
-    newest = F.struct(*(["fetched_at"] if has_time else []), (-F.col("page_id")).alias("neg_id"))
-    wanted = (
-        requests.groupBy("url_key").agg(*[c.alias(n) for n, c in carried.items()])
-        if carried else requests.select("url_key").distinct()
-    )
-    return (
-        narrow.groupBy("url_key").agg(F.max(newest).alias("newest"))
-        .join(wanted, "url_key")
-        .select("url_key", (-F.col("newest.neg_id")).alias("page_id"), *carried)
-    )
+    newest = F.max(F.struct(*(["fetched_at"] if has_time else []), (-F.col("page_id")).alias("neg_id")))
+    if small:
+        narrow = narrow.join(F.broadcast(wanted.select("url_key")), "url_key", "left_semi")
+    ids = narrow.groupBy("url_key").agg(newest.alias("newest"))
+    known = F.broadcast(wanted) if small else wanted
+    return ids.join(known, "url_key").withColumn("page_id", -F.col("newest.neg_id")).drop("newest")
 
 
-def fetch(pages: DataFrame, requests: DataFrame, **carried: Column) -> DataFrame:
+def fetch(pages: DataFrame, requests: DataFrame, rows: int, **carried: Column) -> DataFrame:
     """(url_key, page_id, url, html, carried...) of the requested keys that have a page.
 
-    The markup is joined on ``page_id``, which is unique: copies of one URL cannot pile up in a
-    task. A pages table stored with :func:`save_pages` needs no shuffle for it.
+    ``rows`` bounds the number of requests (callers count written tables, which reads footers
+    only) and so the number of ids: below the limit both sides are broadcast, above it the ids are
+    written and joined by shuffle. The markup is joined on ``page_id``, which is unique: copies of
+    one URL cannot pile up in a task, and a table stored with :func:`save_pages` moves no markup.
+    ``carried`` are aggregates over the requests of a key.
     """
-    ids = broadcast_if_small(materialize(page_ids(pages, requests, **carried), "page_ids"))
+    wanted = (
+        requests.groupBy("url_key").agg(*[c.alias(n) for n, c in carried.items()])
+        if carried else requests.select("url_key").distinct()
+    )
+    small = rows <= BROADCAST_ROWS
+    ids = page_ids(pages, wanted, small)
+    ids = F.broadcast(ids) if small else materialize(ids, "page_ids")
     body = pages.select("page_id", "url", "html").filter(F.col("html").isNotNull())
     return body.join(ids, "page_id").select("url_key", "page_id", "url", "html", *carried)
 
 
+def save_pages(pages: DataFrame, table: str, buckets: int) -> None:
+    """Store pages bucketed by id, the layout that :func:`fetch` joins without moving markup."""
+    (
+        pages.write.mode("overwrite").format("parquet")
+        .bucketBy(buckets, "page_id").sortBy("page_id").saveAsTable(table)
+    )
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows over all cores when the input has fewer splits than cores; else leave it alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
