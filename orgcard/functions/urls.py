@@ -116,7 +116,8 @@ def resolve(base: Column, href: Column) -> Column:
         relative = F.regexp_replace(F.concat(directory, u["ref"]), "/{2,}", "/")
         own_query = F.when(u["tail"].startswith("?"), F.lit("")).otherwise(u["query"])
         return (
-            F.when(u["href"].rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), u["href"])
+            F.when(u["href"] == "", base)
+            .when(u["href"].rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), u["href"])
             .when(u["href"].startswith("//"), F.concat(u["scheme"], F.lit(":"), u["href"]))
             .when(u["ref"] == "", F.concat(u["root"], u["path"], own_query, u["tail"]))
             .otherwise(

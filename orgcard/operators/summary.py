@@ -18,15 +18,19 @@ def percent(part: str, total: Column) -> Column:
 def coverage(results: DataFrame, by: str) -> DataFrame:
     """Counts and shares per value of ``by`` and for all rows (``by`` NULL)."""
     parts = ["success", "with_website", "with_email", "with_phone"]
-    counts = results.rollup(by).agg(
+    counts = results.groupBy(by).agg(
         F.count("*").alias("total"),
         F.count_if(F.col("status") == "success").alias("success"),
         _filled("website").alias("with_website"),
         _filled("email").alias("with_email"),
         _filled("phone").alias("with_phone"),
     )
-    return counts.select(
-        by, "total", *parts, *[percent(p, F.col("total")).alias(f"{p}_pct") for p in parts]
+    # The total comes from the counts, so that no rows at all still give a row of zeros.
+    names = ["total", *parts]
+    total = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    total = total.select(F.lit(None).cast(results.schema[by].dataType).alias(by), *names)
+    return counts.unionByName(total).select(
+        by, *names, *[percent(p, F.col("total")).alias(f"{p}_pct") for p in parts]
     )
 
 
