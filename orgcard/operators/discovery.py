@@ -155,7 +155,8 @@ def _second_level(pages: DataFrame, links: DataFrame, terms: list[str], patterns
     found = F.when(F.col("purpose") == "probe", _tagged(7, verified)).otherwise(
         _tagged(6, F.concat(listed, absolute))
     )
-    return requests.join(body, "url_key").select("site_key", F.inline(found))
+    answers = requests.join(body, "url_key").select("site_key", F.inline_outer(found))
+    return answers.filter(F.col("url").isNotNull())
 
 
 def top_per_key(df: DataFrame, key: str, order: list[Column], n: int, rank: str = "rn") -> DataFrame:

@@ -211,10 +211,15 @@ def page_evidence(
 
 
 def page_candidates(pages: DataFrame, **options) -> DataFrame:
-    """Long form of :func:`page_evidence`: one row per candidate."""
+    """Long form of :func:`page_evidence`: one row per candidate.
+
+    The generator is an outer one because Spark tests the size of the array before a plain one,
+    which would run the whole extraction twice.
+    """
     evidence = page_evidence(pages, **options)
     keep = [c for c in evidence.columns if c not in ("candidates", "frames")]
-    return evidence.select(*keep, F.inline("candidates"))
+    rows = evidence.select(*keep, F.inline_outer("candidates"))
+    return rows.filter(F.col("method_ord").isNotNull())
 
 
 @built_once

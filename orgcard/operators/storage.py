@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows of narrow key tables that may be broadcast: about 100 MB of URLs.
-BROADCAST_ROWS = 500_000
+# Rows of narrow key tables that may be broadcast: some 20 MB of URLs, 400 MB of the longest ones.
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -178,6 +178,7 @@ def site_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
             for s, q, e, r, u in SITE_HITS
         ]
     )
-    page_rows = c.select(F.inline(F.filter(pages, lambda p: p.isNotNull())))
-    hit_rows = c.filter("c_acctbal >= 0").select(F.inline(F.filter(hits, lambda h: h.isNotNull())))
+    # Outer generators: the plain ones would build each array twice, once to test its size.
+    page_rows = c.select(F.inline_outer(F.filter(pages, lambda p: p.isNotNull())))
+    hit_rows = c.filter("c_acctbal >= 0").select(F.inline_outer(F.filter(hits, lambda h: h.isNotNull())))
     return companies, hit_rows, page_rows

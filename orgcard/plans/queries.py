@@ -76,8 +76,8 @@ def doc_deobfuscated(spark, sf_dir):
 
 def email_domain_counts(spark, sf_dir):
     emails = documents_of(spark, sf_dir).select(
-        "doc_id", F.explode(C.all_emails(F.col("text"))).alias("email")
-    )
+        "doc_id", F.explode_outer(C.all_emails(F.col("text"))).alias("email")
+    ).filter(F.col("email").isNotNull())
     keyed = emails.select("doc_id", C.email_key(F.col("email")).alias("email"))
     return (
         keyed.groupBy(F.substring_index("email", "@", -1).alias("domain"))
@@ -141,8 +141,8 @@ def page_url_valid(spark, sf_dir):
 
 def page_links(spark, sf_dir):
     anchors = H.anchors(F.col("html"))
-    links = pages_of(spark, sf_dir).select("page_id", "url", F.posexplode(anchors).alias("pos", "a"))
-    return links.select(
+    links = pages_of(spark, sf_dir).select("page_id", "url", F.posexplode_outer(anchors).alias("pos", "a"))
+    return links.filter(F.col("pos").isNotNull()).select(
         "page_id", "pos", "a.href", "a.text", U.resolve(F.col("url"), F.col("a.href")).alias("target")
     )
 
@@ -343,7 +343,9 @@ def contact_page_ranking(spark, sf_dir):
 
 def sitemap_pages(spark, sf_dir):
     _, _, pages = derived.site_tables(spark, sf_dir)
-    links = discovery.homepage_links(_homes(pages)).select("site_key", F.explode("sitemaps").alias("sitemap"))
+    links = discovery.homepage_links(_homes(pages)).select(
+        "site_key", F.explode_outer("sitemaps").alias("sitemap")
+    ).filter(F.col("sitemap").isNotNull())
     maps = pages.select(F.col("url").alias("sitemap"), "html")
     listed = links.join(maps, "sitemap").select(
         "site_key", F.explode(H.sitemap_locations(F.col("html"))).alias("url")

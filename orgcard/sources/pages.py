@@ -38,10 +38,11 @@ def page_ids(pages: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     narrow = with_url_key(pages.select("page_id", "url", *(["fetched_at"] if has_time else [])))
     newest = F.max(F.struct(*(["fetched_at"] if has_time else []), (-F.col("page_id")).alias("neg_id")))
     if small:
-        narrow = narrow.join(F.broadcast(wanted.select("url_key")), "url_key", "left_semi")
-    ids = narrow.groupBy("url_key").agg(newest.alias("newest"))
-    known = F.broadcast(wanted) if small else wanted
-    return ids.join(known, "url_key").withColumn("page_id", -F.col("newest.neg_id")).drop("newest")
+        found = narrow.join(F.broadcast(wanted), "url_key")
+        ids = found.groupBy(*wanted.columns).agg(newest.alias("newest"))
+    else:
+        ids = narrow.groupBy("url_key").agg(newest.alias("newest")).join(wanted, "url_key")
+    return ids.withColumn("page_id", -F.col("newest.neg_id")).drop("newest")
 
 
 def fetch(pages: DataFrame, requests: DataFrame, rows: int, **carried: Column) -> DataFrame:
