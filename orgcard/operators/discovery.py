@@ -131,6 +131,21 @@ def _second_level_columns() -> list[Column]:
     ]
 
 
+@built_once
+def _second_level_found(terms: tuple[str, ...], patterns: bool) -> Column:
+    """Accepted addresses of an answer; both kinds leave through one generator, so that the pages
+    are read and scored once."""
+    listed = F.filter("locations", lambda u: contains_any(F.lower(u), list(terms)) & is_valid_url(u))
+    anchors = F.filter(
+        "anchors", lambda a: is_contact_reference(a["href"], a["text"], list(terms), patterns)
+    )
+    absolute = _absolute(F.col("base"), F.transform(anchors, lambda a: a["href"]))
+    verified = F.when(F.col("relevance") > dims.PROBE_RELEVANCE, F.array("wanted"))
+    return F.when(F.col("purpose") == "probe", _tagged(7, verified)).otherwise(
+        _tagged(6, F.concat(listed, absolute))
+    )
+
+
 def _second_level(pages: DataFrame, links: DataFrame, terms: list[str], patterns: bool) -> DataFrame:
     """Contact pages that need a further page: sitemap entries and verified common paths."""
     sitemaps = links.select(
@@ -147,14 +162,7 @@ def _second_level(pages: DataFrame, links: DataFrame, terms: list[str], patterns
         pages, requests, rows=known[0] * len(dims.COMMON_PATHS) + (known[1] or 0),
         is_probe=F.bool_or(F.col("purpose") == "probe"), is_map=F.bool_or(F.col("purpose") == "sitemap"),
     ).select("url_key", *_second_level_columns())
-    listed = F.filter("locations", lambda u: contains_any(F.lower(u), terms) & is_valid_url(u))
-    anchors = F.filter("anchors", lambda a: is_contact_reference(a["href"], a["text"], terms, patterns))
-    absolute = _absolute(F.col("base"), F.transform(anchors, lambda a: a["href"]))
-    verified = F.when(F.col("relevance") > dims.PROBE_RELEVANCE, F.array("wanted"))
-    # Both kinds leave through one generator, so the pages are read and scored once.
-    found = F.when(F.col("purpose") == "probe", _tagged(7, verified)).otherwise(
-        _tagged(6, F.concat(listed, absolute))
-    )
+    found = _second_level_found(tuple(terms), patterns)
     answers = requests.join(body, "url_key").select("site_key", F.inline_outer(found))
     return answers.filter(F.col("url").isNotNull())
 

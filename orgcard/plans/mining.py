@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from orgcard.functions.urls import url_key
 from orgcard.operators.discovery import contact_pages
 from orgcard.operators.extraction import page_evidence
 from orgcard.operators.picking import pick_contacts, site_candidates
 from orgcard.operators.resolution import resolve_websites
-from orgcard.operators.results import COLUMNS, incomplete, merge_results, with_status
+from orgcard.operators.results import (
+    COLUMNS, FIELDS, decode_names, incomplete, merge_results, with_status,
+)
 from orgcard.operators.storage import materialize
 from orgcard.sources.pages import fetch
 
@@ -55,7 +58,18 @@ def mine_companies(
     companies: DataFrame, serp: DataFrame, pages: DataFrame, suffixes: list[str] | None = None,
     stop_words: list[str] | None = None, directories: list[str] | None = None, **options,
 ) -> DataFrame:
-    """One row per company: company_id, company_name, website, email, phone, status."""
+    """One row per company: company_id, company_name, website, email, phone, status.
+
+    Names may arrive as bytes; those that are no UTF-8 get the status ``encoding_error``.
+    """
+    if isinstance(companies.schema["company_name"].dataType, BinaryType):
+        named = decode_names(companies)
+        broken = named.filter(F.col("status").isNotNull()).withColumns(
+            {field: F.lit(None).cast("string") for field in FIELDS}
+        )
+        readable = named.filter(F.col("status").isNull()).drop("status")
+        mined = mine_companies(readable, serp, pages, suffixes, stop_words, directories, **options)
+        return mined.unionByName(broken.select(*COLUMNS))
     resolved = resolve_websites(companies, serp, pages, suffixes, stop_words, directories)
     websites = materialize(
         resolved.withColumn("site_key", url_key(F.col("website"))), "websites"

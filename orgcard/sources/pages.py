@@ -74,14 +74,6 @@ def save_pages(pages: DataFrame, table: str, buckets: int) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores when the input has fewer splits than cores; else leave it alone."""
+    """Deal rows over all cores when the input has far fewer splits than cores; else leave it alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def save_pages(pages: DataFrame, table: str, buckets: int) -> None:
-    """Store pages bucketed by id, the layout that :func:`fetch` joins without a shuffle."""
-    (
-        pages.write.mode("overwrite").format("parquet")
-        .bucketBy(buckets, "page_id").sortBy("page_id").saveAsTable(table)
-    )
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df

@@ -140,10 +140,13 @@ def test_resolution(spark):
 def test_pipeline_with_a_hot_site(spark):
     """A third of all companies share one site; each page is read once for all of them."""
     names = [(i, "Acme" if i % 3 == 0 else f"Firm{i}") for i in range(90)]
-    companies = spark.createDataFrame(names, "company_id bigint, company_name string")
+    raw = [(i, bytearray(n.encode())) for i, n in names] + [(90, bytearray(b"\xff"))]
+    companies = spark.createDataFrame(raw, "company_id bigint, company_name binary")
     serp = spark.createDataFrame(
         [(n, 0, 0, f"https://{n.lower()}.com/") for n in {n for _, n in names}], "query string, engine_ord int, rank int, url string")
     pages = pages_df(spark, [(f"https://{n.lower()}.com/", f"<p>mail@{n.lower()}.com</p>") for n in sorted({n for _, n in names})])
     rows = mining.mine_companies(companies, serp, pages).collect()
-    assert len(rows) == 90
+    assert len(rows) == 91
+    assert [tuple(r) for r in rows if r["company_id"] == 90] == [(90, "FF", None, None, None, "encoding_error")]
+    rows = [r for r in rows if r["company_id"] < 90]
     assert all(r["email"] == f"mail@{r['company_name'].lower()}.com" and r["status"] == "success" for r in rows)
