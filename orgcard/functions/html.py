@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orgcard.functions.contacts import first_email, first_phone_raw, is_valid_email, is_valid_phone
 from orgcard.functions.text import (
-    contains_any, extract_all, first_where, let, narrow_blanks, strip,
+    WIDE_BLANK_CODES, WIDE_BLANKS, contains_any, extract_all, first_where, let, strip,
 )
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -30,6 +30,11 @@ INVISIBLE = (
     r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>)"
 )
 TAG = r"<[a-zA-Z/!?][^>]*>"
+# Everything that is no text, in one pass: each match becomes one blank.
+NO_TEXT = (
+    r"<(?:!--(?s:.*?)-->|(?i:script)\b[^>]*>(?is:.*?</script\s*>)|(?i:style)\b[^>]*>(?is:.*?</style\s*>)"
+    r"|[a-zA-Z/!?][^>]*>)"
+)
 SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
 JSON_LD = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"
 ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
@@ -49,7 +54,9 @@ def _code_point(code: Column) -> Column:
     def encode(number: Column) -> Column:
         ok = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         utf32 = F.unhex(F.lpad(F.hex(F.when(ok, number)), 8, "0"))
-        return F.coalesce(F.decode(utf32, "UTF-32"), F.lit(""))
+        return F.when(number.isin(WIDE_BLANK_CODES), F.lit(" ")).otherwise(
+            F.coalesce(F.decode(utf32, "UTF-32"), F.lit(""))
+        )
 
     return let(F.lower(code), of)
 
@@ -80,8 +87,8 @@ def decode_entities(c: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text a reader sees; every tag leaves one blank."""
-    bare = F.regexp_replace(F.regexp_replace(html, INVISIBLE, " "), TAG, " ")
-    return narrow_blanks(decode_entities(bare))
+    bare = F.regexp_replace(F.regexp_replace(html, NO_TEXT, " "), WIDE_BLANKS, " ")
+    return decode_entities(bare)
 
 
 def without_invisible(html: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WIDE_BLANK_CODES = [0xA0, 0x1680, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000, 0xFEFF]
 # Blanks that the ASCII class \s of Java and RE2 does not hold; the look-ahead skips ASCII quickly.
 WIDE_BLANKS = r"(?=[^\x00-\x7F])[\x{00A0}\x{1680}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -59,11 +60,6 @@ def first_where(arr: Column, predicate) -> Column:
     return first(F.filter(arr, lambda x: predicate(x)))
 
 
-def narrow_blanks(c: Column) -> Column:
-    """Turn no-break and other wide blanks into plain ones."""
-    return F.regexp_replace(c, WIDE_BLANKS, " ")
-
-
 def contains_any(c: Column, terms: list[str]) -> Column:
     """True when any of the literal terms occurs: one alternation, one pass over the string."""
     if not terms:

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from orgcard.functions.text import let
+from orgcard.functions.text import WIDE_BLANK_CODES, let
 
 # Executors get the functions of this module by value: the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,9 +28,7 @@ VOID_TAGS = frozenset(
 )
 # --- end of fixed values --------------------------------------------------------------------
 # Wide blanks become plain ones here as in visible_text, so that offsets stay equal.
-_BLANKS = dict.fromkeys(
-    [0xA0, 0x1680, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000, 0xFEFF], " "
-)
+_BLANKS = dict.fromkeys(WIDE_BLANK_CODES, " ")
 RAW_TAGS = {"script": "#script", "style": "#script", "template": "#script"}
 ATTRIBUTES = [
     "class", "href", "src", "name", "content", "type", "itemtype", "itemprop",

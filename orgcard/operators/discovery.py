@@ -16,10 +16,13 @@ from orgcard.operators.storage import materialize
 from orgcard.sources import dims
 from orgcard.sources.pages import fetch
 
-NEEDS_TREE = r"(?i)<(?:nav|header|footer)\b|(?:main|primary|global)-nav"
 SOURCES = ["homepage", "header", "footer", "main-nav", "json-ld", "meta", "sitemap", "common-path"]
 
 
+def _needs_tree(html: Column) -> Column:
+    return html.rlike(r"(?i)<(?:nav|header|footer)\b|(?:main|primary|global)-nav")
+
+
 def is_contact_reference(
     href: Column, text: Column, terms: list[str], patterns: bool = False
 ) -> Column:
@@ -99,7 +102,7 @@ def homepage_links(homes: DataFrame, terms: list[str] | None = None, patterns: b
     """
     terms = dims.literal_terms() if terms is None else terms
     sources, sitemaps = _homepage_columns(tuple(terms), patterns)
-    return with_trees(homes, NEEDS_TREE).select(
+    return with_trees(homes, _needs_tree).select(
         "site_key", "url", sources.alias("sources"), sitemaps.alias("sitemaps")
     )
 

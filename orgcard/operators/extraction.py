@@ -25,11 +25,10 @@ from orgcard.sources.dims import BUILDER_CLASSES, SECTION_CLASS
 STAGE = {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5, 7: 6, 8: 7, 9: 7, 20: 8}
 OVERRIDING = {1, 4, 9}
 
-# Markup that needs the element tree: builder containers, contact sections, microdata.
-NEEDS_TREE = (
-    "(?i)" + "|".join(BUILDER_CLASSES)
-    + r"""|schema.org/Organization|<(?:div|section)\b[^>]*\sclass\s*=\s*(?:"[^">]*|'[^'>]*|[^\s"'>]*)"""
-    + "(?:contact|footer|header|info|details)"
+# Contact sections; the other markup that needs the element tree is found by plain search.
+SECTION_TAG = (
+    r"""(?i)<(?:div|section)\b[^>]*\sclass\s*=\s*(?:"[^">]*|'[^'>]*|[^\s"'>]*)"""
+    "(?:contact|footer|header|info|details)"
 )
 # Without an address sign or five digits there is nothing to find.
 MAY_HOLD_CONTACT = r"@|&commat;|&#|[0-9](?:[^0-9]*[0-9]){4}"
@@ -129,15 +128,23 @@ def _last_leaf(leaves: Column, keys: str, predicate) -> Column:
     return F.get(fits, F.size(fits) - 1)["value"]
 
 
+def needs_tree(html: Column) -> Column:
+    """Builder containers, microdata or contact sections occur."""
+    found = F.contains(html, F.lit("schema.org/Organization"))
+    for name in BUILDER_CLASSES:
+        found = found | F.contains(html, F.lit(name))
+    return found | html.rlike(SECTION_TAG)
+
+
 @built_once
-def _text_and_tree(needs_tree: str) -> tuple[Column, Column]:
+def _text_and_tree(wanted) -> tuple[Column, Column]:
     html = F.col("html")
-    return H.visible_text(html), T.shred(F.when(html.rlike(needs_tree), html))
+    return H.visible_text(html), T.shred(F.when(wanted(html), html))
 
 
-def with_trees(pages: DataFrame, needs_tree: str) -> DataFrame:
-    """Add ``text`` (visible) and ``tree`` (NULL where the markup needs none)."""
-    text, tree = _text_and_tree(needs_tree)
+def with_trees(pages: DataFrame, wanted=needs_tree) -> DataFrame:
+    """Add ``text`` (visible) and ``tree`` (NULL where ``wanted(html)`` does not hold)."""
+    text, tree = _text_and_tree(wanted)
     return pages.withColumns({"text": text, "tree": tree})
 
 
@@ -202,7 +209,7 @@ def page_evidence(
     promising = F.lit(True) if deobfuscated or decoded else html.rlike(MAY_HOLD_CONTACT)
     base = pages.select(*keep, F.when(promising, html).alias("html"), _frame_sources().alias("frames"))
     scripts, leaves = _script_columns()
-    prepared = with_trees(base, NEEDS_TREE).withColumn("scripts", scripts).withColumn("leaves", leaves)
+    prepared = with_trees(base).withColumn("scripts", scripts).withColumn("leaves", leaves)
     if deobfuscated or decoded:
         prepared = prepared.withColumn("text", C.canonical_text(F.col("text"), deobfuscated, decoded))
     return prepared.withColumns(_walk_columns()).select(
