@@ -195,7 +195,7 @@ g AS (SELECT DISTINCT h.r, h.i + o.j AS i FROM h JOIN c USING (k), (SELECT unnes
 e AS (SELECT r, list(i) AS gone, count(*) AS n FROM g GROUP BY r),
 k AS (
   SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
-         CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), x -> NOT list_contains(gone, x)), x -> w[x]) END AS kept
+         CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)), lambda x: w[x]) END AS kept
   FROM d LEFT JOIN e USING (r))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
