@@ -28,6 +28,7 @@ class Layout:
 
     text_bytes: int
     chunk_bytes: int = common.CHUNK
+    spread: int = 4
 
     @property
     def chunks(self) -> int:
@@ -35,7 +36,7 @@ class Layout:
 
     @property
     def ranges(self) -> int:
-        return max(1, int(np.ceil(4 * np.sqrt(self.chunks))))
+        return max(1, int(np.ceil(self.spread * np.sqrt(self.chunks))))
 
     @property
     def bits(self) -> int:

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from orgcard.llm import chunks, common
 
 LENGTH, GRAM = 50, 16
+# Ranges for the root of the chunks, and contexts of whole groups that a range matches at a time.
+SPREAD, CONTEXTS = 16, 1 << 14
 RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 RUN = "range int, chunk int, prefixes binary, lengths binary, bytes binary, rights binary, least binary, most binary"
 FACTS = "chunk int, kind int, range int, data binary"
@@ -215,10 +217,15 @@ def merged(t: pa.Table, gram: int, length: int) -> pa.Table:
     run, index, group, right, ids, most = (x[useful] for x in (run, index, group, right, ids, most))
     if not len(run):
         return chunks.arrow([], FACTS)
-    strings = [runs[r][0][i] for r, i in zip(run.tolist(), index.tolist())]
-    entry, offset, least = matches(strings, right.astype(np.int64), ids, group, length)
-    useful = least < most[entry]
-    entry, offset, least = entry[useful], offset[useful], least[useful]
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    cuts = cuts[np.flatnonzero(np.diff(cuts // CONTEXTS, prepend=-1))]
+    found = []
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(run)]):
+        strings = [runs[r][0][k] for r, k in zip(run[i:j].tolist(), index[i:j].tolist())]
+        entry, offset, least = matches(strings, right[i:j].astype(np.int64), ids[i:j], group[i:j], length)
+        useful = least < most[i:j][entry]
+        found.append((entry[useful] + i, offset[useful], least[useful]))
+    entry, offset, least = (np.concatenate(x) for x in zip(*found))
     if not len(entry):
         return chunks.arrow([], FACTS)
     new = np.flatnonzero(np.concatenate([[True], (np.diff(entry) != 0) | (np.diff(offset) != 1) | (np.diff(least) != 0)]))
@@ -247,7 +254,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes
     """Per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes concatenated."""
     docs = docs.select(common.id_or_last(id_col).alias("key"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    layout = chunks.Layout(chunks.text_size(docs), chunk_bytes)
+    layout = chunks.Layout(chunks.text_size(docs), chunk_bytes, SPREAD)
     bits = min(62, layout.bits + 3)
     shift = max(0, bits - (layout.ranges - 1).bit_length())
     cuts = splitters(docs, layout.ranges)
