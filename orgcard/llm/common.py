@@ -217,3 +217,28 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+PARTS = "block int, data binary"
+
+
+def array_parts(values: np.ndarray, blocks: int = 16) -> pa.RecordBatch:
+    """A task's array as rows of PARTS, for summed()."""
+    rows = np.array_split(values.reshape(len(values), -1), blocks)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([pack(x.reshape(-1)) for x in rows], pa.binary())],
+                                      names=["block", "data"])
+
+
+def summed(parts: DataFrame, dtype, like: tuple[int, ...]) -> np.ndarray:
+    """Sum of the arrays of all tasks, of a fixed shape whatever the data; the sums are formed block by block in tasks."""
+    dtype = np.dtype(dtype)
+
+    def add(t: pa.Table) -> pa.Table:
+        total = None
+        for x in t["data"]:
+            x = unpack(x.as_py(), dtype)
+            total = x.copy() if total is None else total + x
+        return pa.table({"block": t["block"].slice(0, 1).combine_chunks(), "data": pa.array([pack(total)], pa.binary())})
+
+    rows = sorted((r["block"], bytes(r["data"])) for r in parts.groupBy("block").applyInArrow(add, PARTS).collect())
+    return np.concatenate([unpack(x, dtype) for _, x in rows]).reshape(like) if rows else np.zeros(like, dtype)

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from orgcard.llm import langid, mixing, packing, substring, suffixes, warc
+from orgcard.llm import decontaminate, jaccard, langid, mixing, packing, substring, suffixes, warc
 
 
 def queries():
     return {
+        "op1_jaccard_join": jaccard.query,
         "op2_warc_packages": warc.query,
         "op4_source_mixing": mixing.query,
         "op5_suffix_dedup": suffixes.query,
         "op7_token_packing": packing.query,
         "op8_substring_dedup": substring.query,
         "op9_language_id": langid.query,
+        "op10_decontamination": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_jaccard_join": jaccard.ORACLE,
         "op2_warc_packages": warc.ORACLE,
         "op8_substring_dedup": substring.ORACLE,
     }
