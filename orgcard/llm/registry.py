@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from orgcard.llm import decontaminate, jaccard, langid, mixing, packing, substring, suffixes, warc
+from orgcard.llm import decontaminate, hnsw, jaccard, langid, mixing, packing, substring, suffixes, warc
 
 
 def queries():
     return {
         "op1_jaccard_join": jaccard.query,
         "op2_warc_packages": warc.query,
+        "op3_embedding_dedup": hnsw.query,
         "op4_source_mixing": mixing.query,
         "op5_suffix_dedup": suffixes.query,
         "op7_token_packing": packing.query,
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_jaccard_join": jaccard.ORACLE,
         "op2_warc_packages": warc.ORACLE,
+        "op3_embedding_dedup": hnsw.ORACLE,
         "op8_substring_dedup": substring.ORACLE,
     }
