@@ -19,8 +19,8 @@ comparison. What is then still in different components under a common key is ver
 exact. Verification takes the whole texts and compares exact sets.
 
 Results for special cases: a null or blank text has no set, links with nothing and is its own component; shorter texts
-are one shingle; equal rows link; rows that share an id are one vertex; a null id counts as larger than every other and
-comes back null.
+are one shingle; equal rows link; rows that share an id are one vertex; rows without an id are a vertex for each text,
+larger than every id, and come back null. Ids are below NAMELESS.
 """
 
 from __future__ import annotations
@@ -37,6 +37,18 @@ SETS = "key long, n long, s1 long, s2 long, range int, keys binary, owners binar
 LISTED, SUBSET = np.uint64(0x51ED27), np.uint64(0xA3B195)
 
 
+NAMELESS = 1 << 62
+
+
+def vertex(id_col: str, text_col: str):
+    """The id, or for rows without one a number made of the text, from NAMELESS on."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2))
+
+
+def named(column: str):
+    return F.when(F.col(column) < NAMELESS, F.col(column))
+
+
 def shingles(texts: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of texts (not yet distinct) and the text of each."""
     w = common.Words(texts, lower=True)
@@ -201,7 +213,7 @@ def fits(small: str, large: str, percent: int):
 def joined(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, scan: float = SCAN, rounds: int = ROUNDS,
            boundary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: key, n_shingles, class_id (least id with an equal set) and component_id."""
-    docs = docs.select(common.id_or_last(id_col).alias("key"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    docs = docs.select(vertex(id_col, text_col).alias("key"), F.col(text_col).cast("string").cast("binary").alias("text"))
     counts, sizes = sizes_and_counts(docs, gram)
     if boundary is None:
         boundary = boundary_of(sizes, percent, scan)
@@ -255,7 +267,7 @@ def joined(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, scan: floa
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = joined(common.table(spark, sf_dir, "documents"))
-    return out.select(common.id_or_null("key").alias("doc_id"), "n_shingles", common.id_or_null("component_id").alias("component_id"))
+    return out.select(named("key").alias("doc_id"), "n_shingles", named("component_id").alias("component_id"))
 
 
 ORACLE = r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orgcard.llm import decontaminate, hnsw, jaccard, langid, mixing, packing, substring, suffixes, warc
+from orgcard.llm import decontaminate, hnsw, jaccard, langid, mixing, packing, styletree, substring, suffixes, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_embedding_dedup": hnsw.query,
         "op4_source_mixing": mixing.query,
         "op5_suffix_dedup": suffixes.query,
+        "op6_html_extraction": styletree.query,
         "op7_token_packing": packing.query,
         "op8_substring_dedup": substring.query,
         "op9_language_id": langid.query,
