@@ -13,10 +13,12 @@ then by hash. Any order gives all links; a good one keeps what many documents sh
 * The boundary has the least cost under the measured sizes: subsets of the small sets against entries of the lists times
   `scan`, the entries that a list is taken to make its reader look at.
 
-Equal sets are one class with the least id, whatever their number. Candidates are not all verified in pairs: in each of
-`rounds` rounds a key's sets are compared with one pivot of it, and those that became connected need no further
-comparison. What is then still in different components under a common key is verified pair by pair, so components are
-exact. Verification takes the whole texts and compares exact sets.
+Equal sets are one class with the least id, whatever their number. What shares a key is a candidate only if the bounds
+allow a link: sizes, the key's places in both orders, the shorter head that the smaller set needs, and the most common
+shingles that the bitmaps of both heads admit. In a first round each key compares its sets with one pivot only; those that
+became connected need no further comparison. What is then still in different components under a common key is taken pair
+by pair, large keys in blocks, so components are exact. Pairs come out of a task only after the bounds. Verification takes
+the whole texts and compares exact sets.
 
 Results for special cases: a null or blank text has no set, links with nothing and is its own component; shorter texts
 are one shingle; equal rows link; rows that share an id are one vertex; rows without an id are a vertex for each text,
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 
 from orgcard.llm import common
 
-GRAM, PERCENT, CELL_BITS, SCAN, ROUNDS, LARGEST = 4, 85, 18, 8, 2, 4096
-SETS = "key long, n long, s1 long, s2 long, range int, keys binary, owners binary, sizes binary"
+GRAM, PERCENT, CELL_BITS, SCAN, LARGEST, BLOCK = 4, 85, 18, 8, 4096, 2048
+SETS = ("key long, n long, s1 long, s2 long, bits binary, range int, keys binary, owners binary, sizes binary, places binary")
+FILTER = 1 << 22  # cells of the filter that keeps texts no pair asks for out of an exchange
 LISTED, SUBSET = np.uint64(0x51ED27), np.uint64(0xA3B195)
 
 
@@ -99,14 +102,14 @@ def set_rows(docs: DataFrame, counts, boundary: int, gram: int, percent: int, ra
     """Rows of SETS: one for each document (key, n and the set's signature), and keys in runs by range."""
     shift = np.uint64(64 - max(1, (ranges - 1).bit_length()))
 
-    def keys_of(h: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and the index of their set; h holds each set's shingles in order, from begin on."""
+    def keys_of(h: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, the index of their set and their place in its order; h holds each set's shingles in order, from begin on."""
         need = least_common(size, percent)
         head = size - need + 1
         scans = np.flatnonzero((size > boundary) | (100 * size >= percent * (boundary + 1)))
         n = head[scans]
-        at = np.repeat(begin[scans], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        keys, owners = [common.mix(h[at] ^ LISTED) & ~np.uint64(1)], [np.repeat(scans, n)]
+        places = [np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        keys, owners = [common.mix(h[np.repeat(begin[scans], n) + places[0]] ^ LISTED) & ~np.uint64(1)], [np.repeat(scans, n)]
         for size_of in np.unique(size[(size > 1) & (size <= boundary)]):
             own = np.flatnonzero(size == size_of)
             width = int(min(size_of, size_of - least_common(size_of, percent) + 2))
@@ -115,12 +118,18 @@ def set_rows(docs: DataFrame, counts, boundary: int, gram: int, percent: int, ra
             pair = common.mix(rows[:, i] + SUBSET) + common.mix(common.mix(rows[:, j]))
             keys.append((common.mix(pair) | np.uint64(1)).reshape(-1))
             owners.append(np.repeat(own, len(i)))
-        return np.concatenate(keys), np.concatenate(owners)
+            places.append(np.zeros(len(own) * len(i), np.int64))
+        return np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+
+    def bitmap(head: np.ndarray) -> bytes:
+        bits = np.zeros(1 << max(6, (4 * len(head) - 1).bit_length()), np.uint8)
+        bits[(head & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+        return np.packbits(bits, bitorder="little").tobytes()
 
     def make(batches):
         for batch in batches:
             ids, texts = batch.column("key").to_numpy(), common.texts_of(batch.column("text"))
-            rows, keys, owners, sizes = [], [], [], []
+            rows, keys, owners, sizes, places = [], [], [], [], []
             for a, b in common.slices(texts):
                 h, own = shingles(texts[a:b], gram)
                 order = np.lexsort((h, counts.value[cell(h)], own))
@@ -132,44 +141,127 @@ def set_rows(docs: DataFrame, counts, boundary: int, gram: int, percent: int, ra
                 begin = np.cumsum(size) - size
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(common.mix(h + common.seeded(k, 11)[k - 1]), dtype=np.uint64)]) for k in (1, 2)]
                 s1, s2 = (common.mix(s[begin + size] - s[begin] + size.astype(np.uint64)) for s in sums)
-                rows += zip(ids[a:b].tolist(), size.tolist(), s1.view(np.int64).tolist(), s2.view(np.int64).tolist())
-                k, o = keys_of(h, size, begin)
+                heads = begin + size - least_common(size, percent) + 1
+                bits = [bitmap(h[i:j]) if n else None for i, j, n in zip(begin, heads, size)]
+                rows += zip(ids[a:b].tolist(), size.tolist(), s1.view(np.int64).tolist(), s2.view(np.int64).tolist(), bits)
+                k, o, p = keys_of(h, size, begin)
+                places.append(p)
                 keys.append(k)
                 owners.append(ids[a:b][o])
                 sizes.append(size[o])
-            out = [(*r, None, None, None, None) for r in rows]
+            out = [(*r, *[None] * 5) for r in rows]
             if keys:
-                k, o, n = (np.concatenate(x) for x in (keys, owners, sizes))
+                k, o, n, p = (np.concatenate(x) for x in (keys, owners, sizes, places))
                 order = np.argsort(k)
-                k, o, n = k[order], o[order], n[order]
+                k, o, n, p = k[order], o[order], n[order].astype(np.int32), p[order].astype(np.int32)
                 part = (k >> shift).astype(np.int64)
                 at = np.flatnonzero(np.diff(part, prepend=-1))
-                out += [(None, None, None, None, int(part[i]), common.pack_sorted(k[i:j]), common.pack(o[i:j]), common.pack(n[i:j].astype(np.int32)))
+                out += [(*[None] * 5, int(part[i]), common.pack_sorted(k[i:j]), *(common.pack(x[i:j]) for x in (o, n, p)))
                         for i, j in zip(at, [*at[1:], len(k)])]
-            kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.binary()] * 3
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32()] + [pa.binary()] * 4
             names = [x.strip().split(" ")[0] for x in SETS.split(",")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 8, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 10, kinds)], names=names)
 
     return docs.mapInArrow(make, SETS)
 
 
 def shared_keys(rows: DataFrame, boundary: int) -> DataFrame:
-    """(bucket, owner, n) of the keys that several documents have, lists only if they hold a large set."""
+    """(bucket, owner, n, place) of the keys that several documents have, lists only if they hold a large set."""
 
     def meet(t: pa.Table) -> pa.Table:
         k = np.concatenate([common.unpack_sorted(x.as_py()) for x in t["keys"]])
         o = np.concatenate([common.unpack(x.as_py(), np.int64) for x in t["owners"]])
-        n = np.concatenate([common.unpack(x.as_py(), np.int32) for x in t["sizes"]])
-        order = np.lexsort((o, k))
-        k, o, n = k[order], o[order], n[order]
+        n, p = (np.concatenate([common.unpack(x.as_py(), np.int32) for x in t[c]]) for c in ("sizes", "places"))
+        order = np.argsort(k)
+        k = k[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         count = np.diff(first, append=len(k))
-        useful = (count > 1) & ((k[first] & np.uint64(1) == 1) | (np.maximum.reduceat(n, first) > boundary))
+        useful = (count > 1) & ((k[first] & np.uint64(1) == 1) | (np.maximum.reduceat(n[order], first) > boundary))
         keep = np.repeat(useful, count)
-        return pa.table({"bucket": pa.array(k[keep].view(np.int64)), "owner": pa.array(o[keep]), "n": pa.array(n[keep], pa.int64())})
+        order = order[keep]
+        return pa.table({"bucket": pa.array(k[keep].view(np.int64)), "owner": pa.array(o[order]),
+                         "n": pa.array(n[order], pa.int64()), "place": pa.array(p[order], pa.int64())})
+
+    return rows.where("range is not null").select("range", "keys", "owners", "sizes", "places").groupBy("range").applyInArrow(
+        meet, "bucket long, owner long, n long, place long")
+
+
+def admitted(heads: list[bytes | None], n: np.ndarray, i: np.ndarray, j: np.ndarray, need: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) the bitmaps of their heads allow `need` common shingles.
+
+    Common shingles up to where the shorter head ends are in both heads, the others are behind that head; and each bit
+    that only one bitmap has is a shingle of that head that the other lacks."""
+    width = np.array([len(x) if x else 0 for x in heads])
+    alike = least_common(n, percent)
+    head = n - alike + 1
+    out = np.ones(len(i), bool)
+    both = np.minimum(width[i], width[j])
+    for size in np.unique(both[both > 0]):
+        which = np.flatnonzero(both == size)
+        used = np.unique(np.concatenate([i[which], j[which]]))
+        maps = np.stack([np.bitwise_or.reduce(np.frombuffer(heads[k], np.uint64).reshape(-1, size // 8), axis=0) for k in used])
+        for part in np.array_split(which, 1 + len(which) * int(size) // (1 << 24)):
+            a, b = maps[np.searchsorted(used, i[part])], maps[np.searchsorted(used, j[part])]
+            most = np.minimum(head[i[part]] - np.bitwise_count(a & ~b).sum(1), head[j[part]] - np.bitwise_count(b & ~a).sum(1))
+            out[part] = most + np.maximum(alike[i[part]], alike[j[part]]) - 1 >= need[part]
+    return out
+
+
+def paired(t: pa.Table, star: bool, boundary: int, percent: int, at_once: int = 1 << 21) -> pa.Table:
+    """Candidates (a, b), a the smaller set, out of whole blocks of keys: with star only those of each block's first set."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not len(t):
+        return none
+    bucket, low, high, own, rep, n, place, c = (t[x].to_numpy() for x in ("bucket", "low", "high", "own", "rep", "n", "place", "c"))
+    order = np.lexsort((rep, n, high, low, bucket))
+    bucket, low, high, own, rep, n, place, c = (x[order] for x in (bucket, low, high, own, rep, n, place, c))
+    bits = t["bits"].to_pylist()
+    bits = [bits[k] for k in order.tolist()]
+    new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    first = np.flatnonzero(new)
+    end = np.repeat(np.append(first[1:], len(new)), np.diff(np.append(first, len(new))))
+    many = np.where(new, end - np.arange(len(new)) - 1, 0) if star else end - np.arange(len(new)) - 1
+    begin, found = 0, set()
+    total = np.cumsum(many)
+    while begin < len(many):
+        stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + at_once, side="right")))
+        k = many[begin:stop]
+        i = np.repeat(np.arange(begin, stop), k)
+        j = i + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        begin = stop
+        fine = (c[i] != c[j]) & (rep[i] != rep[j]) & (100 * n[i] >= percent * n[j]) & ((low[i] == high[i]) | (own[i] != own[j]))
+        i, j = i[fine], j[fine]
+        need = -(-percent * (n[i] + n[j]) // (100 + percent))
+        listed = bucket[i] & 1 == 0
+        short = n[i] - -(-2 * percent * n[i] // (100 + percent)) + 1
+        reach = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
+        fine = ~listed | (n[j] > boundary) & (place[i] < short) & (reach >= need)
+        i, j, need = i[fine], j[fine], need[fine]
+        fine = admitted(bits, n, i, j, need, percent)
+        found.update(zip(rep[i[fine]].tolist(), rep[j[fine]].tolist()))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def asked_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents (key, text) with the given ids. A filter of fixed size, a cell for each hash, keeps
+    most other texts out of the exchange; it lets some through, the join none."""
+
+    def marks(batches):
+        total = np.zeros(FILTER, np.uint32)
+        for batch in batches:
+            total[common.mix(batch.column("id").to_numpy().view(np.uint64)) & np.uint64(FILTER - 1)] = 1
+        yield common.array_parts(total)
+
+    seen = docs.sparkSession.sparkContext.broadcast(np.packbits(common.summed(ids.mapInArrow(marks, common.PARTS), np.uint32, (FILTER,)) > 0))
+
+    def likely(batches):
+        cells = seen.value
+        for batch in batches:
+            at = common.mix(batch.column("id").to_numpy().view(np.uint64)) & np.uint64(FILTER - 1)
+            yield batch.filter(pa.array((cells[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1))
 
-    return rows.where("range is not null").select("range", "keys", "owners", "sizes").groupBy("range").applyInArrow(
-        meet, "bucket long, owner long, n long")
+    some = docs.select(F.col("key").alias("id"), "text").mapInArrow(likely, "id long, text binary")
+    return some.join(ids, "id").select("id", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, gram: int, percent: int, group_rows: int = 1000) -> DataFrame:
@@ -206,12 +298,8 @@ def verified(pairs: DataFrame, texts: DataFrame, gram: int, percent: int, group_
     return common.cut(held.groupBy("group").applyInArrow(compare, "a long, b long").distinct())
 
 
-def fits(small: str, large: str, percent: int):
-    return (100 * F.least(small, large) >= percent * F.greatest(small, large))
-
-
-def joined(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, scan: float = SCAN, rounds: int = ROUNDS,
-           boundary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, scan: float = SCAN, boundary: int | None = None,
+           block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: key, n_shingles, class_id (least id with an equal set) and component_id."""
     docs = docs.select(vertex(id_col, text_col).alias("key"), F.col(text_col).cast("string").cast("binary").alias("text"))
     counts, sizes = sizes_and_counts(docs, gram)
@@ -222,43 +310,33 @@ def joined(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, scan: floa
     rows = common.stored(set_rows(docs, held, boundary, gram, percent, ranges))
     sets = rows.where("range is null").select("key", "n", "s1", "s2")
     classes = common.cut(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep")))
-    member = sets.join(classes, ["s1", "s2", "n"], "left").select("key", "n", F.coalesce("rep", "key").alias("rep"))
+    member = common.cut(sets.join(classes, ["s1", "s2", "n"], "left").select("key", "n", F.coalesce("rep", "key").alias("rep")))
 
     of_owner = member.where("n > 0").select(F.col("key").alias("owner"), "rep").distinct()
-    keys = shared_keys(rows, boundary).join(of_owner, "owner").select("bucket", "rep", "n").distinct()
-    alone = keys.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("bucket")
-    keys = common.cut(keys.join(alone, "bucket"))
-    asked = keys.select(F.col("rep").alias("id")).distinct()
-    texts = common.stored(docs.withColumnRenamed("key", "id").join(asked, "id").select("id", "text"))
-
-    tested, links, place = None, None, None
-    for turn in range(rounds + 1):
+    keys = shared_keys(rows, boundary).join(of_owner, "owner").select("bucket", "rep", "n", "place").distinct()
+    # of rows that share an id but not the text there is no one bitmap
+    heads = rows.where("bits is not null").join(classes.select(F.col("rep").alias("key")).distinct(), "key").groupBy("key").agg(
+        F.min("bits").alias("low"), F.max("bits").alias("high")).select(F.col("key").alias("rep"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
+    keys = common.stored(keys.join(heads, "rep"))
+
+    def pairing(star: bool):
+        return lambda t: paired(t, star, boundary, percent)
+
+    links, place = None, None
+    for star in (True, False):
         now = keys.withColumn("c", F.col("rep")) if place is None else keys.join(
-            place.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-            "bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        listed = F.col("bucket").bitwiseAND(F.lit(1)) == 0
-        large = ~listed | (F.greatest("n", "m") > boundary)
-        if turn < rounds:
-            order = F.struct("n", "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), "rep")
-            pivot = now.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "c"), order).alias("p")).select(
-                "bucket", F.col("p.rep").alias("other"), F.col("p.n").alias("m"), F.col("p.c").alias("d"))
-            pairs = now.join(pivot, "bucket").where((F.col("c") != F.col("d")) & large & fits("n", "m", percent))
-        else:
-            # what is left in different components: pairs of components of a key first, then their members
-            parts = common.cut(now.join(now.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket"), "bucket"))
-            of = parts.select("bucket", "c").distinct()
-            two = of.join(of.select("bucket", F.col("c").alias("d")), "bucket").where("c < d")
-            pairs = two.join(parts, ["bucket", "c"]).join(
-                parts.select("bucket", F.col("c").alias("d"), F.col("rep").alias("other"), F.col("n").alias("m")), ["bucket", "d"])
-            pairs = pairs.where(large & fits("n", "m", percent))
-        # the member that more of the round's pairs share comes first, so that texts of pivots travel once
-        pairs = pairs.select(F.col("other").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(
-                tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = common.cut(pairs)
-        found = verified(pairs, texts, gram, percent)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            place.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+        open_keys = now.groupBy("bucket").agg(F.count("*").alias("many"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
+        blocks = F.ceil(F.col("many") / block).cast("int")
+        now = now.join(open_keys, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        now = now.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        now = now.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "place", "c", "bits")
+        groups = max(1, int(counts.sum() // 2e6))
+        now = now.withColumn("task", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(groups)))
+        pairs = now.groupBy("task").applyInArrow(pairing(star), "a long, b long")
+        pairs = common.cut(pairs.distinct())
+        ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        found = verified(pairs, common.stored(asked_for(docs, ids)), gram, percent)
         links = found if links is None else links.unionByName(found)
         place = common.cut(common.components(links))
     out = member.join(place.select(F.col("id").alias("rep"), "component"), "rep", "left")

@@ -52,11 +52,11 @@ def corpus(seed):
     return rows + [(rows[4][0], rows[4][1]), (10**6, None), (10**6 + 1, "  "), (None, rows[7][1]), (None, "some text of its own"), (None, None), (10**6 + 2, "a b"), (10**6 + 3, "A b"), (10**6 + 4, "")]
 
 
-@pytest.mark.parametrize("seed,boundary,rounds,percent", [(1, None, 2, 85), (2, 0, 0, 85), (3, 1000, 1, 85), (4, 30, 0, 60), (5, 60, 2, 70)])
-def test_all_pairs(spark, seed, boundary, rounds, percent):
+@pytest.mark.parametrize("seed,boundary,block,percent", [(1, None, 2048, 85), (2, 0, 3, 85), (3, 1000, 2048, 85), (4, 30, 2, 60), (5, 60, 5, 70)])
+def test_all_pairs(spark, seed, boundary, block, percent):
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], SCHEMA)
-    out = jaccard.joined(docs, boundary=boundary, rounds=rounds, percent=percent).collect()
+    out = jaccard.joined(docs, boundary=boundary, block=block, percent=percent).collect()
     assert plain((r.key, r.n_shingles, r.component_id) for r in out) == brute(rows, percent)
 
 
