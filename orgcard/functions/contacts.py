@@ -48,19 +48,17 @@ EMAIL_DOMAIN_DENY = [
 ]
 
 # Property-shaped patterns over raw markup: (e-mail, phone), rising priority.
-_ADDRESS = r'([^"]+?@[^"]+?\.[^"]+)'
-_NUMBER = r"([0-9\s()*+,.\-]{8,20})"
 MARKUP_EMAILS = [
-    rf'"email"\s*:\s*"{_ADDRESS}"',
-    rf'"contactPoint"\s*:\s*\{{[^}}]*"email"\s*:\s*"{_ADDRESS}"',
-    rf'<meta\s+(?:property|name)="(?:og:)?email"\s+content="{_ADDRESS}"',
-    rf'data-email="{_ADDRESS}"',
+    r'"email"\s*:\s*"([^"]+?@[^"]+?\.[^"]+)"',
+    r'"contactPoint"\s*:\s*\{[^}]*"email"\s*:\s*"([^"]+?@[^"]+?\.[^"]+)"',
+    r'<meta\s+(?:property|name)="(?:og:)?email"\s+content="([^"]+?@[^"]+?\.[^"]+)"',
+    r'data-email="([^"]+?@[^"]+?\.[^"]+)"',
 ]
 MARKUP_PHONES = [
-    rf'"telephone"\s*:\s*"{_NUMBER}"',
-    rf'"contactPoint"\s*:\s*\{{[^}}]*"telephone"\s*:\s*"{_NUMBER}"',
-    rf'<meta\s+(?:property|name)="(?:og:)?phone_number"\s+content="{_NUMBER}"',
-    rf'data-phone="{_NUMBER}"',
+    r'"telephone"\s*:\s*"([0-9\s()*+,.\-]{8,20})"',
+    r'"contactPoint"\s*:\s*\{[^}]*"telephone"\s*:\s*"([0-9\s()*+,.\-]{8,20})"',
+    r'<meta\s+(?:property|name)="(?:og:)?phone_number"\s+content="([0-9\s()*+,.\-]{8,20})"',
+    r'data-phone="([0-9\s()*+,.\-]{8,20})"',
 ]
 MARKUP_WEBSITES = [
     r'"url"\s*:\s*"((?:https?:)?//[^"]+)"',
@@ -76,8 +74,8 @@ RDFA_CONTACT = [
 
 # Patterns that can match a string too short or too long to be a number.
 _UNSURE = {PHONE_INTERNATIONAL, PHONE_LABELLED, PHONE_VOIP}
-# Every pattern above needs five digits that only these separators part.
-_FIVE_DIGITS = r"[0-9](?:[\s()*+,.\-]*[0-9]){4}"
+# A valid number has five digits or plus signs at least, and each pattern parts these by such separators only.
+_FIVE_DIGITS = r"[0-9+](?:[\s()*,.\-]*[0-9+]){4}"
 
 
 def is_valid_email(c: Column, deny: list[str] | None = None) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,32 +13,37 @@ from orgcard.functions.text import (
     WIDE_BLANK_CODES, WIDE_BLANKS, contains_any, extract_all, first_where, let, strip,
 )
 
+# Named character references with their characters, as the HTML standard and the standard library have them; blanks of
+# any width become plain ones. '&amp;' and its twin are decoded last.
+ENTITIES = {
+    f"&{name}": "".join(" " if ord(c) in WIDE_BLANK_CODES else c for c in text)
+    for name, text in html5.items() if name.endswith(";") and name.lower() != "amp;"
+}
+
 # --- fixed values ---------------------------------------------------------------------------
-# Named entities that occur in contact text, besides '&amp;'.
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"),
-    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"),
-    ("&commat;", "@"), ("&period;", "."), ("&plus;", "+"), ("&lpar;", "("), ("&rpar;", ")"),
-]
 # Weights of the seven relevance tests; the score is their sum over 7.
 RELEVANCE_WEIGHTS = {
     "section": 1.0, "form": 1.0, "place": 1.0, "social": 0.5, "email": 1.5, "phone": 1.5, "map": 0.5,
 }
 RELEVANCE_MAX = 7
+SECTION_WORDS = "contact|connect|reach|touch|location"
+FORM_WORDS = "contact|enquiry|message"
+PLACE_WORDS = r"(?i)(?:business|opening|office)\s*hours|location|address"
+SOCIAL_WORDS = "social|follow"
+MAP_WORDS = "map|location"
 # --- end of fixed values --------------------------------------------------------------------
 
 INVISIBLE = (
-    r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>)"
+    r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z))"
 )
 TAG = r"<[a-zA-Z/!?][^>]*>"
-# Everything that is no text, in one pass: each match becomes one blank.
+# Everything that is no text, in one pass: each match becomes one blank. What is never closed runs to the end, which
+# also keeps the scan linear.
 NO_TEXT = (
-    r"<(?:!--(?s:.*?)-->|(?i:script)\b[^>]*>(?is:.*?</script\s*>)|(?i:style)\b[^>]*>(?is:.*?</style\s*>)"
+    r"<(?:!--(?s:.*?)(?:-->|\z)|(?i:script)\b[^>]*>(?is:.*?(?:</script\s*>|\z))|(?i:style)\b[^>]*>(?is:.*?(?:</style\s*>|\z))"
     r"|[a-zA-Z/!?][^>]*>)"
 )
-SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
+SCRIPT = r"(?is)<script\b[^>]*>(.*?)(?:</script\s*>|\z)"
 JSON_LD = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"
 ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
 OBJECT_LITERAL = r"[a-zA-Z0-9_$]\s*=\s*(\{[^;]+\});"
@@ -62,14 +70,14 @@ def _code_point(code: Column) -> Column:
 
 
 def _entity_map() -> Column:
-    return F.create_map(*[F.lit(x) for pair in ENTITIES for x in pair])
+    return F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
 
 
 def _decode(c: Column) -> Column:
     """Replace each distinct reference that occurs; '&amp;' last, so that nothing decodes twice."""
-    found = F.array_distinct(extract_all(c, r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z]{2,8});"))
+    found = F.array_distinct(extract_all(c, r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});"))
     named = F.aggregate(
-        F.filter(found, lambda k: k != "&amp;"),
+        F.filter(found, lambda k: F.lower(k) != "&amp;"),
         c,
         lambda acc, k: F.replace(
             acc, k,
@@ -77,7 +85,7 @@ def _decode(c: Column) -> Column:
             .otherwise(F.coalesce(F.element_at(_entity_map(), k), k)),
         ),
     )
-    return F.replace(named, F.lit("&amp;"), F.lit("&"))
+    return F.replace(F.replace(named, F.lit("&amp;"), F.lit("&")), F.lit("&AMP;"), F.lit("&"))
 
 
 def decode_entities(c: Column) -> Column:
@@ -214,13 +222,13 @@ def relevance_tests(html: Column, text: Column) -> dict[str, Column]:
     """The seven presence tests; ``text`` is the visible text of the page."""
     markup = without_invisible(html)
     return {
-        "section": _has_class(markup, "div|section", "contact|connect|reach|touch|location"),
-        "form": _has_class(markup, "form", "contact|enquiry|message"),
-        "place": text.rlike(r"(?i)(?:business|opening|office)\s*hours|location|address"),
-        "social": _has_class(markup, "div|ul", "social|follow"),
+        "section": _has_class(markup, "div|section", SECTION_WORDS),
+        "form": _has_class(markup, "form", FORM_WORDS),
+        "place": text.rlike(PLACE_WORDS),
+        "social": _has_class(markup, "div|ul", SOCIAL_WORDS),
         "email": first_email(text).isNotNull(),
         "phone": first_phone_raw(text).isNotNull(),
-        "map": _has_class(markup, "iframe|div", "map|location"),
+        "map": _has_class(markup, "iframe|div", MAP_WORDS),
     }
 
 

@@ -15,15 +15,18 @@ WIDE_BLANKS = r"(?=[^\x00-\x7F])[\x{00A0}\x{1680}\x{2000}-\x{200B}\x{202F}\x{205
 
 def built_once(make):
     """Reuse the columns that ``make`` builds from hashable arguments: the large expressions take
-    thousands of calls into the JVM, and they name columns only, so every plan can share them."""
+    thousands of calls into the JVM, and they name columns only, so every plan can share them. A new JVM starts anew."""
     built: dict = {}
+    owner: list = [None]
 
     @wraps(make)
     def cached(*args):
-        key = (id(SparkContext._gateway), args)
-        if key not in built:
-            built[key] = make(*args)
-        return built[key]
+        if owner[0] is not SparkContext._gateway:
+            built.clear()
+            owner[0] = SparkContext._gateway
+        if args not in built:
+            built[args] = make(*args)
+        return built[args]
 
     return cached
 
@@ -66,9 +69,3 @@ def contains_any(c: Column, terms: list[str]) -> Column:
         return F.lit(False)
     escaped = ["".join("\\" + ch if ch in r".^$*+?()[]{}|\/-" else ch for ch in t) for t in terms]
     return c.rlike("|".join(escaped))
-
-
-def valid_utf8(raw: Column) -> Column:
-    """Decode bytes, NULL when they are not UTF-8."""
-    return F.try_validate_utf8(raw.cast("string"))
-

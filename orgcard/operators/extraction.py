@@ -30,8 +30,9 @@ SECTION_TAG = (
     r"""(?i)<(?:div|section)\b[^>]*\sclass\s*=\s*(?:"[^">]*|'[^'>]*|[^\s"'>]*)"""
     "(?:contact|footer|header|info|details)"
 )
-# Without an address sign or five digits there is nothing to find.
-MAY_HOLD_CONTACT = r"@|&commat;|&#|[0-9](?:[^0-9]*[0-9]){4}"
+# Without an address sign, or five digits or plus signs, or a character reference or escape that may stand for them, there
+# is nothing to find.
+MAY_HOLD_CONTACT = r"@|&commat;|&plus;|&#|\\|[0-9+](?:[^0-9+]*[0-9+]){4}"
 
 
 def _candidate(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from orgcard.functions.text import strip
 
-BUCKETS = 256
+# Rows of a bucket, and the most buckets whose bounds the driver holds.
+BUCKET_ROWS, BUCKETS = 1_000_000, 10_000
 
 
 def clean_companies(df: DataFrame, name: str) -> DataFrame:
@@ -16,11 +17,9 @@ def clean_companies(df: DataFrame, name: str) -> DataFrame:
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below the key, found in two steps of sixteen comparisons."""
-    if not bounds:
-        return F.lit(0)
-    values, step = F.array(*[F.lit(b) for b in bounds]), 16
-    coarse = F.array(*[F.lit(b) for b in bounds[step - 1::step]]).cast("array<bigint>")
+    """How many bounds lie below the key, found in two steps of as many comparisons as their root."""
+    step = int(len(bounds) ** 0.5) + 1
+    values, coarse = (F.lit(b).cast("array<bigint>") for b in (bounds, bounds[step - 1::step]))
     block = F.size(F.filter(coarse, lambda b: b < key)) * step
     rest = F.filter(F.slice(values, block + 1, F.lit(step)), lambda b: b < key)
     return block + F.size(rest)
@@ -29,12 +28,13 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
 def with_position(df: DataFrame, key: str, position: str = "pos") -> DataFrame:
     """Add the 0-based rank of a unique numeric key.
 
-    Quantiles of the key cut it into equal buckets (their values, at most ``BUCKETS``, come to the
-    driver); exact bucket counts give offsets, and rows are numbered inside buckets.
+    Quantiles of the key cut it into equal buckets of about ``BUCKET_ROWS`` (their bounds come to the driver); exact
+    bucket counts give offsets, and rows are numbered inside buckets.
     """
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    row = df.agg(F.percentile_approx(key, cuts, 10_000).alias("cuts")).first()
-    bounds = sorted(set(row["cuts"] or []))
+    buckets = min(BUCKETS, max(16, -(-df.count() // BUCKET_ROWS)))
+    cuts = [i / buckets for i in range(1, buckets)]
+    row = df.agg(F.percentile_approx(key, cuts, 2 * BUCKETS).alias("cuts")).first()
+    bounds = sorted(set(row["cuts"] or [0]))
     bucketed = df.withColumn("_bucket", _bucket(F.col(key), bounds))
     offsets = (
         bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))

@@ -400,12 +400,12 @@ def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_summary(spark, sf_dir):
-    batches = positions.slice_and_batch(order_results(spark, sf_dir), start_index=100, batch_size=1000)
+    batches = positions.slice_and_batch(order_results(spark, sf_dir), batch_size=1000)
     return summary.coverage(batches, "batch_id")
 
 
 def status_breakdown(spark, sf_dir):
-    batches = positions.slice_and_batch(order_results(spark, sf_dir), batch_size=5000, total_limit=14000)
+    batches = positions.slice_and_batch(order_results(spark, sf_dir), batch_size=5000)
     return summary.status_breakdown(batches, "batch_id")
 
 

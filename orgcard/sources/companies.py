@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orgcard.operators.positions import clean_companies
@@ -12,18 +12,14 @@ def read_companies(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     """(company_id, company_name): the first column is the name, whatever its header.
 
     A ``company_id`` column is taken as the key where there is one. Else the key is a hash of the
-    name and the place of the row in its file, so that equal names stay apart and a re-read of the
-    same files gives the same keys.
+    name and its number among equal names: rows are their names alone, so equal ones may swap their
+    numbers, and any re-read, with any splits, gives the same keys.
     """
     reader = spark.read
     df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     name = F.col(df.columns[0]).alias("company_name")
     if "company_id" in df.columns[1:]:
-        named = df.select("company_id", name)
-    else:
-        place = F.struct(
-            F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-            F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1),
-        )
-        named = df.select(F.xxhash64(name, place).alias("company_id"), name)
-    return clean_companies(named, "company_name")
+        return clean_companies(df.select("company_id", name), "company_name")
+    named = clean_companies(df.select(name), "company_name")
+    number = F.row_number().over(Window.partitionBy("company_name").orderBy(F.lit(0)))
+    return named.select(F.xxhash64("company_name", number).alias("company_id"), "company_name")

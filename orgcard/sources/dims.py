@@ -5,50 +5,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # --- fixed values ---------------------------------------------------------------------------
-# Contact terms by language. The test is "contains any", so a term that holds another term adds
-# nothing; the lists keep the shortest ones (``contact`` stands for contact-us, contact.html, ...).
+# Contact terms by category. The test is "contains any"; ``literal_terms`` reduces them to the shortest.
 CONTACT_TERMS: dict[str, list[str]] = {
     "english": [
-        "contact", "reach-us", "get-in-touch", "support", "help", "customer-service", "feedback",
-        "enquiry", "inquiry", "reach-out", "connect", "talk-to-us",
+        "contact", "contact-us", "about/contact", "about-us/contact", "reach-us", "get-in-touch", "support", "help",
+        "customer-service", "customer-support", "contact-support", "contact-form", "feedback", "enquiry", "inquiry",
+        "reach-out", "connect", "talk-to-us", "contact/sales", "contact/support", "helpdesk", "help-center",
     ],
     "german": [
-        "kontakt", "impressum", "kundendienst", "kundenservice", "hilfe", "uber-uns",
-        "schreiben-sie-uns",
+        "kontakt", "uber-uns/kontakt", "impressum", "kontaktformular", "kundendienst", "kundenservice", "hilfe",
+        "uber-uns", "support-de", "kontaktieren-sie-uns", "schreiben-sie-uns",
     ],
     "spanish": [
-        "contacto", "contactenos", "sobre-nosotros", "atencion-al-cliente", "ayuda", "soporte",
-        "servicio-al-cliente", "escribenos", "donde-estamos",
+        "contacto", "contactenos", "sobre-nosotros", "contactar", "atencion-al-cliente", "ayuda", "soporte",
+        "servicio-al-cliente", "contactanos", "escribenos", "donde-estamos",
     ],
     "french": [
-        "aide", "service-client", "assistance", "nous-ecrire", "coordonnees",
+        "nous-contacter", "contact-france", "contactez-nous", "aide", "service-client", "support-fr", "assistance",
+        "nous-ecrire", "coordonnees", "service-clientele",
     ],
     "italian": [
-        "contatti", "contattaci", "chi-siamo", "assistenza", "servizio-clienti", "supporto",
-        "dove-siamo", "scrivici",
+        "contatti", "contattaci", "chi-siamo", "assistenza", "servizio-clienti", "supporto", "dove-siamo", "scrivici",
     ],
     "portuguese": [
-        "contato", "fale-conosco", "atendimento", "suporte", "ajuda", "onde-estamos", "assistencia",
+        "contato", "contacte-nos", "fale-conosco", "atendimento", "suporte", "ajuda", "onde-estamos", "assistencia",
+    ],
+    "dutch": [
+        "contact", "neem-contact-op", "klantenservice", "over-ons", "hulp", "ondersteuning", "contact-opnemen",
     ],
-    "dutch": ["klantenservice", "over-ons", "hulp", "ondersteuning"],
     "turkish": [
-        "iletisim", "bize-ulasin", "destek", "musteri-hizmetleri", "bize-yazin", "kunye",
-        "genel-merkez",
+        "iletisim", "bize-ulasin", "bizimle-iletisime-gecin", "destek", "musteri-hizmetleri", "iletisim-formu",
+        "bize-yazin", "kunye", "firma-iletisim", "kurumsal-iletisim", "hakkimizda/iletisim", "bayi-iletisim",
+        "merkez-iletisim", "genel-merkez",
     ],
     "russian": [
-        "kontakty", "svyaz", "podderzhka", "napisat-nam", "sluzhba-podderzhki", "pomoshch",
-        "kontaktnaya-informatsiya",
+        "kontakty", "svyaz", "o-nas/kontakty", "podderzhka", "obratnaya-svyaz", "napisat-nam", "sluzhba-podderzhki",
+        "pomoshch", "kontaktnaya-informatsiya", "svyazatsya-s-nami",
     ],
     "chinese": [
-        "lian-xi-wo-men", "guan-yu-wo-men", "ke-fu-zhong-xin", "bang-zhu-zhong-xin",
-        "lian-xi-fang-shi", "jiu-zhu",
+        "lian-xi-wo-men", "guan-yu-wo-men", "ke-fu-zhong-xin", "bang-zhu-zhong-xin", "lian-xi-fang-shi", "jiu-zhu",
+    ],
+    "japanese": [
+        "otoiawase", "contact-jp", "support-jp", "help-jp", "o-toiawase", "contact-japan", "support-japan",
+    ],
+    "korean": [
+        "munui", "munuihagi", "contact-kr", "support-kr", "gokaek-sente", "contact-korea", "support-korea",
+    ],
+    "arabic": [
+        "ittisal", "tawasol-maana", "contact-ar", "support-ar", "musaeada", "aldaem", "contact-arabic",
+    ],
+    "common_variations": [
+        "contact-info", "contact-information", "business-contact", "corporate-contact", "global-contact",
+        "sales-contact", "office-contact", "headquarters-contact", "branch-contact", "regional-contact",
+        "international-contact", "local-contact", "contact-details", "contact-directory", "contact-locations",
+        "contact-addresses", "general-contact", "main-contact",
+    ],
+    "industry_specific": [
+        "dealer-contact", "supplier-contact", "vendor-contact", "distributor-contact", "partner-contact",
+        "reseller-contact", "wholesaler-contact", "manufacturer-contact", "factory-contact", "industrial-contact",
+        "commercial-contact", "retail-contact",
+    ],
+    "file_extensions": [
+        "contact.html", "contact.php", "contact.asp", "contact.jsp", "contact.aspx", "contact.shtml", "contact.cfm",
+        "contact.py", "contact/", "contact/index.html",
+    ],
+    "api_endpoints": [
+        "/api/contact", "/api/v1/contact", "/api/support", "/api/feedback", "/contact/api", "/v1/contact",
     ],
-    "japanese": ["otoiawase", "o-toiawase"],
-    "korean": ["munui", "gokaek-sente"],
-    "arabic": ["ittisal", "tawasol-maana", "musaeada", "aldaem"],
 }
-# Categories whose terms all hold ``contact``, ``support`` or ``feedback``.
-COVERED_CATEGORIES = ["common_variations", "industry_specific", "file_extensions", "api_endpoints"]
 # Opt-in patterns: the first three are searched in the reference, the last in the host.
 CONTACT_PATTERNS: dict[str, list[str]] = {
     "url_patterns": [
@@ -88,14 +112,16 @@ STATUSES = ["success", "no_website_found", "error", "encoding_error", "failed"]
 # --- end of fixed values --------------------------------------------------------------------
 
 
-def literal_terms() -> list[str]:
-    """All contact terms, each once."""
-    return list(dict.fromkeys(t for terms in CONTACT_TERMS.values() for t in terms))
+def literal_terms(*categories: str) -> list[str]:
+    """Contact terms of some categories, of all by default, without those that hold another one: where the longer
+    term occurs, so does the shorter."""
+    terms = dict.fromkeys(t for c in categories or CONTACT_TERMS for t in CONTACT_TERMS[c])
+    return [t for t in terms if not any(other != t and other in t for other in terms)]
 
 
 def category_names() -> list[str]:
     """Names of the term categories: the narrow matching mode compares against these."""
-    return [*CONTACT_TERMS, *COVERED_CATEGORIES, *CONTACT_PATTERNS]
+    return [*CONTACT_TERMS, *CONTACT_PATTERNS]
 
 
 def reference_pattern() -> str:

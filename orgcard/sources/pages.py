@@ -30,12 +30,13 @@ def latest_snapshot(df: DataFrame, key: str, time: str, tie: str, columns: list[
 def page_ids(pages: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     """One page per wanted ``url_key``: the newest snapshot, then the smallest id.
 
-    Reads the URL column only, so the markup takes no part in this. A small request table is
+    A snapshot without markup is no page and hides no older one. The test for it reads the definition of the markup, but
+    no markup is carried on. A small request table is
     broadcast before the aggregation; beyond that, pages are reduced to one row per key first, so
     that copies of one URL never meet in a join task.
     """
     has_time = "fetched_at" in pages.columns
-    narrow = with_url_key(pages.select("page_id", "url", *(["fetched_at"] if has_time else [])))
+    narrow = with_url_key(pages.filter(F.col("html").isNotNull()).select("page_id", "url", *(["fetched_at"] if has_time else [])))
     newest = F.max(F.struct(*(["fetched_at"] if has_time else []), (-F.col("page_id")).alias("neg_id")))
     if small:
         found = narrow.join(F.broadcast(wanted), "url_key")

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from orgcard.plans.oracle import oracle
+from orgcard.plans.queries import registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -30,15 +32,16 @@ def norm(value):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(registry()) == set(oracle())
+    assert set(registry()) <= set(entry_module.queries()) and set(oracle()) <= set(entry_module.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(registry()))
 def test_query(spark, duck, name):
-    df = entry_module.queries()[name](spark, SF_DIR)
+    df = registry()[name](spark, SF_DIR)
     columns = sorted(df.columns)
     got = sorted(tuple(norm(v) for v in r) for r in df.select(*columns).collect())
-    result = duck.execute(entry_module.oracle_sql()[name])
+    result = duck.execute(oracle()[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
@@ -54,14 +57,14 @@ def test_entry(spark):
 STAGED = {"stream_results", "stream_first_seen", "site_company_contacts", "frame_contacts", "upsert_results"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - STAGED))
+@pytest.mark.parametrize("name", sorted(set(registry()) - STAGED))
 def test_plans_hold_no_cross_joins(spark, plan, name):
-    df = entry_module.queries()[name](spark, SF_DIR)
+    df = registry()[name](spark, SF_DIR)
     text = plan(df)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 @pytest.mark.parametrize("name", ["page_url_parts", "page_url_valid", "url_score_top3", "serp_first_hit"])
 def test_url_queries_do_not_read_markup(spark, plan, name):
-    text = plan(entry_module.queries()[name](spark, SF_DIR))
+    text = plan(registry()[name](spark, SF_DIR))
     assert "html" not in text
