@@ -77,17 +77,25 @@ def _link_value(links: Column, prefix: str) -> Column:
 
 
 def _builder_candidates(nodes: Column, text: Column) -> Column:
-    """Per container: overriding links, then the text of its paragraphs, spans and divisions."""
+    """Per container: overriding links, then the text of its paragraphs, spans and divisions.
 
-    def of(container: Column, i: Column) -> Column:
-        return let(T.descendants(nodes, container), lambda own: from_nodes(own, i))
+    An element's text holds that of all elements in it, and comes first, so only the outermost ones are searched; so
+    does a container inside one that comes before it, whose text then has nothing to add.
+    """
+
+    def of_all(containers: Column) -> Column:
+        def of(container: Column, i: Column) -> Column:
+            searched = F.exists(F.slice(containers, F.lit(1), i), lambda b: T.inside(container, b))
+            return let(T.descendants(nodes, container), lambda own: from_nodes(own, i, searched))
 
-    def from_nodes(own: Column, i: Column) -> Column:
+        return F.flatten(F.transform(containers, of))
+
+    def from_nodes(own: Column, i: Column, searched: Column) -> Column:
         links = F.filter(own, lambda n: (n["tag"] == "a") & n["href"].isNotNull())
-        chunks = F.transform(
-            F.filter(own, lambda n: n["tag"].isin("p", "span", "div")),
+        chunks = F.when(searched, F.array().cast("array<string>")).otherwise(F.transform(
+            T.outermost(F.filter(own, lambda n: n["tag"].isin("p", "span", "div"))),
             lambda n: T.subtree_text(n, text),
-        )
+        ))
         email = first_where(_link_value(links, "mailto:"), C.is_valid_email)
         number = first_where(_link_value(links, "tel:"), C.is_valid_phone)
         return F.array(
@@ -95,7 +103,7 @@ def _builder_candidates(nodes: Column, text: Column) -> Column:
             *_pair(2, C.first_email_of(chunks), C.first_phone_raw_of(chunks), chunk=i),
         )
 
-    return F.flatten(F.transform(_builders(nodes), of))
+    return let(_builders(nodes), of_all)
 
 
 def _section_chunks(nodes: Column) -> Column:

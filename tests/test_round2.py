@@ -72,3 +72,11 @@ def test_terms_of_one_language_find_what_all_its_terms_find():
     for category, terms in dims.CONTACT_TERMS.items():
         short = dims.literal_terms(category)
         assert all(any(s in t for s in short) for t in terms) and set(short) <= set(terms)
+
+
+def test_nested_containers_are_cheap(spark):
+    body = '<div class="elementor-widget-container"><p>call (212) 555-1234 or a@b.co</p>' * 200 + "text " * 200 + "</div>" * 200
+    page = spark.createDataFrame([(1, "https://a.com/", body)], "page_id long, url string, html string")
+    start = time.time()
+    row = extraction.first_contacts(page).first()
+    assert (row.email, row.phone) == ("a@b.co", "+12125551234") and time.time() - start < 30
