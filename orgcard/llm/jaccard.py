@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from orgcard.llm import common
 
-GRAM, PERCENT, CELL_BITS, SCAN, LARGEST, BLOCK = 4, 85, 18, 8, 4096, 2048
+GRAM, PERCENT, CELL_BITS, SCAN, LARGEST, BLOCK, TASK_ROWS = 4, 85, 18, 8, 4096, 2048, 1 << 16
 SETS = ("key long, n long, s1 long, s2 long, bits binary, range int, keys binary, owners binary, sizes binary, places binary")
 FILTER = 1 << 22  # cells of the filter that keeps texts no pair asks for out of an exchange
 LISTED, SUBSET = np.uint64(0x51ED27), np.uint64(0xA3B195)
@@ -186,8 +186,9 @@ def shared_keys(rows: DataFrame, boundary: int) -> DataFrame:
         meet, "bucket long, owner long, n long, place long")
 
 
-def admitted(heads: list[bytes | None], n: np.ndarray, i: np.ndarray, j: np.ndarray, need: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs (i, j) the bitmaps of their heads allow `need` common shingles.
+def admitted(heads: list[bytes | None], n: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, need: np.ndarray,
+             percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) of rows the bitmaps of their heads (heads[own]) allow `need` common shingles.
 
     Common shingles up to where the shorter head ends are in both heads, the others are behind that head; and each bit
     that only one bitmap has is a shingle of that head that the other lacks."""
@@ -195,39 +196,51 @@ def admitted(heads: list[bytes | None], n: np.ndarray, i: np.ndarray, j: np.ndar
     alike = least_common(n, percent)
     head = n - alike + 1
     out = np.ones(len(i), bool)
-    both = np.minimum(width[i], width[j])
+    p, q = own[i], own[j]
+    both = np.minimum(width[p], width[q])
     for size in np.unique(both[both > 0]):
         which = np.flatnonzero(both == size)
-        used = np.unique(np.concatenate([i[which], j[which]]))
+        used = np.unique(np.concatenate([p[which], q[which]]))
         maps = np.stack([np.bitwise_or.reduce(np.frombuffer(heads[k], np.uint64).reshape(-1, size // 8), axis=0) for k in used])
         for part in np.array_split(which, 1 + len(which) * int(size) // (1 << 24)):
-            a, b = maps[np.searchsorted(used, i[part])], maps[np.searchsorted(used, j[part])]
+            a, b = maps[np.searchsorted(used, p[part])], maps[np.searchsorted(used, q[part])]
             most = np.minimum(head[i[part]] - np.bitwise_count(a & ~b).sum(1), head[j[part]] - np.bitwise_count(b & ~a).sum(1))
             out[part] = most + np.maximum(alike[i[part]], alike[j[part]]) - 1 >= need[part]
     return out
 
 
-def paired(t: pa.Table, star: bool, boundary: int, percent: int, at_once: int = 1 << 21) -> pa.Table:
-    """Candidates (a, b), a the smaller set, out of whole blocks of keys: with star only those of each block's first set."""
+def paired(t: pa.Table, maps: pa.Table, star: bool, boundary: int, percent: int, at_once: int = 1 << 21) -> pa.Table:
+    """Candidates (a, b), a the smaller set, out of whole blocks of keys: with star only those of each block's set that has
+    most keys in common with others (degree), so of the one that was changed least. maps: the bitmap of each set."""
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     if not len(t):
         return none
-    bucket, low, high, own, rep, n, place, c = (t[x].to_numpy() for x in ("bucket", "low", "high", "own", "rep", "n", "place", "c"))
-    order = np.lexsort((rep, n, high, low, bucket))
-    bucket, low, high, own, rep, n, place, c = (x[order] for x in (bucket, low, high, own, rep, n, place, c))
-    bits = t["bits"].to_pylist()
-    bits = [bits[k] for k in order.tolist()]
+    columns = [t[x].to_numpy() for x in ("bucket", "low", "high", "own", "rep", "n", "place", "c", "degree")]
+    order = np.lexsort((columns[4], columns[5], columns[2], columns[1], columns[0]))
+    bucket, low, high, own, rep, n, place, c, degree = (x[order] for x in columns)
+    ids, at = np.unique(rep, return_inverse=True)
+    known = dict(zip(maps["rep"].to_pylist(), maps["bits"].to_pylist()))
+    bits = [known.get(k) for k in ids.tolist()]
     new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
     first = np.flatnonzero(new)
-    end = np.repeat(np.append(first[1:], len(new)), np.diff(np.append(first, len(new))))
-    many = np.where(new, end - np.arange(len(new)) - 1, 0) if star else end - np.arange(len(new)) - 1
+    size = np.diff(np.append(first, len(new)))
+    if star:
+        group = np.repeat(np.arange(len(first)), size)
+        pivot = np.lexsort((rep, -degree, group))[first]
+        first, many = pivot, size
+    else:
+        many = np.repeat(first + size, size) - np.arange(len(new)) - 1
     begin, found = 0, set()
     total = np.cumsum(many)
     while begin < len(many):
         stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + at_once, side="right")))
         k = many[begin:stop]
-        i = np.repeat(np.arange(begin, stop), k)
-        j = i + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        i, step = np.repeat(np.arange(begin, stop), k), np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        if star:  # rows of a block stand together, sorted by size: the smaller of the two comes first
+            j = np.repeat(np.cumsum(size) - size, size)[total[begin] - many[begin]:total[stop - 1]] + step
+            i, j = np.minimum(pivot[i], j), np.maximum(pivot[i], j)
+        else:
+            j = i + 1 + step
         begin = stop
         fine = (c[i] != c[j]) & (rep[i] != rep[j]) & (100 * n[i] >= percent * n[j]) & ((low[i] == high[i]) | (own[i] != own[j]))
         i, j = i[fine], j[fine]
@@ -237,7 +250,7 @@ def paired(t: pa.Table, star: bool, boundary: int, percent: int, at_once: int =
         reach = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
         fine = ~listed | (n[j] > boundary) & (place[i] < short) & (reach >= need)
         i, j, need = i[fine], j[fine], need[fine]
-        fine = admitted(bits, n, i, j, need, percent)
+        fine = admitted(bits, n, at, i, j, need, percent)
         found.update(zip(rep[i[fine]].tolist(), rep[j[fine]].tolist()))
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -317,23 +330,29 @@ def joined(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, scan: floa
     # of rows that share an id but not the text there is no one bitmap
     heads = rows.where("bits is not null").join(classes.select(F.col("rep").alias("key")).distinct(), "key").groupBy("key").agg(
         F.min("bits").alias("low"), F.max("bits").alias("high")).select(F.col("key").alias("rep"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
-    keys = common.stored(keys.join(heads, "rep"))
+    degree = keys.groupBy("rep").agg(F.count("*").alias("degree"))
+    keys, heads = common.stored(keys.join(degree, "rep")), common.stored(heads)
+    tasks = max(1, keys.count() // TASK_ROWS)
 
     def pairing(star: bool):
-        return lambda t: paired(t, star, boundary, percent)
+        return lambda t, maps: paired(t, maps, star, boundary, percent)
 
     links, place = None, None
     for star in (True, False):
         now = keys.withColumn("c", F.col("rep")) if place is None else keys.join(
             place.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        open_keys = now.groupBy("bucket").agg(F.count("*").alias("many"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
+        open_keys = now.groupBy("bucket").agg(F.count("*").alias("many"), F.min("c").alias("x"), F.max("c").alias("y"),
+                                            F.min(F.struct(-F.col("degree"), F.col("rep"), F.col("n"))).alias("pivot")).where("x <> y")
         blocks = F.ceil(F.col("many") / block).cast("int")
         now = now.join(open_keys, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         now = now.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        now = now.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "place", "c", "bits")
-        groups = max(1, int(counts.sum() // 2e6))
-        now = now.withColumn("task", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(groups)))
-        pairs = now.groupBy("task").applyInArrow(pairing(star), "a long, b long")
+        # keys with one pivot go to one task, where a pair under many keys is found once; those of long sets to several
+        salt = F.pmod("bucket", 1 + (F.col("pivot.n") / BLOCK).cast("long"))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        now = now.select("bucket", low.alias("low"), high.alias("high"), "own", "rep", "n", "place", "c", "degree",
+                         F.pmod(F.xxhash64("pivot.rep", low, high, salt), F.lit(tasks)).alias("task"))
+        maps = now.select(F.col("task").alias("for_task"), F.col("rep").alias("of")).distinct().join(heads, F.col("of") == heads["rep"])
+        pairs = now.groupBy("task").cogroup(maps.select("for_task", "rep", "bits").groupBy("for_task")).applyInArrow(pairing(star), "a long, b long")
         pairs = common.cut(pairs.distinct())
         ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         found = verified(pairs, common.stored(asked_for(docs, ids)), gram, percent)
