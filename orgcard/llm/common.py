@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -242,3 +244,19 @@ def summed(parts: DataFrame, dtype, like: tuple[int, ...]) -> np.ndarray:
 
     rows = sorted((r["block"], bytes(r["data"])) for r in parts.groupBy("block").applyInArrow(add, PARTS).collect())
     return np.concatenate([unpack(x, dtype) for _, x in rows]).reshape(like) if rows else np.zeros(like, dtype)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application, so that it need not be installed there."""
+    if (app := spark.sparkContext.applicationId) in _shipped:
+        return
+    root = Path(__file__).parents[1]
+    file = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(file))
+    _shipped.add(app)

@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
-from orgcard.llm import decontaminate, hnsw, jaccard, langid, mixing, packing, styletree, substring, suffixes, warc
+from collections.abc import Callable
+from functools import wraps
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries():
-    return {
-        "op1_jaccard_join": jaccard.query,
-        "op2_warc_packages": warc.query,
-        "op3_embedding_dedup": hnsw.query,
-        "op4_source_mixing": mixing.query,
-        "op5_suffix_dedup": suffixes.query,
-        "op6_html_extraction": styletree.query,
-        "op7_token_packing": packing.query,
-        "op8_substring_dedup": substring.query,
-        "op9_language_id": langid.query,
-        "op10_decontamination": decontaminate.query,
-    }
+from orgcard.llm import common, decontaminate, hnsw, jaccard, langid, mixing, packing, styletree, substring, suffixes, warc
+
+
+QUERIES = {
+    "op1_jaccard_join": jaccard.query,
+    "op2_warc_packages": warc.query,
+    "op3_embedding_dedup": hnsw.query,
+    "op4_source_mixing": mixing.query,
+    "op5_suffix_dedup": suffixes.query,
+    "op6_html_extraction": styletree.query,
+    "op7_token_packing": packing.query,
+    "op8_substring_dedup": substring.query,
+    "op9_language_id": langid.query,
+    "op10_decontamination": decontaminate.query,
+}
+
+
+def shipping(query):
+    """The query, with this package given to the executors first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: shipping(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
