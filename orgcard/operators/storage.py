@@ -13,7 +13,7 @@ BROADCAST_ROWS = 200_000
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one of the cluster, a fresh local one where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="orgcard-")
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -76,7 +76,10 @@ def mine_companies(
     )
     site_keys = websites.filter(F.col("site_key").isNotNull()).select("site_key").distinct()
     contacts = mine_sites(pages, site_keys, **options).select("site_key", "email", "phone")
-    return with_status(websites.join(contacts, "site_key", "left")).select(*COLUMNS)
+    # companies without a website would all meet in one task of the join
+    nowhere = websites.filter(F.col("site_key").isNull()).withColumns({c: F.lit(None).cast("string") for c in ("email", "phone")})
+    found = websites.filter(F.col("site_key").isNotNull()).join(contacts, "site_key", "left")
+    return with_status(found.unionByName(nowhere)).select(*COLUMNS)
 
 
 def reprocess(results: DataFrame, serp: DataFrame, pages: DataFrame, **options) -> DataFrame:
