@@ -381,7 +381,13 @@ SELECT user_id, event_id, event_type, value FROM (
     sql["stream_results"] = f"""
 SELECT doc_id AS company_id, source AS company_name, CAST(NULL AS VARCHAR) AS website, email, phone,
   'no_website_found' AS status FROM ({DOC_CONTACTS})"""
-    sql["stream_first_seen"] = "SELECT DISTINCT user_id FROM events"
+    sql["stream_first_seen"] = """
+WITH RECURSIVE r AS (
+  SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
+  UNION ALL
+  SELECT e.user_id, min(e.ts) AS ts FROM r JOIN events e ON e.user_id = r.user_id AND e.ts >= r.ts + INTERVAL 7 DAYS
+  GROUP BY e.user_id, r.ts)
+SELECT user_id, ts FROM r"""
     sql["props_json"] = """
 SELECT event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k FROM (
   SELECT event_type, CAST(regexp_extract(props, '"k":\\s*(-?[0-9]+)', 1) AS BIGINT) AS k FROM events)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from orgcard.sources.dims import CACHE_DAYS
@@ -30,9 +33,35 @@ def upsert_stream(
 
 
 def first_in_window(arriving: DataFrame, key: str, time: str, days: int = CACHE_DAYS) -> DataFrame:
-    """Pass a key once per cache period: later rows within the watermark are repeats."""
-    timed = arriving.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, f"{days} days").dropDuplicatesWithinWatermark([key])
+    """(key, time) of the rows that pass: the first of a key, then the first that comes ``days`` after the last passed one.
+
+    Micro-batches must follow each other in time; within one, rows may come in any order. The state of a key is the time
+    that passed last, dropped when the watermark shows that the period is over and any row would pass.
+    """
+    period = timedelta(days=days)
+
+    def step(keys, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        passed = []
+        for at in pd.concat([f[time] for f in frames]).sort_values():
+            if last is None or at - last >= period:
+                passed.append(at)
+                last = at.to_pydatetime()
+        state.update((last,))
+        expiry = int((last + period).replace(tzinfo=timezone.utc).timestamp() * 1000)
+        if expiry > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(expiry)
+        if passed:
+            yield pd.DataFrame({key: [keys[0]] * len(passed), time: passed})
+
+    timed = arriving.select(key, F.col(time).cast("timestamp_ntz").alias(time), F.col(time).cast("timestamp").alias("_at"))
+    types = dict(timed.dtypes)
+    return timed.withWatermark("_at", "0 seconds").groupBy(key).applyInPandasWithState(
+        step, f"{key} {types[key]}, {time} timestamp_ntz", "last timestamp_ntz", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

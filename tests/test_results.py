@@ -119,9 +119,13 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_stream_first_in_window(spark, tmp_path):
-    source = str(tmp_path / "in")
-    df = spark.createDataFrame([("u", 1), ("u", 2), ("v", 3)], "url string, s int").select("url", F.timestamp_seconds("s").alias("at"))
-    df.write.parquet(source)
-    stream = spark.readStream.schema(df.schema).parquet(source)
+    source, day = str(tmp_path / "in"), 86_400
+    batches = [[("u", 1), ("u", 2), ("v", 3)], [("u", 6 * day), ("v", 8 * day)], [("u", 7 * day + 1), ("w", 9 * day)], [("u", 30 * day), ("u", 36 * day), ("u", 37 * day)]]
+    want = [("u", 1), ("v", 3), ("v", 8 * day), ("u", 7 * day + 1), ("w", 9 * day), ("u", 30 * day), ("u", 37 * day)]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "url string, s int").select("url", F.timestamp_seconds("s").alias("at"))
+        df.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
     jobs.append_stream(jobs.first_in_window(stream, "url", "at"), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
-    assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "o")).collect()) == ["u", "v"]
+    got = spark.read.parquet(str(tmp_path / "o")).select("url", F.unix_seconds(F.col("at").cast("timestamp")).alias("s"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
