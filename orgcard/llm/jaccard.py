@@ -15,7 +15,7 @@ then by hash. Any order gives all links; a good one keeps what many documents sh
 
 Equal sets are one class with the least id, whatever their number. What shares a key is a candidate only if the bounds
 allow a link: sizes, the key's places in both orders, the shorter head that the smaller set needs, and the most common
-shingles that the bitmaps of both heads admit. In a first round each key compares its sets with one pivot only; those that
+shingles that 16-bit marks of both heads admit. In a first round each key compares its sets with one pivot only; those that
 became connected need no further comparison. What is then still in different components under a common key is taken pair
 by pair, large keys in blocks, so components are exact. Pairs come out of a task only after the bounds. Verification takes
 the whole texts and compares exact sets.
@@ -121,10 +121,8 @@ def set_rows(docs: DataFrame, counts, boundary: int, gram: int, percent: int, ra
             places.append(np.zeros(len(own) * len(i), np.int64))
         return np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
 
-    def bitmap(head: np.ndarray) -> bytes:
-        bits = np.zeros(1 << max(6, (4 * len(head) - 1).bit_length()), np.uint8)
-        bits[(head & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-        return np.packbits(bits, bitorder="little").tobytes()
+    def marks(head: np.ndarray) -> bytes:
+        return np.sort(head.astype(np.uint16)).tobytes()  # the lower bits of each hash
 
     def make(batches):
         for batch in batches:
@@ -142,7 +140,7 @@ def set_rows(docs: DataFrame, counts, boundary: int, gram: int, percent: int, ra
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(common.mix(h + common.seeded(k, 11)[k - 1]), dtype=np.uint64)]) for k in (1, 2)]
                 s1, s2 = (common.mix(s[begin + size] - s[begin] + size.astype(np.uint64)) for s in sums)
                 heads = begin + size - least_common(size, percent) + 1
-                bits = [bitmap(h[i:j]) if n else None for i, j, n in zip(begin, heads, size)]
+                bits = [marks(h[i:j]) if n else None for i, j, n in zip(begin, heads, size)]
                 rows += zip(ids[a:b].tolist(), size.tolist(), s1.view(np.int64).tolist(), s2.view(np.int64).tolist(), bits)
                 k, o, p = keys_of(h, size, begin)
                 places.append(p)
@@ -186,32 +184,56 @@ def shared_keys(rows: DataFrame, boundary: int) -> DataFrame:
         meet, "bucket long, owner long, n long, place long")
 
 
+def bitmap(marks: bytes) -> np.ndarray:
+    """Four bits for each mark, a power of two of them and 64 at least."""
+    bits = np.zeros(1 << min(16, max(6, (2 * len(marks) - 1).bit_length())), np.uint8)
+    bits[np.frombuffer(marks, np.uint16) & (len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def admitted(heads: list[bytes | None], n: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, need: np.ndarray,
              percent: int) -> np.ndarray:
-    """Which of the pairs (i, j) of rows the bitmaps of their heads (heads[own]) allow `need` common shingles.
+    """Which of the pairs (i, j) of rows the marks of their heads (heads[own]) allow `need` common shingles.
 
-    Common shingles up to where the shorter head ends are in both heads, the others are behind that head; and each bit
-    that only one bitmap has is a shingle of that head that the other lacks."""
-    width = np.array([len(x) if x else 0 for x in heads])
+    Common shingles up to where the shorter head ends are in both heads, the others are behind that head. Each bit that
+    only one head's bitmap has is a shingle that the other lacks; what passes that is counted by the marks themselves."""
     alike = least_common(n, percent)
     head = n - alike + 1
     out = np.ones(len(i), bool)
     p, q = own[i], own[j]
+    maps = {k: bitmap(heads[k]) for k in np.unique(np.concatenate([p, q])).tolist() if heads[k]}
+    width = np.array([len(maps[k]) if k in maps else 0 for k in range(len(heads))])
     both = np.minimum(width[p], width[q])
+    behind = np.maximum(alike[i], alike[j]) - 1
     for size in np.unique(both[both > 0]):
         which = np.flatnonzero(both == size)
         used = np.unique(np.concatenate([p[which], q[which]]))
-        maps = np.stack([np.bitwise_or.reduce(np.frombuffer(heads[k], np.uint64).reshape(-1, size // 8), axis=0) for k in used])
-        for part in np.array_split(which, 1 + len(which) * int(size) // (1 << 24)):
-            a, b = maps[np.searchsorted(used, p[part])], maps[np.searchsorted(used, q[part])]
+        folded = np.stack([np.bitwise_or.reduce(maps[k].reshape(-1, size), axis=0) for k in used.tolist()])
+        for part in np.array_split(which, 1 + len(which) * int(size) // (1 << 21)):
+            a, b = folded[np.searchsorted(used, p[part])], folded[np.searchsorted(used, q[part])]
             most = np.minimum(head[i[part]] - np.bitwise_count(a & ~b).sum(1), head[j[part]] - np.bitwise_count(b & ~a).sum(1))
-            out[part] = most + np.maximum(alike[i[part]], alike[j[part]]) - 1 >= need[part]
+            out[part] = most + behind[part] >= need[part]
+    distinct: dict[int, tuple[np.ndarray, int]] = {}
+
+    def marks_of(k: int) -> tuple[np.ndarray, int]:
+        if k not in distinct:
+            x = np.frombuffer(heads[k], np.uint16)
+            distinct[k] = (u := np.unique(x)), len(x) - len(u)
+        return distinct[k]
+
+    known: dict[tuple[int, int], int] = {}
+    for k in np.flatnonzero(out & (both > 0)).tolist():
+        pair = int(p[k]), int(q[k])
+        if pair not in known:
+            (x, twice), (y, double) = marks_of(pair[0]), marks_of(pair[1])
+            known[pair] = len(np.intersect1d(x, y, assume_unique=True)) + min(twice, double)
+        out[k] = known[pair] + behind[k] >= need[k]
     return out
 
 
 def paired(t: pa.Table, maps: pa.Table, star: bool, boundary: int, percent: int, at_once: int = 1 << 21) -> pa.Table:
     """Candidates (a, b), a the smaller set, out of whole blocks of keys: with star only those of each block's set that has
-    most keys in common with others (degree), so of the one that was changed least. maps: the bitmap of each set."""
+    most keys in common with others (degree), so of the one that was changed least. maps: the marks of each set."""
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     if not len(t):
         return none
@@ -327,7 +349,7 @@ def joined(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, scan: floa
 
     of_owner = member.where("n > 0").select(F.col("key").alias("owner"), "rep").distinct()
     keys = shared_keys(rows, boundary).join(of_owner, "owner").select("bucket", "rep", "n", "place").distinct()
-    # of rows that share an id but not the text there is no one bitmap
+    # of rows that share an id but not the text there are no marks
     heads = rows.where("bits is not null").join(classes.select(F.col("rep").alias("key")).distinct(), "key").groupBy("key").agg(
         F.min("bits").alias("low"), F.max("bits").alias("high")).select(F.col("key").alias("rep"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
     degree = keys.groupBy("rep").agg(F.count("*").alias("degree"))
