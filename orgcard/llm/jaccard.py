@@ -231,7 +231,7 @@ def admitted(heads: list[bytes | None], n: np.ndarray, own: np.ndarray, i: np.nd
     return out
 
 
-def paired(t: pa.Table, maps: pa.Table, star: bool, boundary: int, percent: int, at_once: int = 1 << 21) -> pa.Table:
+def paired(t: pa.Table, maps: pa.Table, star: bool, boundary: int, percent: int, at_once: int = 1 << 18) -> pa.Table:
     """Candidates (a, b), a the smaller set, out of whole blocks of keys: with star only those of each block's set that has
     most keys in common with others (degree), so of the one that was changed least. maps: the marks of each set."""
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
