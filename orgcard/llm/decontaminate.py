@@ -10,7 +10,11 @@
    by cosine; those of `cosine` at least are candidates. An item's cosine with itself is scaled to 1, whatever share of
    it the space holds. A window of which too little weight is in the benchmark's words cannot reach the threshold and is
    not multiplied.
-4. Check: longest common subsequence of words between an item and the surroundings of a window. A document has the item
+4. Exact candidates beside the cosine, which is blind to words that copies of the item have made frequent and to edits
+   that add rare words: every window whose surroundings can hold `loose` of an item's words (each as often as the item
+   has it). Of an item's n words, rarest first, all but t - k are looked up, t being `loose` of n and k half of it: where
+   t words are held, k of those are. So no window that could pass the check is missed, whatever the weights.
+5. Check: longest common subsequence of words between an item and the surroundings of a window. A document has the item
    if that is `lcs` of the item's words at least, or if it is `loose` at least and the item's answer (its last sentence)
    is there in order, as in a paraphrase that keeps the answer.
 
@@ -23,6 +27,9 @@ nothing; equal items each match; equal rows get equal rows; a null doc_id comes
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,7 +147,7 @@ def lcs_length(a: list[int], b: list[int]) -> int:
 class Items:
     """Benchmark items by length of their windows, and what scores a window against them."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes], space: np.ndarray, weights: np.ndarray):
+    def __init__(self, ids: list[int | None], texts: list[bytes], space: np.ndarray, weights: np.ndarray, least: float):
         self.space, self.weights = space, weights
         h, first = words_of(texts)
         self.vocabulary = np.unique(h)
@@ -162,7 +169,20 @@ class Items:
             v = np.stack([self.vectors(x).sum(0) for x in own])
             held = np.maximum(np.einsum("ij,ij->i", v, v), 1e-30)
             length = np.array([np.sqrt((weights[terms_of(x)] ** 2).sum()) for x in own])
-            self.groups.append((n, np.array(members), (v * (length / held)[:, None]).astype(np.float32)))
+            self.groups.append((n, np.array(members), (v * (length / held)[:, None]).astype(np.float32), self.postings(own, least)))
+
+    def postings(self, own: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where the entries of each word of the vocabulary begin; of each entry the item and how often it has the word
+        among those looked up; of each item how many of those a match holds at least."""
+        rows, needed = [], []
+        for m, x in enumerate(own):
+            t = max(1, math.ceil(least * len(x) - 1e-9))
+            k = (t + 1) // 2
+            looked_up = x[np.lexsort((x, -self.weights[terms_of(x)]))][:len(x) - t + k]
+            rows += [(at, m, times) for at, times in Counter(np.searchsorted(self.vocabulary, looked_up).tolist()).items()]
+            needed.append(k)
+        word, item, times = np.array(sorted(rows), np.int64).T
+        return np.searchsorted(word, np.arange(len(self.vocabulary) + 1)), item, times, np.array(needed)
 
     def vectors(self, hashes: np.ndarray) -> np.ndarray:
         return self.space[dimensions_of(hashes)] * self.weights[terms_of(hashes)][:, None]
@@ -185,7 +205,7 @@ def candidates(h: np.ndarray, first: np.ndarray, items: Items, cosine: float):
     known = items.vocabulary[np.minimum(near, len(items.vocabulary) - 1)] == h if len(items.vocabulary) else np.zeros(len(h), bool)
     whole, shared = (np.concatenate([[0.0], np.cumsum(x)]) for x in (square, square * known))
     place, kept = np.concatenate([[0], np.cumsum(known)]), h[known]
-    for width, members, queries in items.groups:
+    for width, members, queries, postings in items.groups:
         start, end, own = windows_of(first, width)
         length = whole[end] - whole[start]
         likely = np.flatnonzero((shared[end] - shared[start] >= (0.9 * cosine) ** 2 * length) & (place[end] > place[start]) & (length > 0))
@@ -198,6 +218,45 @@ def candidates(h: np.ndarray, first: np.ndarray, items: Items, cosine: float):
             for k in range(0, len(members), 512):
                 row, item = np.nonzero(v @ queries[k:k + 512].T >= cosine)
                 yield from zip(own[part][row].tolist(), members[k + item].tolist(), start[part][row].tolist(), end[part][row].tolist())
+        low, high = surroundings(first, start, end, own)
+        for row, item in overlapping(near[known], place[low], place[high], postings):
+            yield from zip(own[row].tolist(), members[item].tolist(), start[row].tolist(), end[row].tolist())
+
+
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... n[i] of them, for each i in turn."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def surroundings(first: np.ndarray, start: np.ndarray, end: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words around windows begin and end: half a window more on both sides, within the text."""
+    around = end - start >> 1
+    return np.maximum(first[own], start - around), np.minimum(first[own + 1], end + around)
+
+
+def overlapping(words: np.ndarray, low: np.ndarray, high: np.ndarray, postings, most: int = 1 << 20):
+    """(stretch, item) arrays: all stretches low to high of words (places in the vocabulary) that hold as many of an
+    item's looked up words as a match needs; a word that the stretch has counts as often as the item has it."""
+    begin, item_of, times, needed = postings
+    fan = np.diff(begin)[words]
+    place = np.concatenate([[0], np.cumsum(fan > 0)])
+    words, a, b = words[fan > 0], place[low], place[high]
+    fan = fan[fan > 0]
+    order = np.argsort(words, kind="stable")
+    before = np.full(len(words), -1)
+    before[order[1:]] = np.where(words[order[1:]] == words[order[:-1]], order[:-1], -1)
+    likely = np.flatnonzero(b - a >= needed.min())
+    cost = np.concatenate([[0], np.cumsum(fan)])
+    part = np.cumsum(cost[b[likely]] - cost[a[likely]] + len(needed)) // most
+    for rows in np.split(likely, np.flatnonzero(np.diff(part)) + 1) if len(likely) else ():
+        n = b[rows] - a[rows]
+        at, row = spread(a[rows], n), np.repeat(np.arange(len(rows)), n)
+        once = before[at] < a[rows][row]
+        at, row = at[once], row[once]
+        entry = spread(begin[words[at]], fan[at])
+        total = np.bincount(np.repeat(row, fan[at]) * len(needed) + item_of[entry], times[entry], len(rows) * len(needed))
+        row, item = np.nonzero(total.reshape(len(rows), -1) >= needed)
+        yield rows[row], item
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, extra: int = EXTRA, cosine: float = COSINE,
@@ -215,7 +274,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, extra:
     df, n = frequencies(docs)
     weights = (np.log((n + 1) / (df + 1)) ** 2).astype(np.float32)
     space = latent(benchmark.select(F.col(item_text).cast("string").cast("binary").alias("text")), sc.broadcast(weights), rank, extra)
-    held = sc.broadcast(Items([None if none else i for none, i, _ in rows], [t for *_, t in rows], space, weights))
+    held = sc.broadcast(Items([None if none else i for none, i, _ in rows], [t for *_, t in rows], space, weights, min(lcs, loose)))
     wide = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name.startswith("keep_")]
 
     def search(batches):
@@ -235,7 +294,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, extra:
                     around = end - start >> 1
                     near = flat[max(bounds[own], start - around):min(bounds[own + 1], end + around)]
                     have = set(words)
-                    if sum(x in have for x in near) < loose * len(words):
+                    if sum(x in have for x in near) < min(lcs, loose) * len(words) - 1e-9:
                         continue
                     share = lcs_length(words, near) / len(words)
                     score[i + own] = max(score[i + own], share)

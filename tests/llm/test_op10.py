@@ -71,3 +71,21 @@ def test_special_cases(spark):
     assert decontaminate.found_items(spark.createDataFrame([], documents), items).collect() == []
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r.n_items == 0 for r in decontaminate.found_items(docs, none).collect())
+
+
+def test_copies_of_a_frequent_item(spark):
+    """Verbatim copies are found however many of the documents hold the item, so that its words weigh nothing."""
+    import random
+    r = random.Random(5)
+    common_words, rare = [f"w{i}" for i in range(40)], [f"rare{i}" for i in range(5000)]
+    item = [f"hot{i}" for i in range(36)]
+    rows = []
+    for i in range(300):
+        around = [r.choice(rare if i % 2 else common_words) for _ in range(r.randrange(30, 200))]
+        at = r.randrange(len(around))
+        rows.append((i, " ".join(around[:at] + item * (i % 3 == 0) + around[at:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"other{i}" for i in range(50)))], "item_id long, text string")
+    assert {x.key for x in decontaminate.found_items(docs, items).collect() if x.item_ids == [1]} == set(range(0, 300, 3))
+    everywhere = spark.createDataFrame([(i, " ".join(item)) for i in range(9)], "doc_id long, text string")
+    assert all(x.item_ids == [1] for x in decontaminate.found_items(everywhere, items).collect())
