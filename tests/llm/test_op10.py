@@ -89,3 +89,33 @@ def test_copies_of_a_frequent_item(spark):
     assert {x.key for x in decontaminate.found_items(docs, items).collect() if x.item_ids == [1]} == set(range(0, 300, 3))
     everywhere = spark.createDataFrame([(i, " ".join(item)) for i in range(9)], "doc_id long, text string")
     assert all(x.item_ids == [1] for x in decontaminate.found_items(everywhere, items).collect())
+
+
+def test_recall_of_paraphrases_that_keep_the_answer(spark):
+    """The branch of 0.6 and the answer against brute force over every stretch of an item's length and a half."""
+    import random
+    r = random.Random(9)
+    frequent, rare = [f"w{i}" for i in range(300)], [f"rare{i}" for i in range(9000)]
+    items, rows = [], []
+    for k in range(12):
+        n = r.randrange(24, 60)
+        items.append((k, [r.choice(frequent) for _ in range(n)], [r.choice(frequent) for _ in range(6)]))
+    for i in range(360):
+        k, question, answer = items[i % 12]
+        words, n = list(question), len(question) + len(answer)
+        for at in r.sample(range(len(question)), int((0.2, 0.3, 0.38)[i % 3] * n)):
+            words[at] = r.choice(rare if i // 12 % 2 else frequent)
+        around = [r.choice(frequent) for _ in range(r.randrange(20, 300))]
+        at = r.randrange(len(around))
+        rows.append((i, " ".join(around[:at] + words + answer + around[at:])))
+    rows += [(1000 + i, " ".join(r.choice(frequent) for _ in range(200))) for i in range(60)]
+    benchmark = spark.createDataFrame([(k, " ".join(q) + ". " + " ".join(a)) for k, q, a in items], "item_id long, text string")
+    got = {x.key: set(x.item_ids) for x in decontaminate.found_items(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert [i for i in range(360) if i % 12 not in got[i]] == []
+    for i, text in rows:
+        words = text.split()
+        for k in got[i]:
+            item, answer = items[k][1] + items[k][2], items[k][2]
+            # no stretch that is looked at is longer than three times the item
+            stretches = [words[at:at + 3 * len(item)] for at in range(0, max(1, len(words) - 2 * len(item)), 4)]
+            assert any(plain_lcs(item, x) >= 0.57 * len(item) and plain_lcs(answer, x) >= len(answer) - 1 for x in stretches)
