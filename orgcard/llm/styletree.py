@@ -8,9 +8,10 @@ the same. A branch that looks and reads alike on many pages has importance 0, on
 
 Removed from each page are branches below `least` importance, if at least `pages` pages show them and they are not inside
 an article or main element; and branches whose role gives them none whatever they hold: navigation, header (outside an
-article), footer, aside, form and dialog elements, such ARIA roles, hidden ones, and those with a class or id word for
-menus, adverts, notices, reader comments and the like. If the page has an article (else a main element) with text left,
-that is the text; else all that is left.
+article), footer, aside, form and dialog elements, such ARIA roles, hidden ones, and those with a class or id made only
+of words for menus, adverts, notices, reader comments and the like (cookie-notice, but not content-sidebar-wrap or
+no-sidebar, which the tree judges). If the page has an article (else a main element) with text left, that is the text;
+else all that is left, and with it any article or main that only the name of an element around it would take away.
 
 Tasks merge their pages' trees before anything is exchanged; a host's nodes are spread by path and value, so a host with
 a third of all pages overloads none. Pages travel once, compressed, to meet their low branches.
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from orgcard.llm import common
 
 LEAST, PAGES, GAMMA = 0.3, 4, 0.9
-NEUTRAL, NOISE, KEPT = 0, 1, 2
+NEUTRAL, NOISE, KEPT, NAMED = 0, 1, 2, 3  # NAMED: noise by a class or id only
+FINE, RESCUED, GONE = 0, 1, 2  # RESCUED: below a NAMED element that stands in no article or main
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -78,28 +80,27 @@ def role_of(tag: str, attrs: dict[str, str], in_article: bool) -> int:
         return NOISE
     if not attrs or tag in ("html", "body"):
         return NEUTRAL
-    words = {w.lower() for a in ("class", "id") if a in attrs for w in WORD.findall(attrs[a])}
-    if in_article:
-        words -= HEADS
-    elif "header" in words:
-        return NOISE
+    names = [{w.lower() for w in WORD.findall(x) if not w.isdigit()} for a in ("class", "id") if a in attrs for x in attrs[a].split()]
+    noise = NOISE_WORDS - HEADS if in_article else NOISE_WORDS | HEADS
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-    return NOISE if hidden or attrs.get("role", "").lower() in NOISE_ROLES or not words.isdisjoint(NOISE_WORDS) else NEUTRAL
+    if hidden or attrs.get("role", "").lower() in NOISE_ROLES:
+        return NOISE
+    return NAMED if any(x and x <= noise for x in names) else NEUTRAL
 
 
 class Node:
-    """An open element: its path's hash, the article (2) or main (1) it stands in, whether it is to go, and the digest of
+    """An open element: its path's hash, the article (2) or main (1) it stands in, whether it is to go (FINE, RESCUED or GONE), and the digest of
     what it has held; a plain inline element shares that of the one around it."""
 
     __slots__ = ("tag", "path", "inside", "low", "read", "plain")
 
-    def __init__(self, tag: str, path: int, inside: int, low: bool, read, plain: bool):
+    def __init__(self, tag: str, path: int, inside: int, low: int, read, plain: bool):
         self.tag, self.path, self.inside, self.low, self.read, self.plain = tag, path, inside, low, read, plain
 
 
 def blocks_of(text: str, host: str, low=frozenset(), tree: dict | None = None):
-    """(inside, kept, text) of each block; with tree, fills it with each path's role, presentation and content."""
-    stack = [Node("", xxhash.xxh3_64_intdigest(host), 0, False, xxhash.xxh3_64(), True)]
+    """(inside, FINE, RESCUED or GONE, text) of each block; with tree, fills it with each path's role, presentation and content."""
+    stack = [Node("", xxhash.xxh3_64_intdigest(host), 0, FINE, xxhash.xxh3_64(), True)]
     at, held, out, many = 0, [], [], Counter()
 
     def flush():
@@ -107,7 +108,7 @@ def blocks_of(text: str, host: str, low=frozenset(), tree: dict | None = None):
         held.clear()
         if block:
             top = stack[-1]
-            out.append((top.inside, not top.low, block))
+            out.append((top.inside, top.low, block))
             top.read.update(block)
 
     def close(depth: int):
@@ -156,11 +157,12 @@ def blocks_of(text: str, host: str, low=frozenset(), tree: dict | None = None):
             path = xxhash.xxh3_64_intdigest(f"{style} {role}", above.path)
             if tree is not None:
                 if path not in tree:
-                    tree[path] = [NOISE if role == NOISE else KEPT if inside else NEUTRAL, xxhash.xxh3_64(), xxhash.xxh3_64()]
+                    tree[path] = [NOISE if role in (NOISE, NAMED) else KEPT if inside else NEUTRAL, xxhash.xxh3_64(), xxhash.xxh3_64()]
                 if above.path in tree:
                     tree[above.path][1].update(style + " ")
         many[tag] += 1
-        stack.append(Node(tag, path, inside, above.low or path in low, above.read if inline else xxhash.xxh3_64(), inline))
+        gone = FINE if inline or path not in low else RESCUED if role == NAMED and not above.inside else GONE
+        stack.append(Node(tag, path, inside, max(above.low, gone), above.read if inline else xxhash.xxh3_64(), inline))
 
     last = max(text.rfind(">"), text.rfind("<!"))
     while at < len(text):
@@ -201,9 +203,10 @@ def host_of(url: str | None, key: int) -> str:
 
 
 def main_text(blocks) -> str:
-    kept = [(inside, b) for inside, fine, b in blocks if fine]
-    best = max((inside for inside, _ in kept), default=0)
-    return "\n\n".join(b for inside, b in kept if inside == best)
+    best = max((inside for inside, low, _ in blocks if low == FINE), default=0)
+    if best:
+        return "\n\n".join(b for inside, low, b in blocks if low == FINE and inside == best)
+    return "\n\n".join(b for inside, low, b in blocks if low == FINE or low == RESCUED and inside)
 
 
 def signed(x: int) -> int:

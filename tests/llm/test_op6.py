@@ -97,3 +97,23 @@ def test_long_and_broken_pages_are_linear():
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+WRAPPED = ["<div class='{0}'><article><p>story</p></article></div>", "<div id='{0}'><div><main><p>story</p></main></div></div>", "<div class='{0}'><p>story</p></div>"]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "sidebar-right", "with-footer", "header-fixed", "no-comments",
+                                  "elementor-widget-container", "elementor-widget-theme-post-content"])
+def test_wrappers_keep_their_text(page, name):
+    test_cases("<nav>menu</nav>" + page.format(name), "story")
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div class='sidebar page'><p>menu</p><article><p>story</p><div class='comments'>me</div></article></div>", "story"),
+    ("<div id='comments'><article>me too</article></div><main><p>story</p></main>", "story"),
+    ("<div class='widget'><article>teaser</article></div><p>story</p>", "teaser\n\nstory"),
+    ("<div class='widget'><nav><article>no</article></nav></div><div class='ad-300 cookie-notice'>no</div><p>story</p>", "story"),
+])
+def test_articles_below_named_elements(page, want):
+    test_cases(page, want)
