@@ -92,3 +92,19 @@ def test_empty(spark):
         none_out = stage(spark, none, SF)
         assert none_out.collect() == []
     assert decontaminate.RANK
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(1, text(x), "en", "s", 1) for x in "abcde"] + [(1, text("a"), "en", "s", 1), (0, text("b") + " tail", "en", "s", 1)]
+    rows += [(2, text("c") + " end", "en", "s", 1), (None, text("n"), "en", "s", 1), (None, text("m"), "en", "s", 1), (3, text("z"), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, docs, SF).collect()]
+    assert len(out) == len(set(out)) and set(out) <= {(i, t) for i, t, *_ in rows}
+    by_first = lambda x: sorted(t[0] for _, t in x)
+    assert by_first(out) == list("abcdemnz") and (0, text("b") + " tail") in out  # the least id of b's copies
+    for few in (0, 10):
+        corpus_pipeline.FEW, before = few, corpus_pipeline.FEW
+        again = corpus_pipeline.with_vertex(docs).select("key").distinct().count()
+        corpus_pipeline.FEW = before
+        assert again == len(set(rows))
