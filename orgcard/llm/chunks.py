@@ -1,6 +1,7 @@
 """Documents in chunks that ask about their content: sorted runs go out by range, one bit for each entry comes back.
 
-A chunk is a set of documents chosen by a hash of the id, about common.CHUNK bytes of text. A grouped operator makes of
+A chunk is a set of documents chosen by a hash of id and text, about common.CHUNK bytes; only rows equal in both always
+share one. A grouped operator makes of
 each chunk sorted, compressed runs, one for each range of a key; all runs of a range meet in one task, which answers
 each chunk with one bit (or run-length coded facts) for each entry it sent. Equal entries of a chunk are sent once, so
 a text that a third of all documents share adds one entry a chunk to its range, and no group grows with a hot value.
@@ -46,7 +47,7 @@ class Layout:
 
 def dealt(docs: DataFrame, layout: Layout, *cols: str) -> DataFrame:
     """Columns key and text (and cols) in chunks, by one exchange that every stage of a query shares."""
-    chunk = F.pmod(F.xxhash64("key"), F.lit(layout.chunks)).cast("int")
+    chunk = F.pmod(F.xxhash64("key", F.col("text").cast("binary")), F.lit(layout.chunks)).cast("int")
     return docs.select("key", F.col("text").cast("binary").alias("text"), *cols, chunk.alias("chunk")).repartition(
         layout.chunks, "chunk")
 

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 A source's target is its weight's share of all tokens, at most `most` times its size, the excess shared again by weight.
-Each source's documents are dealt to shards of about `shard_tokens` tokens by a hash of the id (a large source has many),
+Each source's documents are dealt to shards of about `shard_tokens` tokens by a hash of id and text (a large source has many),
 laid end to end in seeded order and cut into blocks of equal length, about `block_tokens`.
 
 1. Seats (blocks to take) go to sources by highest quotients weight / (2 seats + 1); with very many seats that is done by
@@ -97,6 +97,11 @@ def chosen(blocks: int, seats: int, seed: int) -> np.ndarray:
     return times
 
 
+def place_of(id_col: str, text_col: str, seed: int):
+    """Where a row stands in its source: rows of one id, or without one, are spread by their texts."""
+    return F.xxhash64(common.id_or_last(id_col), F.col(text_col).cast("string"), F.lit(seed))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_tokens: int = BLOCK, shard_tokens: int = SHARD,
         seed: int = SEED, max_sources: int = MAX_SOURCES, with_text: bool = False, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -104,7 +109,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_tokens: int =
     and the columns keep, one for each time that words of a document are taken, with those words' text."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     docs = docs.select(common.id_or_last(id_col).alias("key"), source_key(F.col(source_col)).alias("source"),
-                       size.alias("size"), *([F.col(text_col).cast("binary").alias("text")] if with_text else []),
+                       size.alias("size"), place_of(id_col, text_col, seed).alias("own"), *([F.col(text_col).cast("binary").alias("text")] if with_text else []),
                        *(F.col(c).alias(f"keep_{c}") for c in (keep if with_text else ())))
     spark = docs.sparkSession
     totals = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()}
@@ -116,7 +121,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_tokens: int =
     info = F.broadcast(spark.createDataFrame(
         [(s, n, t, max(1, -(-n // shard_tokens))) for s, n, t in zip(names, sizes, target)],
         "source string, source_size long, target double, shards long"))
-    dealt = docs.join(info, "source").withColumn("shard", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("shards")))
+    dealt = docs.join(info, "source").withColumn("shard", F.pmod("own", F.col("shards")))
     shards = common.cut(dealt.groupBy("source", "shard").agg(F.sum("size").alias("tokens")).withColumn(
         "blocks", F.when(F.col("tokens") > 0, F.greatest(F.lit(1), F.round(F.col("tokens") / block_tokens))).otherwise(0).cast("long")))
     blocks = {r["source"]: r["n"] for r in shards.groupBy("source").agg(F.sum("blocks").alias("n")).collect()}
@@ -130,7 +135,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_tokens: int =
 
     def select(t: pa.Table) -> pa.Table:
         key, length = t["key"].to_numpy(), t["size"].to_numpy()
-        own = common.mix(key.astype(np.uint64) + np.uint64(seed))
+        own = common.mix(t["own"].to_numpy().view(np.uint64))
         order = np.lexsort((length, key, own))
         end = np.cumsum(length[order])
         tokens, n, seats = (t[c][0].as_py() for c in ("tokens", "blocks", "seats"))

@@ -246,7 +246,8 @@ def extracted(pages: DataFrame, least: float = LEAST, min_pages: int = PAGES, id
     """Per row of pages: key, url, text and n_chars."""
     pages = pages.select(common.id_or_last(id_col).alias("key"), F.col(url_col).cast("string").alias("url"),
                          F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
-    low = low_branches(pages, least, min_pages).groupBy("key").agg(F.collect_list("path").alias("paths"))
+    pages = pages.withColumn("page", F.xxhash64("key", "url", "html"))  # so that pages without an id, or of one id, stay apart
+    low = low_branches(pages.select(F.col("page").alias("key"), "url", "html"), least, min_pages).groupBy(F.col("key").alias("page")).agg(F.collect_list("path").alias("paths"))
 
     def compress(batches):
         for batch in batches:
@@ -256,14 +257,14 @@ def extracted(pages: DataFrame, least: float = LEAST, min_pages: int = PAGES, id
     def extract(batches):
         for batch in batches:
             texts = []
-            for key, url, data, paths in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "html", "paths"))):
-                page = zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "replace")
-                texts.append(main_text(blocks_of(page, host_of(url, key), frozenset(p & (1 << 64) - 1 for p in paths or ()))))
+            for page, url, data, paths in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html", "paths"))):
+                text = zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "replace")
+                texts.append(main_text(blocks_of(text, host_of(url, page), frozenset(p & (1 << 64) - 1 for p in paths or ()))))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string()),
                                               pa.array([len(x) for x in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
-    packed = pages.mapInArrow(compress, "key long, url string, html binary")
-    return packed.join(low, "key", "left").mapInArrow(extract, "key long, url string, text string, n_chars long")
+    packed = pages.mapInArrow(compress, "key long, url string, page long, html binary")
+    return packed.join(low, "page", "left").mapInArrow(extract, "key long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zipfile
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from orgcard.llm import common, mixing, warc
 
@@ -126,3 +127,11 @@ def test_mix(spark):
     assert mixing.mix(documents(spark, [])).collect() == []
     with pytest.raises(ValueError):
         mixing.mix(docs, max_sources=2)
+
+
+def test_rows_of_one_id_are_spread_over_shards(spark):
+    docs = documents(spark, [(None, f"words of text {i}", "a") for i in range(2000)])
+    got = [r["count"] for r in docs.groupBy(F.pmod(mixing.place_of("doc_id", "text", 17), F.lit(8)).alias("shard")).count().collect()]
+    assert len(got) == 8 and max(got) < 400
+    out, again = (sorted(map(repr, mixing.mix(x, with_text=True, block_tokens=8, shard_tokens=500).collect())) for x in (docs, docs.repartition(7)))
+    assert out == again

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from orgcard.llm import substring, suffixes
+from orgcard.llm import chunks, substring, suffixes
 
 SCHEMA = "doc_id long, text string, n_words string, chunk string, key string"
 
@@ -103,3 +103,12 @@ def test_loser_tree():
     assert [x for x, _ in out] == sorted(x for y in runs for x in y)
     for (x, _), (y, n) in zip(out, out[1:]):
         assert n == suffixes.differ_at(x, y, 0)
+
+
+def test_rows_of_one_id_are_spread_over_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from orgcard.llm import common
+    rows = spark.range(4000).select(F.lit(common.NO_ID).alias("key"), F.concat(F.lit("text "), "id").alias("text"))
+    got = [r["count"] for r in chunks.dealt(rows, chunks.Layout(8 * common.CHUNK)).groupBy("chunk").count().collect()]
+    assert len(got) == 8 and max(got) < 800

@@ -117,3 +117,9 @@ def test_wrappers_keep_their_text(page, name):
 ])
 def test_articles_below_named_elements(page, want):
     test_cases(page, want)
+
+
+def test_pages_without_id_and_url_are_hosts_of_their_own(spark):
+    rows = [(None, None, f"<div class=top>menu</div><p>story {i}</p>") for i in range(6)]
+    docs = spark.createDataFrame([(i, u, h, "k", 1, "t") for i, u, h in rows], SCHEMA)
+    assert sorted(r.text for r in styletree.extracted(docs).collect()) == [f"menu\n\nstory {i}" for i in range(6)]
