@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgcard.llm import common, decontaminate, hnsw, jaccard, langid, mixing, packing, styletree, substring, suffixes, warc
+from orgcard.llm import common, decontaminate, hnsw, jaccard, langid, mixing, packing, styletree, substring, suffixes, vectorpack, warc
 
 
 QUERIES = {
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_substring_dedup": substring.query,
     "op9_language_id": langid.query,
     "op10_decontamination": decontaminate.query,
+    "op11_vector_packing": vectorpack.query,
 }
 
 
