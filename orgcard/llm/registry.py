@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgcard.llm import common, decontaminate, hnsw, jaccard, langid, mixing, packing, styletree, substring, suffixes, vectorpack, warc
+from orgcard.llm import common, decontaminate, filteraudit, hnsw, jaccard, langid, mixing, packing, styletree, substring, suffixes, vectorpack, warc
 
 
 QUERIES = {
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_language_id": langid.query,
     "op10_decontamination": decontaminate.query,
     "op11_vector_packing": vectorpack.query,
+    "op12_filter_audit": filteraudit.query,
 }
 
 
@@ -46,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc_packages": warc.ORACLE,
         "op3_embedding_dedup": hnsw.ORACLE,
         "op8_substring_dedup": substring.ORACLE,
+        "op12_filter_audit": filteraudit.ORACLE,
     }
