@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgcard.llm import common, decontaminate, filteraudit, hnsw, jaccard, langid, mixing, packing, styletree, substring, suffixes, vectorpack, warc
+from orgcard.llm import common, decontaminate, filteraudit, hnsw, jaccard, langid, mixing, packing, parttrie, styletree, substring, suffixes, vectorpack, warc
 
 
 QUERIES = {
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.query,
     "op11_vector_packing": vectorpack.query,
     "op12_filter_audit": filteraudit.query,
+    "op13_vector_codes": parttrie.query,
 }
 
 
@@ -48,4 +49,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_embedding_dedup": hnsw.ORACLE,
         "op8_substring_dedup": substring.ORACLE,
         "op12_filter_audit": filteraudit.ORACLE,
+        "op13_vector_codes": parttrie.ORACLE,
     }

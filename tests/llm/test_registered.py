@@ -28,4 +28,4 @@ def test_query(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries()) == list(range(1, 13))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries()) == list(range(1, 14))
