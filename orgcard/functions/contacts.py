@@ -167,16 +167,32 @@ def first_email_of(chunks: Column) -> Column:
     return first_email(F.array_join(chunks, "\u0001"))
 
 
+def _property_values(html: Column, pattern: str) -> Column:
+    """What a property pattern matches, found by one linear scan.
+
+    A quoted address is a run without quotes with a sign after its first character and a dot later, which needs no lazy
+    search. A contact point is cut out first, from its name to the first brace that closes it and on to the next quote, as a
+    value may go on there; the pattern takes the last member of its name in it.
+    """
+    pattern = pattern.replace(r'[^"]+?@[^"]+?\.[^"]+', r'[^"][^"@]*+@[^"]+\.[^"]+')
+    if not pattern.startswith('"contactPoint"'):
+        return extract_all(html, pattern, 1)
+    areas = extract_all(html, r'(?s)"contactPoint"\s*:\s*(?=(\{[^}]*+[^"]*+"?))\{[^}]*+', 1)
+    member = pattern.split(r"[^}]*", 1)[1]
+    found = F.transform(areas, lambda a: F.regexp_extract(a, "(?s)^.*" + member, 1))
+    return F.filter(found, lambda v: v != "")
+
+
 def markup_email(html: Column) -> Column:
     """Address in property shape: JSON member, meta tag, data attribute; last pattern wins."""
     return F.coalesce(
-        *[first_where(extract_all(html, p, 1), is_valid_email) for p in reversed(MARKUP_EMAILS)]
+        *[first_where(_property_values(html, p), is_valid_email) for p in reversed(MARKUP_EMAILS)]
     )
 
 
 def markup_phone_raw(html: Column) -> Column:
     return F.coalesce(
-        *[first_where(extract_all(html, p, 1), is_valid_phone) for p in reversed(MARKUP_PHONES)]
+        *[first_where(_property_values(html, p), is_valid_phone) for p in reversed(MARKUP_PHONES)]
     )
 
 

@@ -33,20 +33,38 @@ SOCIAL_WORDS = "social|follow"
 MAP_WORDS = "map|location"
 # --- end of fixed values --------------------------------------------------------------------
 
+# All patterns below take what they match from left to right and run to the end of the page where something is never
+# closed, so a scan is linear in the page whatever it holds; tags are searched before the last '>' only (see `tagged`).
 INVISIBLE = (
     r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z))"
 )
 TAG = r"<[a-zA-Z/!?][^>]*>"
-# Everything that is no text, in one pass: each match becomes one blank. What is never closed runs to the end, which
-# also keeps the scan linear.
+# Everything that is no text, in one pass: each match becomes one blank.
 NO_TEXT = (
     r"<(?:!--(?s:.*?)(?:-->|\z)|(?i:script)\b[^>]*>(?is:.*?(?:</script\s*>|\z))|(?i:style)\b[^>]*>(?is:.*?(?:</style\s*>|\z))"
     r"|[a-zA-Z/!?][^>]*>)"
 )
 SCRIPT = r"(?is)<script\b[^>]*>(.*?)(?:</script\s*>|\z)"
-JSON_LD = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"
-ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
-OBJECT_LITERAL = r"[a-zA-Z0-9_$]\s*=\s*(\{[^;]+\});"
+SCRIPT_ELEMENT = r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)"
+JSON_LD_TAG = r"(?is)^<script\b[^>]*application/ld\+json[^>]*>"
+# An anchor ends at its end tag, else where the next one starts, else with the page.
+ANCHOR = r"(?is)<a\s[^>]*>.*?(?:</a\s*>|(?=<a\s)|\z)"
+OBJECT_END = r"[a-zA-Z0-9_$]\s*=\s*(\{(?s:.+)\})\z"
+
+
+def tagged(html: Column) -> Column:
+    """The page up to its last '>': every tag lies in it, and no start of a tag is searched for an end that is not there."""
+    return F.substring(html, F.lit(1), F.length(html) - F.length(F.substring_index(html, ">", -1)))
+
+
+def _tail_as_text(html: Column) -> Column:
+    """The page with each '<' after the last '>' written as a reference, but for comments: nothing there is a tag."""
+
+    def of(tail: Column) -> Column:
+        quoted = F.concat(tagged(html), F.regexp_replace(tail, "<(?!!--)", "&lt;"))
+        return F.when(F.contains(tail, F.lit("<")), quoted).otherwise(html)
+
+    return let(F.substring_index(html, ">", -1), of)
 
 
 def _code_point(code: Column) -> Column:
@@ -95,17 +113,29 @@ def decode_entities(c: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text a reader sees; every tag leaves one blank."""
-    bare = F.regexp_replace(F.regexp_replace(html, NO_TEXT, " "), WIDE_BLANKS, " ")
+    bare = F.regexp_replace(F.regexp_replace(_tail_as_text(html), NO_TEXT, " "), WIDE_BLANKS, " ")
     return decode_entities(bare)
 
 
 def without_invisible(html: Column) -> Column:
-    return F.regexp_replace(html, INVISIBLE, " ")
+    return F.regexp_replace(_tail_as_text(html), INVISIBLE, " ")
+
+
+def tags(html: Column, names: str) -> Column:
+    """Start tags of the named elements (alternatives of a pattern) that have attributes."""
+    return extract_all(tagged(html), rf"(?is)<(?:{names})\s[^>]*>")
 
 
 def scripts(html: Column) -> Column:
     """Bodies of all scripts in document order."""
-    return extract_all(html, SCRIPT, 1)
+    return extract_all(_tail_as_text(html), SCRIPT, 1)
+
+
+def object_literals(script: Column) -> Column:
+    """Object literals that a statement assigns and ends with: ``name = {...};``. A statement ends at a semicolon."""
+    closed = let(F.split(script, ";"), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
+    assigned = F.transform(F.filter(closed, lambda x: x.endswith("}")), lambda x: F.regexp_extract(x, OBJECT_END, 1))
+    return F.filter(assigned, lambda x: x != "")
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -119,7 +149,7 @@ def attribute(tag: Column, name: str) -> Column:
 
 def anchors(html: Column) -> Column:
     """Anchors with a reference: array of (href, text) in document order."""
-    markup = extract_all(without_invisible(html), ANCHOR)
+    markup = extract_all(tagged(without_invisible(html)), ANCHOR)
     pairs = F.transform(
         markup,
         lambda a: F.struct(
@@ -133,7 +163,7 @@ def anchors(html: Column) -> Column:
 def tel_link(html: Column) -> Column:
     """First valid number of a ``tel:`` link."""
     hrefs = F.transform(
-        extract_all(html, r"(?is)<a\s[^>]*tel:[^>]*>"), lambda a: F.lower(attribute(a, "href"))
+        F.filter(tags(html, "a"), lambda a: a.rlike("(?i)tel:")), lambda a: F.lower(attribute(a, "href"))
     )
     numbers = F.transform(
         F.filter(hrefs, lambda h: h.startswith("tel:")),
@@ -144,24 +174,24 @@ def tel_link(html: Column) -> Column:
 
 def frame_sources(html: Column) -> Column:
     """Absolute addresses of frames."""
-    src = F.transform(extract_all(html, r"(?is)<i?frame\s[^>]*>"), lambda t: attribute(t, "src"))
+    src = F.transform(tags(html, "i?frame"), lambda t: attribute(t, "src"))
     return F.filter(src, lambda s: s.startswith("http://") | s.startswith("https://"))
 
 
 def contact_metas(html: Column) -> Column:
     """Content of meta tags named after contact or e-mail that holds an address."""
-    tags = F.filter(
-        extract_all(html, r"(?is)<meta\s[^>]*>"),
+    named = F.filter(
+        tags(html, "meta"),
         lambda t: F.coalesce(attribute(t, "name").rlike("(?i)contact|email"), F.lit(False)),
     )
-    content = F.transform(tags, lambda t: attribute(t, "content"))
+    content = F.transform(named, lambda t: attribute(t, "content"))
     return F.filter(content, lambda c: c.rlike("^(?:https?://|/)"))
 
 
 def sitemap_locations(html: Column) -> Column:
     """Entries of an XML sitemap, case kept."""
     return F.transform(
-        extract_all(html, r"(?is)<loc\b[^>]*>(.*?)</loc\s*>", 1), lambda s: strip(decode_entities(s))
+        extract_all(tagged(html), r"(?is)<loc\b[^>]*>([^<]*+(?:<(?!/?loc\b)[^<]*+)*+)</loc\s*>", 1), lambda s: strip(decode_entities(s))
     )
 
 
@@ -169,8 +199,12 @@ def sitemap_locations(html: Column) -> Column:
 
 
 def json_ld(html: Column) -> Column:
-    """Bodies of the JSON-LD scripts."""
-    return extract_all(html, JSON_LD, 1)
+    """Bodies of the JSON-LD scripts that are closed."""
+    closed = F.filter(
+        extract_all(_tail_as_text(html), SCRIPT_ELEMENT), lambda s: s.rlike(JSON_LD_TAG) & s.rlike(r"(?i)</script\s*>\z")
+    )
+    bodies = F.transform(closed, lambda s: F.regexp_extract(s, r"(?is)^[^>]*>(.*)</script\s*>\z", 1))
+    return F.when(html.rlike("(?i)ld\\+json"), bodies).otherwise(F.array().cast("array<string>"))
 
 
 def _string_at(doc: Column, *paths: str) -> list[Column]:

@@ -164,7 +164,7 @@ def _frame_sources() -> Column:
 
 @built_once
 def _script_columns() -> tuple[Column, Column]:
-    objects = F.flatten(F.transform("scripts", lambda s: H.extract_all(s, H.OBJECT_LITERAL, 1)))
+    objects = F.flatten(F.transform("scripts", H.object_literals))
     return H.scripts(F.col("html")), T.json_leaves(objects)
 
 

@@ -13,6 +13,7 @@ from orgcard.functions.urls import URL_PARTS
 from orgcard.plans.derived import SEGMENTS
 from orgcard.sources import dims
 
+ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
 # Character references in the test tables, and some more; '&amp;' last.
 REFERENCES = [(f"&{n};", H.ENTITIES[f"&{n};"]) for n in (
     "nbsp lt gt quot apos copy reg trade middot bull hellip ndash mdash lsquo rsquo ldquo rdquo laquo raquo euro "
@@ -87,7 +88,7 @@ SCORE = f"""round(greatest(0.0, least(1.0,
          WHEN contains(lower(url), '/about') THEN 0.4
          WHEN regexp_matches(lower(url), '/support|/help') THEN 0.5 ELSE 0.0 END
     - 0.1 * greatest(len(string_split(url, '/')) - 1 - 2 - 2, 0))), 6)::DOUBLE"""
-ANCHORS = f"regexp_extract_all(regexp_replace(html, {q(H.INVISIBLE)}, ' ', 'g'), {q(H.ANCHOR)})"
+ANCHORS = f"regexp_extract_all(regexp_replace(html, {q(H.INVISIBLE)}, ' ', 'g'), {q(ANCHOR)})"
 
 
 def entities(c: str) -> str:
