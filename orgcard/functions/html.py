@@ -147,17 +147,16 @@ def attribute(tag: Column, name: str) -> Column:
     )
 
 
-def anchors(html: Column) -> Column:
-    """Anchors with a reference: array of (href, text) in document order."""
+def anchors(html: Column, ends: bool = False) -> Column:
+    """Anchors with a reference: array of (href, text) in document order; ``ends`` adds whether an end tag closes it."""
     markup = extract_all(tagged(without_invisible(html)), ANCHOR)
-    pairs = F.transform(
-        markup,
-        lambda a: F.struct(
-            attribute(a, "href").alias("href"),
-            strip(decode_entities(F.regexp_replace(a, TAG, " "))).alias("text"),
-        ),
-    )
-    return F.filter(pairs, lambda a: a["href"].isNotNull())
+
+    def of(a: Column) -> Column:
+        text = strip(decode_entities(F.regexp_replace(a, TAG, " ")))
+        closed = [a.rlike(r"(?i)</a\s*>\z").alias("closed")] if ends else []
+        return F.struct(attribute(a, "href").alias("href"), text.alias("text"), *closed)
+
+    return F.filter(F.transform(markup, of), lambda a: a["href"].isNotNull())
 
 
 def tel_link(html: Column) -> Column:

@@ -19,7 +19,7 @@ from orgcard.sources.pages import fetch
 SOURCES = ["homepage", "header", "footer", "main-nav", "json-ld", "meta", "sitemap", "common-path"]
 
 
-def _needs_tree(html: Column) -> Column:
+def needs_tree(html: Column) -> Column:
     return html.rlike(r"(?i)<(?:nav|header|footer)\b|(?:main|primary|global)-nav")
 
 
@@ -68,7 +68,7 @@ def _area_links(
 
 
 @built_once
-def _homepage_columns(terms: tuple[str, ...], patterns: bool) -> tuple[Column, Column]:
+def homepage_columns(terms: tuple[str, ...], patterns: bool) -> tuple[Column, Column]:
     """Contact page sources and sitemap addresses over the columns html, url, text, tree."""
     html, base, nodes = F.col("html"), F.col("url"), F.col("tree.nodes")
     none = F.array().cast("array<string>")
@@ -101,8 +101,8 @@ def homepage_links(homes: DataFrame, terms: list[str] | None = None, patterns: b
     ``sources`` are contact page addresses with their source, found on the homepage itself.
     """
     terms = dims.literal_terms() if terms is None else terms
-    sources, sitemaps = _homepage_columns(tuple(terms), patterns)
-    return with_trees(homes, _needs_tree).select(
+    sources, sitemaps = homepage_columns(tuple(terms), patterns)
+    return with_trees(homes, needs_tree).select(
         "site_key", "url", sources.alias("sources"), sitemaps.alias("sitemaps")
     )
 
@@ -116,6 +116,21 @@ def probes(homes: DataFrame, paths: list[str] | None = None) -> DataFrame:
     ).select("site_key", "url", F.concat("root", "path").alias("probe_url"))
 
 
+def site_root(url: Column) -> Column:
+    """Scheme and host of a URL as they stand in keys."""
+    return F.lower(F.concat(scheme(url), F.lit("://"), authority(url)))
+
+
+def probed_roots(key: Column, paths: list[str] | None = None) -> Column:
+    """The other way round: (root, path) of the sites whose probes would ask for a ``url_key``."""
+    paths = dims.COMMON_PATHS if paths is None else paths
+    ends = [(p, p.rstrip("/")) for p in paths]  # as keys have them
+    return F.array_compact(F.array(*[
+        F.when(key.endswith(end), F.struct(F.substring(key, F.lit(1), F.length(key) - len(end)).alias("root"), F.lit(p).alias("path")))
+        for p, end in ends
+    ]))
+
+
 def page_relevance(pages: DataFrame) -> DataFrame:
     """(page_id, url, relevance) of pages."""
     text = pages.select("page_id", "url", "html", H.visible_text(F.col("html")).alias("text"))

@@ -208,22 +208,32 @@ def _candidates(boundary: bool, rdfa: bool) -> Column:
     return F.transform(F.filter(found, lambda c: c["raw"].isNotNull()), _with_value)
 
 
-def page_evidence(
-    pages: DataFrame, deobfuscated: bool = False, decoded: bool = False,
+def promising(html: Column, deobfuscated: bool = False, decoded: bool = False, **_) -> Column:
+    """Whether anything can be found on a page; with rewrites, that is open."""
+    return F.lit(True) if deobfuscated or decoded else html.rlike(MAY_HOLD_CONTACT)
+
+
+def with_candidates(
+    prepared: DataFrame, keep: list[str], deobfuscated: bool = False, decoded: bool = False,
     boundary: bool = False, rdfa: bool = False,
 ) -> DataFrame:
-    """(page_id, url, [url_key,] candidates, frames) of (page_id, url, [url_key,] html)."""
-    keep = [c for c in pages.columns if c != "html"]
-    html = F.col("html")
-    promising = F.lit(True) if deobfuscated or decoded else html.rlike(MAY_HOLD_CONTACT)
-    base = pages.select(*keep, F.when(promising, html).alias("html"), _frame_sources().alias("frames"))
+    """``keep`` and the candidates of pages with the columns html, text and tree."""
     scripts, leaves = _script_columns()
-    prepared = with_trees(base).withColumn("scripts", scripts).withColumn("leaves", leaves)
+    prepared = prepared.withColumn("scripts", scripts).withColumn("leaves", leaves)
     if deobfuscated or decoded:
         prepared = prepared.withColumn("text", C.canonical_text(F.col("text"), deobfuscated, decoded))
-    return prepared.withColumns(_walk_columns()).select(
-        *keep, _candidates(boundary, rdfa).alias("candidates"), "frames"
-    )
+    return prepared.withColumns(_walk_columns()).select(*keep, _candidates(boundary, rdfa).alias("candidates"))
+
+
+def page_evidence(pages: DataFrame, **options) -> DataFrame:
+    """(page_id, url, [url_key,] frames, candidates) of (page_id, url, [url_key,] html).
+
+    Options: ``deobfuscated``, ``decoded`` (rewrites of the text), ``boundary`` (phones in digit runs), ``rdfa``.
+    """
+    keep = [c for c in pages.columns if c != "html"]
+    html = F.col("html")
+    base = pages.select(*keep, F.when(promising(html, **options), html).alias("html"), _frame_sources().alias("frames"))
+    return with_candidates(with_trees(base), [*keep, "frames"], **options)
 
 
 def page_candidates(pages: DataFrame, **options) -> DataFrame:

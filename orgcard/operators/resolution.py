@@ -9,9 +9,7 @@ from orgcard.functions import html as H
 from orgcard.functions import names as N
 from orgcard.functions.text import built_once, first_where, let
 from orgcard.functions.urls import is_valid_url, registrable_label, url_key
-from orgcard.operators.storage import materialize
 from orgcard.sources import dims
-from orgcard.sources.pages import fetch
 
 
 def name_queries(names: DataFrame) -> DataFrame:
@@ -40,7 +38,7 @@ def match_hits(
     return scored.withColumn("fits", fits).drop("exact", "ratio", "label")
 
 
-def _directory_ord(url: Column, directories: list[str]) -> Column:
+def directory_ord(url: Column, directories: list[str]) -> Column:
     """Position of the first directory the URL belongs to, NULL when none."""
     return F.coalesce(
         *[F.when(F.contains(url, F.lit(d)), F.lit(i)) for i, d in enumerate(directories)]
@@ -53,7 +51,7 @@ def _directory_rank(directories: list[str], slug: bool) -> Column:
     named = F.contains(low, name)
     if slug:
         named = named | F.contains(low, F.regexp_replace(name, r"\s+", "-"))
-    place = _directory_ord(F.col("url"), directories)
+    place = directory_ord(F.col("url"), directories)
     return F.when(
         place.isNotNull() & named,
         F.struct(place.alias("dir_ord"), "engine_ord", "attempt", "rank", "url"),
@@ -71,7 +69,7 @@ def best_hits(
     out of one aggregation, which reduces each name before the shuffle.
     """
     directories = dims.DIRECTORIES if directories is None else directories
-    useful = (F.col("rank") < dims.TOP_HITS) | _directory_ord(F.col("url"), directories).isNotNull()
+    useful = (F.col("rank") < dims.TOP_HITS) | directory_ord(F.col("url"), directories).isNotNull()
     hits = name_queries(names).join(serp.filter(useful), "query")
     order = F.struct("engine_ord", "attempt", "rank", "url")
     fitting = F.col("fits") & (F.col("rank") < dims.TOP_HITS)
@@ -95,6 +93,16 @@ def directory_website() -> Column:
     return let(H.anchors(F.col("html")), lambda a: F.coalesce(*[by_text(a, p) for p in dims.WEBSITE_ANCHORS]))
 
 
+def listings(pages: DataFrame, directories: list[str] | None = None) -> DataFrame:
+    """(url_key, listed): the company link of the newest page of each directory address."""
+    directories = dims.DIRECTORIES if directories is None else directories
+    has_time = ["fetched_at"] if "fetched_at" in pages.columns else []
+    entries = pages.filter(F.col("html").isNotNull() & directory_ord(F.col("url"), directories).isNotNull())
+    found = entries.select(url_key(F.col("url")).alias("url_key"), *has_time, "page_id", directory_website().alias("listed"))
+    newest = F.max_by("listed", F.struct(*has_time, -F.col("page_id")))
+    return found.groupBy("url_key").agg(newest.alias("listed"))
+
+
 def resolve_websites(
     companies: DataFrame, serp: DataFrame, pages: DataFrame | None = None,
     suffixes: list[str] | None = None, stop_words: list[str] | None = None,
@@ -102,18 +110,14 @@ def resolve_websites(
 ) -> DataFrame:
     """(company_id, company_name, website) for every company; website NULL when none fits.
 
-    Names are resolved once however many companies share them. Precedence: engine, attempt, rank.
+    Names are resolved once however many companies share them. Precedence: engine, attempt, rank. ``pages`` is a
+    table of pages, or the links of a page store (url_key, listed), which tell what directory pages say without their markup.
     """
     names = companies.select("company_name").distinct()
     best = best_hits(names, serp, suffixes, stop_words, directories, slug)
     if pages is not None:
-        best = materialize(best, "best_hits")
-        entries = best.filter(F.col("website").isNull() & F.col("entry").isNotNull()).select(
-            "company_name", url_key(F.col("entry")).alias("url_key")
-        )
-        entry_pages = fetch(pages, entries, rows=best.count())
-        listed = entries.join(entry_pages.select("url_key", directory_website().alias("listed")), "url_key")
-        best = best.join(listed.select("company_name", "listed"), "company_name", "left").withColumn(
-            "website", F.coalesce("website", "listed")
-        )
+        links = pages if "listed" in pages.columns else listings(pages, directories)
+        best = best.withColumn("url_key", F.when(F.col("website").isNull(), url_key(F.col("entry"))))
+        listed = links.filter(F.col("listed").isNotNull()).select("url_key", "listed")
+        best = best.join(listed, "url_key", "left").withColumn("website", F.coalesce("website", "listed"))
     return companies.join(best, "company_name", "left").select("company_id", "company_name", "website")

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from orgcard.functions.urls import url_key
-from orgcard.operators.discovery import contact_pages
-from orgcard.operators.extraction import page_evidence
+from orgcard.operators.pagestore import EVIDENCE, PageStore, answers, page_store, ranked_pages, requests_of, unanswered
 from orgcard.operators.picking import pick_contacts, site_candidates
 from orgcard.operators.resolution import resolve_websites
 from orgcard.operators.results import (
     COLUMNS, FIELDS, decode_names, incomplete, merge_results, with_status,
 )
 from orgcard.operators.storage import materialize
-from orgcard.sources.pages import fetch
 
 
 def visit_list(site_keys: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -28,38 +26,42 @@ def visit_list(site_keys: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def mine_sites(
-    pages: DataFrame, site_keys: DataFrame, terms: list[str] | None = None, patterns: bool = False,
+    pages: DataFrame | PageStore, site_keys: DataFrame, terms: list[str] | None = None, patterns: bool = False,
     **options,
 ) -> DataFrame:
     """(site_key, email, phone, email_method, phone_method) of the sites with a crawled homepage.
 
     ``site_keys`` holds distinct keys, best read from a written table.
 
-    Only pages that a visit needs are parsed; each is parsed once, however many companies share
-    its site. Small derived tables (links, visits, evidence) are written, markup never is.
+    Only pages that a visit can need are parsed; each is read and parsed once, however many companies share
+    its site and whatever it is wanted for. Small derived tables (links, requests, answers) are written, markup never is.
     """
-    home_requests = site_keys.select(F.col("site_key").alias("url_key"))
-    homes = fetch(pages, home_requests, site_keys.count()).withColumnRenamed("url_key", "site_key")
-    ranked = contact_pages(pages, homes, terms, patterns)
-    visits = materialize(visit_list(site_keys, ranked), "visits")
-
-    def evidence_of(requests: DataFrame, rows: int, name: str) -> DataFrame:
-        found = page_evidence(fetch(pages, requests, rows), **options)
-        keys = F.transform("frames", lambda f: url_key(f))
-        return materialize(found.select("url_key", "candidates", keys.alias("frame_keys")), name)
-
-    evidence = evidence_of(visits, visits.count(), "evidence")
-    frames = evidence.filter(F.size("frame_keys") > 0).select(F.explode("frame_keys").alias("url_key"))
-    framed = evidence_of(frames, frames.count(), "frame_evidence")
-    return pick_contacts(site_candidates(visits, evidence, framed))
+    store = pages if isinstance(pages, PageStore) else page_store(pages, terms, patterns)
+    answered = materialize(answers(store, requests_of(store, site_keys), **options), "answers")
+    homes = answered.filter(F.col("sources").isNotNull()).select(F.col("url_key").alias("site_key"))
+    visits = materialize(visit_list(homes, ranked_pages(answered)), "visits")
+    while True:  # visits and frames that the links alone did not tell of
+        own = visits.select("url_key").distinct().join(answered.select("url_key", "frame_keys"), "url_key")
+        frames = own.filter(F.size("frame_keys") > 0).select(F.explode("frame_keys").alias("url_key"))
+        left = unanswered(store, visits.select("url_key").unionByName(frames), answered)
+        if left.isEmpty():
+            break
+        more = answers(store, left, **options)
+        only = answered.join(left.select("url_key"), "url_key", "left_anti")  # an answer without evidence is replaced
+        answered = materialize(only.unionByName(more), "answers")
+    evidence = answered.filter(F.col("bits").bitwiseAND(EVIDENCE) != 0).select("url_key", "candidates", "frame_keys")
+    return pick_contacts(site_candidates(visits, evidence, evidence))
 
 
 def mine_companies(
-    companies: DataFrame, serp: DataFrame, pages: DataFrame, suffixes: list[str] | None = None,
-    stop_words: list[str] | None = None, directories: list[str] | None = None, **options,
+    companies: DataFrame, serp: DataFrame, pages: DataFrame | PageStore, suffixes: list[str] | None = None,
+    stop_words: list[str] | None = None, directories: list[str] | None = None,
+    terms: list[str] | None = None, patterns: bool = False, as_of: Column | None = None, **options,
 ) -> DataFrame:
     """One row per company: company_id, company_name, website, email, phone, status.
 
+    ``pages`` is a table of pages or a store of them; ``as_of`` leaves pages of a table out that the cache would not hold then.
+
     Names may arrive as bytes; those that are no UTF-8 get the status ``encoding_error``.
     """
     if isinstance(companies.schema["company_name"].dataType, BinaryType):
@@ -68,14 +70,15 @@ def mine_companies(
             {field: F.lit(None).cast("string") for field in FIELDS}
         )
         readable = named.filter(F.col("status").isNull()).drop("status")
-        mined = mine_companies(readable, serp, pages, suffixes, stop_words, directories, **options)
+        mined = mine_companies(readable, serp, pages, suffixes, stop_words, directories, terms, patterns, as_of, **options)
         return mined.unionByName(broken.select(*COLUMNS))
-    resolved = resolve_websites(companies, serp, pages, suffixes, stop_words, directories)
+    store = pages if isinstance(pages, PageStore) else page_store(pages, terms, patterns, directories, as_of)
+    resolved = resolve_websites(companies, serp, store.links, suffixes, stop_words, directories)
     websites = materialize(
         resolved.withColumn("site_key", url_key(F.col("website"))), "websites"
     )
     site_keys = websites.filter(F.col("site_key").isNotNull()).select("site_key").distinct()
-    contacts = mine_sites(pages, site_keys, **options).select("site_key", "email", "phone")
+    contacts = mine_sites(store, site_keys, **options).select("site_key", "email", "phone")
     # companies without a website would all meet in one task of the join
     nowhere = websites.filter(F.col("site_key").isNull()).withColumns({c: F.lit(None).cast("string") for c in ("email", "phone")})
     found = websites.filter(F.col("site_key").isNotNull()).join(contacts, "site_key", "left")
