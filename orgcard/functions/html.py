@@ -111,6 +111,28 @@ def decode_entities(c: Column) -> Column:
     return let(c, lambda s: F.when(F.contains(s, F.lit("&")), _decode(s)).otherwise(s))
 
 
+ESCAPE = r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|%u[0-9a-fA-F]{4}"
+MAY_BE_ESCAPED = r"%[0-9a-fA-Fu]|\\[xu]|&[#a-zA-Z]"
+
+
+def _unescape(c: Column) -> Column:
+    """One level of escapes: of scripts, percent signs, character references."""
+    found = F.array_distinct(extract_all(c, ESCAPE))
+    plain = F.aggregate(found, c, lambda acc, e: F.replace(
+        acc, e, F.coalesce(F.nullif(_code_point(F.concat(F.lit("x"), F.regexp_extract(e, r"[0-9a-fA-F]+(?=\}?$)", 0))), F.lit("")), e)))
+    # plus signs and percent signs that escape nothing stay as they are
+    quoted = F.regexp_replace(F.replace(plain, F.lit("+"), F.lit("%2B")), "%(?![0-9a-fA-F]{2})", "%25")
+    percent = F.when(plain.rlike("%[0-9a-fA-F]{2}"), F.coalesce(F.try_url_decode(quoted), plain)).otherwise(plain)
+    return decode_entities(percent)
+
+
+def decode_escapes(c: Column, levels: int = 3) -> Column:
+    """Text with escapes decoded, those inside others too, level by level up to ``levels``: ``%40``, ``\\x40``, ``\\u0040``, ``%u0040``,
+    ``&#64;``. What ``unescape`` or ``decodeURIComponent`` is given in a script so becomes readable."""
+    step = lambda t: F.when(t.rlike(MAY_BE_ESCAPED), _unescape(t)).otherwise(t)
+    return F.aggregate(F.array(*[F.lit(i) for i in range(levels)]), c, lambda t, _: step(t))
+
+
 def visible_text(html: Column) -> Column:
     """Text a reader sees; every tag leaves one blank."""
     bare = F.regexp_replace(F.regexp_replace(_tail_as_text(html), NO_TEXT, " "), WIDE_BLANKS, " ")

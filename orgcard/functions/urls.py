@@ -11,7 +11,8 @@ from orgcard.functions.text import blank_to_null, contains_any, extract, let
 # RFC 3986, appendix B.
 URL_PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?"
 SOCIAL_HOSTS = ["facebook.com", "twitter.com", "linkedin.com"]
-# Registry suffixes of two labels; any other last label is a suffix by itself.
+# Registry suffixes of two labels: those listed, and general ones before a country code. Any other last label is a suffix by itself.
+GENERAL_SUFFIX = r"^(?:com|co|org|net|gov|edu|ac)\.[a-z]{2}$"
 TWO_LABEL_SUFFIXES = [
     "co.uk", "org.uk", "ac.uk", "gov.uk", "com.tr", "org.tr", "com.au", "net.au", "org.au",
     "co.jp", "or.jp", "ne.jp", "com.br", "org.br", "co.in", "co.nz", "co.za", "com.mx", "com.cn",
@@ -133,16 +134,16 @@ def resolve(base: Column, href: Column) -> Column:
 
 
 def registrable_label(url: Column, suffixes: list[str] | None = None) -> Column:
-    """Label left of the public suffix: ``acme`` for ``www.acme.co.uk``."""
-    suffixes = TWO_LABEL_SUFFIXES if suffixes is None else suffixes
+    """Label left of the public suffix: ``acme`` for ``www.acme.co.uk``. For a table of suffix rules see ``operators.suffixes``."""
 
     def of(u: Column) -> Column:
         h, labels = u["host"], u["labels"]
         n = F.size(labels)
         last_two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")
+        is_suffix = last_two.isin(suffixes) if suffixes is not None else last_two.isin(TWO_LABEL_SUFFIXES) | last_two.rlike(GENERAL_SUFFIX)
         return (
             F.when(h.rlike(r"^[0-9.]+$"), h)
-            .when((n >= 3) & last_two.isin(suffixes), F.get(labels, n - 3))
+            .when((n >= 3) & is_suffix, F.get(labels, n - 3))
             .when(n >= 2, F.get(labels, n - 2))
             .otherwise(F.get(labels, F.lit(0)))
         )

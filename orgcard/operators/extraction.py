@@ -71,12 +71,13 @@ def _sections(nodes: Column) -> Column:
     )
 
 
-def _link_value(links: Column, prefix: str) -> Column:
+def _link_value(links: Column, prefix: str, decoded: bool) -> Column:
     chosen = F.filter(links, lambda a: F.contains(F.lower(a["href"]), F.lit(prefix)))
-    return F.transform(chosen, lambda a: strip(F.replace(a["href"], F.lit(prefix), F.lit(""))))
+    values = F.transform(chosen, lambda a: strip(F.replace(a["href"], F.lit(prefix), F.lit(""))))
+    return F.transform(values, lambda v: H.decode_escapes(v)) if decoded else values
 
 
-def _builder_candidates(nodes: Column, text: Column) -> Column:
+def _builder_candidates(nodes: Column, text: Column, decoded: bool) -> Column:
     """Per container: overriding links, then the text of its paragraphs, spans and divisions.
 
     An element's text holds that of all elements in it, and comes first, so only the outermost ones are searched; so
@@ -96,8 +97,8 @@ def _builder_candidates(nodes: Column, text: Column) -> Column:
             T.outermost(F.filter(own, lambda n: n["tag"].isin("p", "span", "div"))),
             lambda n: T.subtree_text(n, text),
         ))
-        email = first_where(_link_value(links, "mailto:"), C.is_valid_email)
-        number = first_where(_link_value(links, "tel:"), C.is_valid_phone)
+        email = first_where(_link_value(links, "mailto:", decoded), C.is_valid_email)
+        number = first_where(_link_value(links, "tel:", decoded), C.is_valid_phone)
         return F.array(
             *_pair(1, email, number, chunk=i, always=i == 0),
             *_pair(2, C.first_email_of(chunks), C.first_phone_raw_of(chunks), chunk=i),
@@ -176,11 +177,12 @@ def _walk_columns() -> dict[str, Column]:
 
 
 @built_once
-def _candidates(boundary: bool, rdfa: bool) -> Column:
+def _candidates(boundary: bool, rdfa: bool, decoded: bool) -> Column:
     """All methods over the columns html, text, tree, scripts, leaves, chunks, n_blocks."""
     html, nodes, tree_text = F.col("html"), F.col("tree.nodes"), F.col("tree.text")
     text, chunks, leaves = F.col("text"), F.col("chunks"), F.col("leaves")
-    bodies = F.col("scripts")
+    bodies = F.transform("scripts", lambda s: H.decode_escapes(s)) if decoded else F.col("scripts")
+    chunks = F.transform(chunks, lambda c: H.decode_escapes(c)) if decoded else chunks
     simple = [
         *_pair(0, H.json_ld_email(html), H.json_ld_phone(html)),
         *_pair(3, C.first_email_of(chunks), C.first_phone_raw_of(chunks)),
@@ -203,7 +205,7 @@ def _candidates(boundary: bool, rdfa: bool) -> Column:
     raw_type = f"array<{schemas.RAW_CANDIDATE}>"
     found = F.concat(
         F.array(*simple).cast(raw_type),
-        F.coalesce(_builder_candidates(nodes, tree_text).cast(raw_type), F.array().cast(raw_type)),
+        F.coalesce(_builder_candidates(nodes, tree_text, decoded).cast(raw_type), F.array().cast(raw_type)),
     )
     return F.transform(F.filter(found, lambda c: c["raw"].isNotNull()), _with_value)
 
@@ -221,14 +223,15 @@ def with_candidates(
     scripts, leaves = _script_columns()
     prepared = prepared.withColumn("scripts", scripts).withColumn("leaves", leaves)
     if deobfuscated or decoded:
-        prepared = prepared.withColumn("text", C.canonical_text(F.col("text"), deobfuscated, decoded))
-    return prepared.withColumns(_walk_columns()).select(*keep, _candidates(boundary, rdfa).alias("candidates"))
+        text = H.decode_escapes(F.col("text")) if decoded else F.col("text")
+        prepared = prepared.withColumn("text", C.canonical_text(text, deobfuscated))
+    return prepared.withColumns(_walk_columns()).select(*keep, _candidates(boundary, rdfa, decoded).alias("candidates"))
 
 
 def page_evidence(pages: DataFrame, **options) -> DataFrame:
     """(page_id, url, [url_key,] frames, candidates) of (page_id, url, [url_key,] html).
 
-    Options: ``deobfuscated``, ``decoded`` (rewrites of the text), ``boundary`` (phones in digit runs), ``rdfa``.
+    Options: ``deobfuscated`` (rewrites the text), ``decoded`` (escapes in text, scripts, sections and links), ``boundary`` (phones in digit runs), ``rdfa``.
     """
     keep = [c for c in pages.columns if c != "html"]
     html = F.col("html")
@@ -236,6 +239,12 @@ def page_evidence(pages: DataFrame, **options) -> DataFrame:
     return with_candidates(with_trees(base), [*keep, "frames"], **options)
 
 
+def page_errors(pages: DataFrame) -> DataFrame:
+    """(page_id, url, error) of the pages whose element tree breaks off; what was read before counts, and other pages go on."""
+    shredded = with_trees(pages.select("page_id", "url", "html"), lambda html: html.isNotNull())
+    return shredded.select("page_id", "url", F.col("tree.error").alias("error")).filter(F.col("error").isNotNull())
+
+
 def page_candidates(pages: DataFrame, **options) -> DataFrame:
     """Long form of :func:`page_evidence`: one row per candidate.
 

@@ -88,6 +88,13 @@ CARDS = {
         '<div class="vc_column_text"><a href="mailto:late@$label$.com">4</a></div>',
         "MACHINERY": '<div class="uabb-info-list-item"><a href="MAILTO:e@$label$.com">Mail</a></div>',
     },
+    "properties": {
+        "AUTOMOBILE": '<p data-x=\'{"email":"x@$label$.com"}\' data-email="a@$label$.com" data-phone="$phone$"></p>',
+        "BUILDING": '<p data-x=\'{"email" : "x@$label$.com", "contactPoint":{"email":"b@$label$.com","telephone":"$phone$"}}\'></p>',
+        "FURNITURE": '<meta property="og:email" content="c@$label$.com"><meta name="phone_number" content="$phone$">',
+        "HOUSEHOLD": '<p data-x=\'{"email":"x@example.com","email":"d@$label$.com"}\'></p>',
+        "MACHINERY": '<p data-x=\'{"telephone":"$phone$","email":"nobody"}\'></p>',
+    },
     "section": {
         "AUTOMOBILE": '<div class="page-contact"><p data-email="a@$label$.com" data-phone="$phone$">Us</p></div>',
         "BUILDING": '<section class="Details"><!-- b@$label$.com --><p>Mail x@$label$.com</p></section>',

@@ -29,7 +29,8 @@ def mine_sites(
     pages: DataFrame | PageStore, site_keys: DataFrame, terms: list[str] | None = None, patterns: bool = False,
     **options,
 ) -> DataFrame:
-    """(site_key, email, phone, email_method, phone_method) of the sites with a crawled homepage.
+    """(site_key, email, phone, email_method, phone_method, broken) of the sites with a crawled homepage and a value, or with a
+    visited page whose markup breaks off (broken).
 
     ``site_keys`` holds distinct keys, best read from a written table.
 
@@ -50,7 +51,10 @@ def mine_sites(
         only = answered.join(left.select("url_key"), "url_key", "left_anti")  # an answer without evidence is replaced
         answered = materialize(only.unionByName(more), "answers")
     evidence = answered.filter(F.col("bits").bitwiseAND(EVIDENCE) != 0).select("url_key", "candidates", "frame_keys")
-    return pick_contacts(site_candidates(visits, evidence, evidence))
+    picked = pick_contacts(site_candidates(visits, evidence, evidence))
+    failed = visits.join(answered.filter(F.col("error").isNotNull()).select("url_key"), "url_key")
+    broken = failed.select("site_key").distinct().withColumn("broken", F.lit(True))
+    return picked.join(broken, "site_key", "full").withColumn("broken", F.coalesce("broken", F.lit(False)))
 
 
 def mine_companies(
@@ -58,7 +62,8 @@ def mine_companies(
     stop_words: list[str] | None = None, directories: list[str] | None = None,
     terms: list[str] | None = None, patterns: bool = False, as_of: Column | None = None, **options,
 ) -> DataFrame:
-    """One row per company: company_id, company_name, website, email, phone, status.
+    """One row per company: company_id, company_name, website, email, phone, status. The status is ``error`` where a value is
+    missing and the markup of a visited page breaks off; such pages stop no others, and what was read before counts.
 
     ``pages`` is a table of pages or a store of them; ``as_of`` leaves pages of a table out that the cache would not hold then.
 
@@ -78,11 +83,14 @@ def mine_companies(
         resolved.withColumn("site_key", url_key(F.col("website"))), "websites"
     )
     site_keys = websites.filter(F.col("site_key").isNotNull()).select("site_key").distinct()
-    contacts = mine_sites(store, site_keys, **options).select("site_key", "email", "phone")
+    contacts = mine_sites(store, site_keys, **options).select("site_key", "email", "phone", "broken")
     # companies without a website would all meet in one task of the join
-    nowhere = websites.filter(F.col("site_key").isNull()).withColumns({c: F.lit(None).cast("string") for c in ("email", "phone")})
+    nowhere = websites.filter(F.col("site_key").isNull()).withColumns(
+        {"email": F.lit(None).cast("string"), "phone": F.lit(None).cast("string"), "broken": F.lit(False)})
     found = websites.filter(F.col("site_key").isNotNull()).join(contacts, "site_key", "left")
-    return with_status(found.unionByName(nowhere)).select(*COLUMNS)
+    gap = F.col("email").isNull() | F.col("phone").isNull()
+    rows = with_status(found.unionByName(nowhere))
+    return rows.withColumn("status", F.when(F.col("broken") & gap, "error").otherwise(F.col("status"))).select(*COLUMNS)
 
 
 def reprocess(results: DataFrame, serp: DataFrame, pages: DataFrame, **options) -> DataFrame:

@@ -315,6 +315,41 @@ f AS (SELECT *, len(list_filter(words, lambda x: length(x) > 2 AND contains(labe
   replace(clean, ' ', '') = label AS by_squeezed FROM w)
 SELECT s_suppkey, variant, label, clean, by_word, by_initials, by_squeezed,
   label NOT IN ({excluded}) AND (by_word OR by_initials OR by_squeezed) AS matched FROM f"""
+    sql["company_domain_pairs"] = f"""
+WITH n AS (
+  SELECT DISTINCT array_to_string(list_transform(string_split(replace({LABEL}, '-', ' '), ' '),
+    lambda w: upper(w[1]) || w[2:]), ' ') || ' Group' AS company_name FROM pages UNION SELECT c_name FROM customer),
+l AS (SELECT DISTINCT {LABEL} AS label FROM pages),
+w AS (SELECT company_name, {clean} AS clean, regexp_split_to_array(trim({clean}), '\\s+') AS words FROM n),
+f AS (SELECT company_name, label, array_to_string(list_transform(words, lambda x: x[1]), '') = label AS by_initials,
+  replace(clean, ' ', '') = label AS by_squeezed,
+  len(list_filter(words, lambda x: length(x) > 2 AND contains(label, x))) > 0 AS by_word FROM w, l
+  WHERE label <> '' AND label NOT IN ({excluded}))
+SELECT company_name, label, CASE WHEN by_initials THEN 'initials' WHEN by_squeezed THEN 'squeezed' ELSE 'word' END AS rule
+FROM f WHERE by_initials OR by_squeezed OR by_word"""
+    sql["page_suffix_labels"] = f"""
+SELECT page_id, CASE WHEN net LIKE '%example.com' THEN 'example.com' WHEN net LIKE '%example.net' THEN 'net' ELSE 'org' END AS suffix,
+  CASE WHEN net LIKE '%.example.com' THEN regexp_extract(net, '([^.]+)\\.example\\.com$', 1) ELSE 'example' END AS label
+FROM (SELECT page_id, lower({part('url', 2)}) AS net FROM pages)"""
+    sql["page_escaped_contacts"] = """
+SELECT page_id, CAST(CASE WHEN page_id % 5 = 4 THEN 1 ELSE 8 END AS INTEGER) AS method_ord, 'user' || page_id || '@site.test' AS email FROM pages"""
+    sql["page_error_counts"] = """
+SELECT CASE WHEN page_id % 7 = 0 THEN 'error' ELSE 'success' END AS status, count(*) AS n FROM pages GROUP BY 1"""
+    sql["site_company_errors"] = f"""
+SELECT CASE WHEN NOT ({_FOUND}) THEN 'no_website_found' WHEN c_mktsegment = 'BUILDING' THEN 'error' ELSE 'success' END AS status,
+  count(*) AS n, count(CASE WHEN {_FOUND} AND c_mktsegment <> 'BUILDING' THEN 1 END) AS n_email FROM customer GROUP BY 1"""
+    sql["homepage_declared"] = """
+WITH s AS (SELECT s_suppkey AS site_key, 'https://' || lower(replace(s_name, '#', '')) || '.com/' AS home, lower(replace(s_name, '#', '')) AS u FROM supplier)
+SELECT site_key, 'json-ld' AS source, home || 'ld-' || u AS url FROM s WHERE site_key % 4 = 0
+UNION ALL SELECT site_key, 'meta', home || 'meta-' || u FROM s WHERE site_key % 4 = 0
+UNION ALL SELECT site_key, 'json-ld', home || 'contact-ld' FROM s WHERE site_key % 4 = 1
+UNION ALL SELECT site_key, 'homepage', home FROM s WHERE site_key % 4 = 2"""
+    sql["name_encodings"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN hex(encode(c_name)) || 'FF' ELSE c_name || ' é' END AS company_name,
+  CASE WHEN c_custkey % 3 = 0 THEN 'encoding_error' END AS status FROM customer"""
+    sql["company_list"] = """
+SELECT c_mktsegment AS company_name, count(*) AS n, count(*) AS n_keys FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1"""
+    sql["markup_property_contacts"] = cards("abcd-", "ppp-p")
     # The name has 18 characters; the label drops its blank and all digits after the kept
     # ones; with one digit the lengths alone rule the threshold out.
     sql["company_domain_similarity"] = """

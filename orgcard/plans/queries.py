@@ -13,11 +13,11 @@ from orgcard.functions import html as H
 from orgcard.functions import names as N
 from orgcard.functions import urls as U
 from orgcard.functions.text import let
-from orgcard.operators import discovery, extraction, picking, positions, resolution, results, summary
+from orgcard.operators import discovery, extraction, matching, picking, positions, resolution, results, suffixes, summary
 from orgcard.operators.storage import shared_folder
 from orgcard.plans import derived, mining
 from orgcard.plans.derived import table
-from orgcard.sources import dims
+from orgcard.sources import companies, dims
 from orgcard.sources import results as results_table
 from orgcard.sources.pages import fresh, latest_snapshot, spread
 from orgcard.streaming import jobs
@@ -288,6 +288,89 @@ def company_domain_similarity(spark, sf_dir):
     )
 
 
+def company_domain_pairs(spark, sf_dir):
+    """Companies (customers, and those named after hosts) against the labels of all hosts, without search hits, by the exact rules."""
+    named, _ = page_hits(spark, sf_dir)
+    names = named.select("company_name").unionByName(table(spark, sf_dir, "customer").select(F.col("c_name").alias("company_name")))
+    labels = table(spark, sf_dir, "pages").select(U.registrable_label(F.col("url"), TEST_SUFFIXES).alias("label"))
+    return matching.match_domains(names, labels, similar=False)
+
+
+def page_suffix_labels(spark, sf_dir):
+    """Suffix and label of every page by a table of rules: one suffix, a wildcard and its exception."""
+    rules = spark.createDataFrame([("com",), ("net",), ("example.com",), ("*.net",), ("!example.net",)], "suffix string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return suffixes.with_registrable_label(pages, rules).select("page_id", "suffix", "label")
+
+
+def page_escaped_contacts(spark, sf_dir):
+    """Every page with an address spliced in that is escaped in one of five ways, in a script or a link."""
+    user = F.concat(F.lit("user"), F.col("page_id").cast("string"))
+    values = {"u": user, "html": F.coalesce("html", F.lit(""))}
+    ways = [
+        "$html$<script>m = unescape('$u$%40site.te%73t')</script>",
+        r"$html$<script>m = decodeURIComponent('$u$\x40site\x2etest')</script>".replace("\\\\", "\\"),
+        r"$html$<script>m = '$u$\u0040site.test'</script>".replace("\\\\", "\\"),
+        "$html$<script>m = unescape('$u$%2540site%252etest')</script>",
+        '$html$<div class="vc_column_text"><a href="mailto:$u$%40site.test">Mail</a></div>',
+    ]
+    html = F.coalesce(*[F.when(F.col("page_id") % len(ways) == i, derived.filled(w, **values)) for i, w in enumerate(ways)])
+    pages = pages_of(spark, sf_dir).select("page_id", "url", html.alias("html"))
+    found = extraction.page_candidates(pages, decoded=True)
+    spliced = found.filter((F.col("kind") == "email") & F.col("method_ord").isin(1, 8))
+    return spliced.select("page_id", "method_ord", F.col("value").alias("email"))
+
+
+def page_error_counts(spark, sf_dir):
+    """Pages by whether their markup breaks off, as that of every seventh is made to; the text before still counts."""
+    broken = F.concat(F.coalesce("html", F.lit("")), F.when(F.col("page_id") % 7 == 0, "<![broken[ x ]]>").otherwise(""))
+    pages = pages_of(spark, sf_dir).select("page_id", "url", broken.alias("html"))
+    errors = extraction.page_errors(pages).select("page_id", F.lit("error").alias("status"))
+    status = pages.select("page_id").join(errors, "page_id", "left").select(F.coalesce("status", F.lit("success")).alias("status"))
+    return status.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def site_company_errors(spark, sf_dir):
+    """The whole job where the contact pages of one segment break off before their links: statuses of all companies."""
+    named, serp, pages = derived.site_tables(spark, sf_dir)
+    broken = F.when(F.col("html").contains("elementor-widget"), F.concat(F.lit("<![broken[ "), "html")).otherwise(F.col("html"))
+    mined = mining.mine_companies(named, serp, pages.withColumn("html", broken))
+    return mined.groupBy("status").agg(F.count("*").alias("n"), F.count("email").alias("n_email"))
+
+
+def homepage_declared(spark, sf_dir):
+    """Contact pages that homepages declare in structured data and meta tags, and homepages that are their own contact page."""
+    values = {"u": F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit("")))}
+    parts = [
+        '<script type="application/ld+json">{"contactPoint":{"url":"/ld-$u$"}}</script><meta name="email-us" content="/meta-$u$">',
+        '<script type="application/ld+json">{"url":"https://$u$.com/contact-ld"}</script><meta name="author" content="/no">',
+        '<div class="contact"><form class="contact"></form></div><p>Address: $u$@$u$.com</p>',
+        '<script type="application/ld+json">{"contactPoint":{"email":"x"},"url":"/contact"}</script><meta name="contact" content="mailto:x">',
+    ]
+    html = F.coalesce(*[F.when(F.col("s_suppkey") % 4 == i, derived.filled(p, **values)) for i, p in enumerate(parts)])
+    homes = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("site_key"), derived.filled("https://$u$.com/", **values).alias("url"), html.alias("html"))
+    sources = discovery.homepage_links(homes).select("site_key", F.inline_outer("sources")).filter(F.col("url").isNotNull())
+    return sources.select("site_key", F.get(F.array(*map(F.lit, discovery.SOURCES)), F.col("source_ord")).alias("source"), "url")
+
+
+def name_encodings(spark, sf_dir):
+    """Company names as bytes, those of every third customer no UTF-8."""
+    bad = F.concat(F.encode("c_name", "UTF-8"), F.unhex(F.lit("FF")))
+    raw = F.when(F.col("c_custkey") % 3 == 0, bad).otherwise(F.encode(F.concat("c_name", F.lit(" é")), "UTF-8"))
+    return results.decode_names(table(spark, sf_dir, "customer").select("c_custkey", raw.alias("company_name")))
+
+
+def company_list(spark, sf_dir):
+    """A list of names written as CSV and read back: first column, trimmed, missing ones gone, equal ones with keys of their own."""
+    name = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")))
+    path = scratch(spark)
+    table(spark, sf_dir, "customer").select(name.alias("Firma"), "c_nationkey").write.option("header", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    named = companies.read_companies(spark, path, "csv")
+    return named.groupBy("company_name").agg(F.count("*").alias("n"), F.countDistinct("company_id").alias("n_keys"))
+
+
 # --- one extraction method each, on card pages ----------------------------------------------
 
 
@@ -512,12 +595,14 @@ def registry() -> dict[str, Query]:
         builder_contacts, markup_website, site_company_contacts, contact_page_ranking, sitemap_pages,
         common_path_probe, directory_website, frame_contacts, batch_summary, status_breakdown,
         company_batches, reprocess_merge, upsert_results, upsert_by_key, snapshot_latest,
-        stream_results, stream_first_seen, props_json,
+        stream_results, stream_first_seen, props_json, company_domain_pairs, page_suffix_labels, page_escaped_contacts,
+        page_error_counts, site_company_errors, homepage_declared, name_encodings, company_list,
     ]
     queries: dict[str, Query] = {f.__name__: f for f in named}
     queries["jsonld_contacts"] = _method_values(0, "jsonld")
     queries["js_object_contacts"] = _method_values(9, "objects")
     queries["microdata_contacts"] = _method_values(7, "microdata")
+    queries["markup_property_contacts"] = _method_values(6, "properties")
     queries["section_contacts"] = _method_values(3, "section")
     return queries
 
