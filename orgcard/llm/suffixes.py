@@ -14,7 +14,8 @@ chosen by its content alone, so equal strings have anchors at equal offsets (a s
    runs that differ there are ordered without a look at the bytes, equal ones are compared behind the known prefix. It
    hands on the prefix lengths, so neighbours that share an anchor form a group, in which strings of `length` bytes that
    contain the anchor are matched exactly and get their least id.
-5. Each chunk removes what is covered by strings whose least id is smaller than the document's.
+5. Each chunk removes what is covered by strings whose least id is smaller than the document's. It gets the order of its own
+   contexts back beside the answers, so that they are found and sorted once.
 
 Results for special cases: a null text is empty; texts shorter than `length` keep everything; equal ids are not smaller
 than each other; a null id counts as larger than every other and comes back null.
@@ -38,7 +39,7 @@ RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 RUN = "range int, chunk int, prefixes binary, lengths binary, bytes binary, rights binary, least binary, most binary"
 FACTS = "chunk int, kind int, range int, data binary"
 FACT = np.dtype([("entry", "<u4"), ("low", "u1"), ("high", "u1"), ("least", "<i8")])
-HASHES, MATCHES = 0, 1
+HASHES, MATCHES, ORDER = 0, 1, 2
 
 
 class Anchors:
@@ -82,7 +83,7 @@ def sort_key(a: Anchors, which: np.ndarray, length: int) -> tuple[list[bytes], n
 
 def classes(strings: list[bytes], right: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order by string, the first of each class of equal contexts in it, and the least and largest id of each class."""
-    order = np.array(sorted(range(len(strings)), key=lambda i: (strings[i], right[i])), np.int64)
+    order = np.array(sorted(np.argsort(right, kind="stable").tolist(), key=strings.__getitem__), np.int64)  # equal strings by right
     new = [True] + [strings[i] != strings[j] or right[i] != right[j] for i, j in zip(order[1:].tolist(), order[:-1].tolist())]
     first = np.flatnonzero(new) if len(order) else np.zeros(0, np.int64)
     ids = keys[order]
@@ -120,10 +121,11 @@ def decoded(prefixes: bytes, lengths: bytes, rest: bytes) -> tuple[list[bytes],
 
 def differ_at(x: bytes, y: bytes, n: int) -> int:
     """Common prefix length of two strings that share their first n bytes."""
-    end = min(len(x), len(y))
-    while n < end and x[n] == y[n]:
-        n += 1
-    return n
+    while (a := x[n:n + 32]) == (b := y[n:n + 32]) and len(a) == 32:
+        n += 32
+    end = min(len(a), len(b))
+    unlike = int.from_bytes(a[:end], "big") ^ int.from_bytes(b[:end], "big")
+    return n + end - (unlike.bit_length() + 7 >> 3)
 
 
 class LoserTree:
@@ -205,6 +207,8 @@ def merged(t: pa.Table, gram: int, length: int) -> pa.Table:
         return chunks.arrow([], FACTS)
     at = t["range"][0].as_py()
     rows = t.to_pylist()
+    if at < 0:
+        return chunks.arrow([(r["chunk"], ORDER, at, r["bytes"]) for r in rows], FACTS)
     runs = [decoded(r["prefixes"], r["lengths"], r["bytes"]) for r in rows]
     order = np.array(list(LoserTree(runs)), np.int64).reshape(-1, 3)
     run, index, group = order[:, 0], order[:, 1], np.cumsum(order[:, 2] < gram)
@@ -241,6 +245,19 @@ def merged(t: pa.Table, gram: int, length: int) -> pa.Table:
     return chunks.arrow(out, FACTS)
 
 
+def ordered(answers: pa.Table) -> list[np.ndarray]:
+    """What a chunk sent to itself: first byte and owner of its contexts in order, the first of each class, and its range."""
+    for kind, data in zip(answers["kind"].to_pylist(), answers["data"].to_pylist()):
+        if kind == ORDER:
+            out, at = [], 0
+            while at < len(data):
+                n = int.from_bytes(data[at:at + 8], "little")
+                out.append(common.unpack(data[at + 8:at + 8 + n], np.int64))
+                at += 8 + n
+            return out
+    return [np.zeros(0, np.int64)] * 4
+
+
 def splitters(docs: DataFrame, ranges: int) -> list[int]:
     """Quantiles of the six bytes in the middle of each text: where the sorted order is cut into ranges of like size."""
     middle = F.expr("substring(cast(text as binary), greatest(1, octet_length(text) div 2), 6)")
@@ -290,37 +307,47 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes
     def runs(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(t):
             return chunks.arrow([], RUN)
-        *_, strings, right, _, _, low, top, heads, ranges = contexts(t, answers)
-        at = np.flatnonzero(np.diff(ranges, prepend=-1))
-        return chunks.arrow([(int(ranges[i]), t["chunk"][0].as_py(), *front_coded([strings[k] for k in heads[i:j]]),
-                              common.pack(right[heads[i:j]].astype(np.uint8)), common.pack(low[i:j]), common.pack(top[i:j]))
-                             for i, j in zip(at, [*at[1:], len(heads)])], RUN)
+        _, _, _, a, which, strings, right, order, begin, low, top, heads, ranges = contexts(t, answers)
+        at, chunk = np.flatnonzero(np.diff(ranges, prepend=-1)), t["chunk"][0].as_py()
+        out = [(int(ranges[i]), chunk, *front_coded([strings[k] for k in heads[i:j]]),
+                common.pack(right[heads[i:j]].astype(np.uint8)), common.pack(low[i:j]), common.pack(top[i:j]))
+               for i, j in zip(at, [*at[1:], len(heads)])]
+        # for the chunk itself: its contexts in order, and the classes and ranges they are in
+        members = which[order]
+        own = [common.pack(x.astype(np.int64)) for x in (a.low[members], a.owner[members], begin, ranges)]
+        if len(members):
+            out.append((-1 - chunk, chunk, b"", b"", b"".join(len(x).to_bytes(8, "little") + x for x in own), b"", b"", b""))
+        return chunks.arrow(out, RUN)
 
     def apply(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(t):
             return chunks.arrow([], RESULT)
-        texts, keys, first, a, which, _, _, order, begin, _, _, heads, ranges = contexts(t, answers)
+        texts, keys = common.texts_of(t["text"]), t["key"].to_numpy()
+        first = np.flatnonzero(keys == t["least"].to_numpy())
+        whole = b"".join(texts[i] for i in first)
+        edge = np.cumsum([0, *(len(texts[i]) for i in first)])
+        starts, owners, begin, ranges = ordered(answers)
         base = {int(r): int(i) for i, r in zip(np.flatnonzero(np.diff(ranges, prepend=-1)), ranges[np.diff(ranges, prepend=-1) != 0])}
-        change = np.zeros(len(a.data) + 1, np.int32)
-        size = np.diff(begin, append=len(order))
+        change = np.zeros(len(whole) + 1, np.int32)
+        size = np.diff(begin, append=len(starts))
         for kind, r, data in zip(answers["kind"].to_pylist(), answers["range"].to_pylist(), answers["data"].to_pylist()):
             if kind != MATCHES:
                 continue
             facts = common.unpack(data, np.uint8).view(FACT)
             cls = facts["entry"].astype(np.int64) + base[r]
             n = size[cls]
-            member = which[order[np.repeat(begin[cls], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
+            member = np.repeat(begin[cls], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             fact = np.repeat(np.arange(len(facts)), n)
-            hit = facts["least"][fact] < keys[first][a.owner[member]]
+            hit = facts["least"][fact] < keys[first][owners[member]]
             member, fact = member[hit], fact[hit]
-            np.add.at(change, a.low[member] + facts["low"][fact], 1)
-            np.add.at(change, a.low[member] + facts["high"][fact] + length, -1)
+            np.add.at(change, starts[member] + facts["low"][fact], 1)
+            np.add.at(change, starts[member] + facts["high"][fact] + length, -1)
         gone = np.cumsum(change[:-1]) > 0
         where = {int(i): k for k, i in enumerate(first)}
-        buf, out = np.frombuffer(a.data, np.uint8), []
+        buf, out = np.frombuffer(whole, np.uint8), []
         for i, (key, text) in enumerate(zip(keys.tolist(), texts)):
             if i in where:
-                own = slice(a.begin[where[i]], a.begin[where[i] + 1])
+                own = slice(edge[where[i]], edge[where[i] + 1])
                 lost = gone[own]
                 kept = buf[own][~lost].tobytes()
                 spans = int(np.count_nonzero(np.diff(lost.astype(np.int8), prepend=0) == 1))
