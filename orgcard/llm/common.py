@@ -6,6 +6,7 @@ partition is. Hashes are functions of the content alone: every task and every re
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -45,6 +46,28 @@ _BYTE = {seed: seeded(256, seed) for seed in (1, 2)}
 _powers: dict[str, np.ndarray] = {}
 
 
+def trim_heap():
+    """Gives freed memory back to the system, where the C library has a call for it."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+_caches: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """What a worker keeps of one operator from task to task. Workers are used again by later stages, so what they keep of
+    other operators is dropped first."""
+    if other := [name for name in _caches if name != owner]:
+        for name in other:
+            del _caches[name]
+        pa.default_memory_pool().release_unused()
+        trim_heap()
+    return _caches.setdefault(owner, {})
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n at least."""
     if len(_powers.get("up", ())) < n:

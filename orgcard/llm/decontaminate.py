@@ -71,6 +71,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Passages with each term, and passages in all."""
 
     def count(batches):
+        common.cache("decontaminate")
         total = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
             texts = common.texts_of(batch.column("text"))
@@ -100,6 +101,7 @@ def latent(passages: DataFrame, weights, rank: int, extra: int) -> np.ndarray:
         return np.random.RandomState(7).standard_normal((DIMENSIONS, width)).astype(np.float32)
 
     def product(batches):
+        common.cache("decontaminate")
         total, w = np.zeros((DIMENSIONS, width), np.float32), random()
         for batch in batches:
             texts = common.texts_of(batch.column("text"))
@@ -278,6 +280,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, extra:
     wide = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name.startswith("keep_")]
 
     def search(batches):
+        common.cache("decontaminate")
         items = held.value
         for batch in batches:
             texts = common.texts_of(batch.column("text"))

@@ -75,6 +75,7 @@ def sizes_and_counts(docs: DataFrame, gram: int) -> tuple[np.ndarray, np.ndarray
     """How often each cell's shingles occur, and the number of sets by size (LARGEST and more together)."""
 
     def count(batches):
+        common.cache("jaccard")
         total = np.zeros((1 << CELL_BITS) + LARGEST + 1, np.int64)
         for batch in batches:
             texts = common.texts_of(batch.column("text"))
@@ -125,6 +126,7 @@ def set_rows(docs: DataFrame, counts, boundary: int, gram: int, percent: int, ra
         return np.sort(head.astype(np.uint16)).tobytes()  # the lower bits of each hash
 
     def make(batches):
+        common.cache("jaccard")
         for batch in batches:
             ids, texts = batch.column("key").to_numpy(), common.texts_of(batch.column("text"))
             rows, keys, owners, sizes, places = [], [], [], [], []
@@ -167,6 +169,7 @@ def shared_keys(rows: DataFrame, boundary: int) -> DataFrame:
     """(bucket, owner, n, place) of the keys that several documents have, lists only if they hold a large set."""
 
     def meet(t: pa.Table) -> pa.Table:
+        common.cache("jaccard")
         k = np.concatenate([common.unpack_sorted(x.as_py()) for x in t["keys"]])
         o = np.concatenate([common.unpack(x.as_py(), np.int64) for x in t["owners"]])
         n, p = (np.concatenate([common.unpack(x.as_py(), np.int32) for x in t[c]]) for c in ("sizes", "places"))
@@ -282,6 +285,7 @@ def asked_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
     most other texts out of the exchange; it lets some through, the join none."""
 
     def marks(batches):
+        common.cache("jaccard")
         total = np.zeros(FILTER, np.uint32)
         for batch in batches:
             total[common.mix(batch.column("id").to_numpy().view(np.uint64)) & np.uint64(FILTER - 1)] = 1
@@ -290,6 +294,7 @@ def asked_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
     seen = docs.sparkSession.sparkContext.broadcast(np.packbits(common.summed(ids.mapInArrow(marks, common.PARTS), np.uint32, (FILTER,)) > 0))
 
     def likely(batches):
+        common.cache("jaccard")
         cells = seen.value
         for batch in batches:
             at = common.mix(batch.column("id").to_numpy().view(np.uint64)) & np.uint64(FILTER - 1)
@@ -311,6 +316,7 @@ def verified(pairs: DataFrame, texts: DataFrame, gram: int, percent: int, group_
     held = asked.join(texts, "id").withColumn("group", F.pmod(F.xxhash64("a", "block"), F.lit(groups)))
 
     def compare(t: pa.Table) -> pa.Table:
+        common.cache("jaccard")
         a, b, block = t["a"].to_numpy(), t["b"].to_pylist(), t["block"].to_numpy()
         pivots, others, out = {}, {}, []
         for i, (x, y, z) in enumerate(zip(a.tolist(), b, block.tolist())):

@@ -26,6 +26,7 @@ from orgcard.llm import common
 
 MODEL, DOCS, MAX_LANGUAGES, SEGMENT, ROUNDS, SMOOTH = "/opt/tokenizers/piece_bpe_32k.model", 400, 1000, 32, 3, 0.1
 KNOWN = 1 << 20
+AT_A_TIME = 1 << 14  # words whose segmentations are held at a time
 
 
 def pieces_of(path: str) -> list[bytes]:
@@ -152,22 +153,27 @@ def learned(texts: list[bytes], trie: Trie, n_pieces: int, rounds: int = ROUNDS,
     return p
 
 
-_tries: dict[int, Trie] = {}
+def trie_of(pieces: list[bytes]) -> Trie:
+    held = common.cache("langid")
+    if held.get("pieces") is not pieces:
+        held.clear()
+        held["pieces"], held["trie"] = pieces, Trie(pieces)
+    return held["trie"]
 
 
-def trie_of(pieces: list[bytes]) -> Trie:
-    if id(pieces) not in _tries:
-        _tries.clear()
-        _tries[id(pieces)] = Trie(pieces)
-        _tries[0] = pieces  # keeps the id taken
-    return _tries[id(pieces)]
+def sampled(docs: DataFrame, docs_a_language: int) -> DataFrame:
+    """(lang, text) of so many rows of each language at most. Equal rows are one; rows that share an id or have none are told
+    apart by their texts."""
+    docs = docs.select("lang", "key", F.xxhash64("text").alias("mark"), "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "mark"))
+    rows = ["lang", "key", "mark"]
+    chosen = docs.select(*rows).distinct().withColumn("rank", rank).where(F.col("rank") <= docs_a_language).select(*rows)
+    return docs.join(F.broadcast(chosen), rows).groupBy(*rows).agg(F.any_value("text").alias("text")).select("lang", F.col("text").cast("binary").alias("text"))
 
 
 def fit(docs: DataFrame, pieces, rounds: int = ROUNDS, docs_a_language: int = DOCS, max_languages: int = MAX_LANGUAGES):
     """(languages, probabilities by piece and language) from docs (key, text, lang), all labelled."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
-    chosen = docs.select("lang", "key").withColumn("rank", rank).where(F.col("rank") <= docs_a_language).select("lang", "key").distinct()
-    sample = docs.join(F.broadcast(chosen), ["lang", "key"]).select("lang", F.col("text").cast("binary").alias("text"))
+    sample = sampled(docs, docs_a_language)
 
     def one(t: pa.Table) -> pa.Table:
         held = pieces.value
@@ -201,25 +207,21 @@ class Scorer:
         have = self.known[place] == distinct if len(self.known) else np.zeros(len(distinct), bool)
         value[have] = self.value[place[have]]
         new, data = np.flatnonzero(~have), w.buf.tobytes()
-        for i in range(0, len(new), 1 << 16):
-            at = sample[new[i:i + (1 << 16)]]
+        for i in range(0, len(new), AT_A_TIME):
+            at = sample[new[i:i + AT_A_TIME]]
             words = [b" " + data[a:b] if f else data[a:b] for a, b, f in zip(start[at].tolist(), end[at].tolist(), begins[at].tolist())]
             lattice = Lattice(self.trie, words)
-            value[new[i:i + (1 << 16)]] = np.log(lattice.forward(self.p)[lattice.last])
+            value[new[i:i + AT_A_TIME]] = np.log(lattice.forward(self.p)[lattice.last])
         if len(self.known) + len(new) > KNOWN:
             self.known, self.value = distinct, value
         else:
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.value = known[order], np.concatenate([self.value, value[new]])[order]
+            at = np.searchsorted(self.known, distinct[new])
+            self.known, self.value = np.insert(self.known, at, distinct[new]), np.insert(self.value, at, value[new], axis=0)
         for k in range(out.shape[1]):
             out[:, k] = np.bincount(own, weights=value[index, k], minlength=len(texts))
         return out
 
 
-_scorers: dict[int, tuple] = {}
-
-
 def identified(docs: DataFrame, model_path: str = MODEL, docs_a_language: int = DOCS, rounds: int = ROUNDS,
                max_languages: int = MAX_LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                keep: tuple[str, ...] = ()) -> DataFrame:
@@ -240,16 +242,16 @@ def identified(docs: DataFrame, model_path: str = MODEL, docs_a_language: int =
 
     def predict(batches):
         names, p = model.value
-        if id(p) not in _scorers:
-            _scorers.clear()
-            _scorers[id(p)] = (Scorer(trie_of(pieces.value), p), p)
-        scorer = _scorers[id(p)][0]
+        trie, held = trie_of(pieces.value), common.cache("langid")
+        if held.get("model") is not p:
+            held["model"], held["scorer"] = p, Scorer(trie, p)
+        scorer = held["scorer"]
         for batch in batches:
             texts = common.texts_of(batch.column("text"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             if names:
-                for i, j in common.slices(texts, 4 * common.SLICE):
+                for i, j in common.slices(texts, 2 * common.SLICE):
                     logs = scorer.score(texts[i:j])
                     best[i:j] = logs.argmax(1)
                     score[i:j] = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)

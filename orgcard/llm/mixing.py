@@ -134,6 +134,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_tokens: int =
     wide = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name.startswith("keep_")]
 
     def select(t: pa.Table) -> pa.Table:
+        common.cache("mixing")
         key, length = t["key"].to_numpy(), t["size"].to_numpy()
         own = common.mix(t["own"].to_numpy().view(np.uint64))
         order = np.lexsort((length, key, own))

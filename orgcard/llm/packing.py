@@ -16,6 +16,7 @@ packed each; empty tables give no rows. Rows are the same on a rerun with the sa
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.size, self.arena, self.used = [], [], np.zeros(1 << 16, self.dtype), 0
+        self.known, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.arena = np.zeros(0, self.dtype)
 
     def units(self, texts: list[bytes]):
         """Buffer, start and end of each unit, and the number of units before each text."""
@@ -73,20 +74,15 @@ class Encoder:
             if len(self.known) + new.sum() > CACHE:
                 self.forget()
                 new[:] = True
-            for a, b in zip(start[sample[new]].tolist(), end[sample[new]].tolist()):
-                got = self.encode(data[a:b].decode("utf-8", "replace"))
-                while self.used + len(got) > len(self.arena):
-                    self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
-                self.arena[self.used:self.used + len(got)] = got
-                self.begin.append(self.used)
-                self.size.append(len(got))
-                self.used += len(got)
-            where = np.arange(len(self.begin) - int(new.sum()), len(self.begin))
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.where = known[order], np.concatenate([self.where, where])[order]
-            entry = self.where[np.searchsorted(self.known, distinct)][index]
-            begin, size = np.array(self.begin)[entry], np.array(self.size)[entry]
+            got = [self.encode(data[a:b].decode("utf-8", "replace")) for a, b in zip(start[sample[new]].tolist(), end[sample[new]].tolist())]
+            sizes = np.fromiter(map(len, got), np.int32, len(got))
+            begins = len(self.arena) + np.cumsum(sizes) - sizes
+            at = np.searchsorted(self.known, distinct[new])
+            self.known, self.size = np.insert(self.known, at, distinct[new]), np.insert(self.size, at, sizes)
+            self.begin = np.insert(self.begin, at, begins)
+            self.arena = np.concatenate([self.arena, np.fromiter(chain.from_iterable(got), self.dtype, int(sizes.sum()))])
+            entry = np.searchsorted(self.known, distinct)[index]
+            begin, size = self.begin[entry], self.size[entry].astype(np.int64)
         else:
             begin = size = np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
@@ -144,16 +140,13 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder(ranks: bytes) -> Encoder:
     """One for each worker and vocabulary, so that its cache lasts."""
-    key = hash(ranks)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(ranks)
-    return _encoders[key]
+    held, key = common.cache("packing"), hash(ranks)
+    if key not in held:
+        held.clear()
+        held[key] = Encoder(ranks)
+    return held[key]
 
 
 def packed_rows(pieces: list[tuple[int | None, int, np.ndarray]], length: int, end: int, dtype) -> pa.RecordBatch:
@@ -183,7 +176,7 @@ def packed(docs: DataFrame, length: int = LENGTH, batch_tokens: int = BATCH, ran
         pieces, held = [], 0
         for batch in batches:
             keys, texts = batch.column("key").to_pylist(), common.texts_of(batch.column("text"))
-            for i, j in common.slices(texts, 4 * common.SLICE):
+            for i, j in common.slices(texts, 2 * common.SLICE):
                 ids, begin = e.ids(texts[i:j])
                 for key, a, b in zip(keys[i:j], begin.tolist(), begin[1:].tolist()):
                     pieces += [(key, at - a, ids[at:min(at + length, b)]) for at in range(a, b, length)]

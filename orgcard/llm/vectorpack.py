@@ -256,16 +256,13 @@ def batch_of(rows: list[list[Piece]], first: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-_tokens: dict[int, Tokens] = {}
-
-
 def tokens_of(definition: str) -> Tokens:
     """One for each worker and tokenizer, so that its cache lasts."""
-    key = hash(definition)
-    if key not in _tokens:
-        _tokens.clear()
-        _tokens[key] = Tokens(definition)
-    return _tokens[key]
+    held, key = common.cache("vectorpack"), hash(definition)
+    if key not in held:
+        held.clear()
+        held[key] = Tokens(definition)
+    return held[key]
 
 
 def read_examples(t: Tokens, batch: pa.RecordBatch, end: int):
@@ -276,7 +273,7 @@ def read_examples(t: Tokens, batch: pa.RecordBatch, end: int):
     texts, bears = common.texts_of(parts.flatten()), np.array([bool(x) for x in flags.flatten().to_pylist()], bool)
     first = np.concatenate([[0], np.cumsum(counts)])
     weight = [b"" if a == b else texts[a] if b == a + 1 else b"".join(texts[a:b]) for a, b in zip(first.tolist(), first[1:].tolist())]
-    for i, j in common.slices(weight, 4 * common.SLICE):
+    for i, j in common.slices(weight, 2 * common.SLICE):
         a, b = int(first[i]), int(first[j])
         ids, begin = t.ids(texts[a:b])
         out = []

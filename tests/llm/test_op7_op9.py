@@ -114,3 +114,16 @@ def test_special_cases(spark):
     assert langid.identified(spark.createDataFrame([], schema)).collect() == []
     alone = langid.identified(spark.createDataFrame([(1, "abc", None, "x")], schema)).collect()
     assert alone[0].lang_pred == "und"
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    """Rows without an id, with one id for all or equal to each other are no way round the bound."""
+    rows = [(None, f"word{i} the cat", "en") for i in range(60)] + [(7, f"wort{i} die Katze", "de") for i in range(60)] + [(8, "gleich", "fr")] * 50
+    docs = spark.createDataFrame(rows, "key long, text string, lang string").withColumn("key", common.id_or_last("key"))
+    assert {r.lang: r["count"] for r in langid.sampled(docs, 20).groupBy("lang").count().collect()} == {"en": 20, "de": 20, "fr": 1}
+
+
+def test_caches_of_other_operators_are_dropped():
+    common.cache("a")["x"] = 1
+    assert common.cache("a") == {"x": 1}
+    assert common.cache("b") == {} and common.cache("a") == {}
