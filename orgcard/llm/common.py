@@ -102,6 +102,13 @@ def texts_of(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def small(batches, rows: int = 2048):
+    """The record batches a task is given, in parts of so many rows, so that few texts are held as objects at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def slices(texts: list[bytes], limit: int = SLICE):
     """Runs of whole texts, (from, to), of about limit bytes or one longer text."""
     begin, held = 0, 0
@@ -269,6 +276,18 @@ def summed(parts: DataFrame, dtype, like: tuple[int, ...]) -> np.ndarray:
     return np.concatenate([unpack(x, dtype) for _, x in rows]).reshape(like) if rows else np.zeros(like, dtype)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def hand_over(spark: SparkSession, rows: int | None = None) -> None:
+    """So many rows go to a Python worker at a time (None: as many as the session is set to by default). Rows with whole texts
+    are held on both sides, so fewer of them keep a task small; results do not depend on it."""
+    if rows is None:
+        spark.conf.unset(BATCH_ROWS)
+    else:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 _shipped: set[str] = set()
 
 

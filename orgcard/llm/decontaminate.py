@@ -282,7 +282,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, extra:
     def search(batches):
         common.cache("decontaminate")
         items = held.value
-        for batch in batches:
+        for batch in common.small(batches):
             texts = common.texts_of(batch.column("text"))
             found: list[set[int]] = [set() for _ in texts]
             score = np.zeros(len(texts))

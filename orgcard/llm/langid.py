@@ -246,7 +246,7 @@ def identified(docs: DataFrame, model_path: str = MODEL, docs_a_language: int =
         if held.get("model") is not p:
             held["model"], held["scorer"] = p, Scorer(trie, p)
         scorer = held["scorer"]
-        for batch in batches:
+        for batch in common.small(batches):
             texts = common.texts_of(batch.column("text"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))

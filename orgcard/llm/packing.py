@@ -174,7 +174,7 @@ def packed(docs: DataFrame, length: int = LENGTH, batch_tokens: int = BATCH, ran
     def pack(batches):
         e = encoder(ranks.value)
         pieces, held = [], 0
-        for batch in batches:
+        for batch in common.small(batches):
             keys, texts = batch.column("key").to_pylist(), common.texts_of(batch.column("text"))
             for i, j in common.slices(texts, 2 * common.SLICE):
                 ids, begin = e.ids(texts[i:j])

@@ -313,7 +313,7 @@ def packed(examples: DataFrame, definition: str, id_col: str = "doc_id", parts:
             number += len(rows)
             return batch_of(rows, number - len(rows))
 
-        for batch in batches:
+        for batch in common.small(batches):
             for some in read_examples(t, batch, end):
                 waiting += some
                 held += sum(len(x.ids) for x in some)
