@@ -199,14 +199,19 @@ def answers(store: PageStore, requests: DataFrame, **options) -> DataFrame:
     """(url_key, url, bits, error, sources, sitemaps, relevance, locations, references, candidates, frame_keys) of written
     requests. A page is read once and parsed once for all its purposes; NULL where a purpose is not asked for.
     ``error`` tells where the element tree of a page broke off; what was read before counts."""
+    return answers_of(markup(store, requests), store.terms, store.patterns, **options)
+
+
+def answers_of(body: DataFrame, terms: tuple[str, ...], patterns: bool = False, carried: tuple[str, ...] = (), **options) -> DataFrame:
+    """The same for pages (url_key, url, html, bits, carried...) at hand."""
     html = F.col("html")
-    body = markup(store, requests).select(
-        "url_key", "url", "bits", "html", F.when(_has(EVIDENCE) & extraction.promising(html, **options), html).alias("own"))
+    body = body.select(
+        "url_key", "url", "bits", *carried, "html", F.when(_has(EVIDENCE) & extraction.promising(html, **options), html).alias("own"))
     body = body.withColumns(_parsed_columns())
     found = body.select(
-        "url_key", "url", "bits", "own", "text", "tree", F.col("tree.error").alias("error"), *_answer_columns(store.terms, store.patterns),
+        "url_key", "url", "bits", *carried, "own", "text", "tree", F.col("tree.error").alias("error"), *_answer_columns(terms, patterns),
         F.when(_has(EVIDENCE), F.transform(H.frame_sources(html), lambda f: url_key(f))).alias("frame_keys"))
-    keep = ["url_key", "url", "bits", "error", "sources", "sitemaps", "relevance", "locations", "references", "frame_keys"]
+    keep = ["url_key", "url", "bits", *carried, "error", "sources", "sitemaps", "relevance", "locations", "references", "frame_keys"]
     own = found.select(*keep, F.col("own").alias("html"), "text", F.when(F.col("own").isNotNull(), F.col("tree")).alias("tree"))
     return extraction.with_candidates(own, keep, **options)
 

@@ -424,6 +424,8 @@ WITH RECURSIVE r AS (
   SELECT e.user_id, min(e.ts) AS ts FROM r JOIN events e ON e.user_id = r.user_id AND e.ts >= r.ts + INTERVAL 7 DAYS
   GROUP BY e.user_id, r.ts)
 SELECT user_id, ts FROM r"""
+    sql["stream_site_contacts"] = (
+        f"SELECT {_HOME} AS site_key, {case(dict(zip(SEGMENTS, 'abcde')))} AS email, number AS phone FROM ({CUSTOMERS})")
     sql["props_json"] = """
 SELECT event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k FROM (
   SELECT event_type, CAST(regexp_extract(props, '"k":\\s*(-?[0-9]+)', 1) AS BIGINT) AS k FROM events)

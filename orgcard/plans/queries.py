@@ -21,6 +21,7 @@ from orgcard.sources import companies, dims
 from orgcard.sources import results as results_table
 from orgcard.sources.pages import fresh, latest_snapshot, spread
 from orgcard.streaming import jobs
+from orgcard.streaming import sites as site_jobs
 
 # Hosts of the page table end in these, so the company label stands left of them.
 TEST_SUFFIXES = ["example.com", "example.net", "example.org"]
@@ -579,6 +580,17 @@ def stream_first_seen(spark, sf_dir):
     return spark.read.schema("user_id bigint, ts timestamp_ntz").parquet(f"{base}/out").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
 
 
+def stream_site_contacts(spark, sf_dir):
+    """The pages of all sites arrive in three parts, dealt by their addresses; the sites a part touches are mined again."""
+    _, _, pages = derived.site_tables(spark, sf_dir)
+    base, cores = scratch(spark), spark.sparkContext.defaultParallelism
+    pages.repartition(3 * cores, "url").write.parquet(f"{base}/pages")
+    arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", cores).parquet(f"{base}/pages")
+    sites = _homes(pages).select("site_key")
+    site_jobs.site_stream(arriving, sites, f"{base}/tables", f"{base}/checkpoint").awaitTermination()
+    return site_jobs.read_sites(spark, f"{base}/tables").select("site_key", "email", "phone")
+
+
 def props_json(spark, sf_dir):
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     return table(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(
@@ -595,7 +607,7 @@ def registry() -> dict[str, Query]:
         builder_contacts, markup_website, site_company_contacts, contact_page_ranking, sitemap_pages,
         common_path_probe, directory_website, frame_contacts, batch_summary, status_breakdown,
         company_batches, reprocess_merge, upsert_results, upsert_by_key, snapshot_latest,
-        stream_results, stream_first_seen, props_json, company_domain_pairs, page_suffix_labels, page_escaped_contacts,
+        stream_results, stream_first_seen, stream_site_contacts, props_json, company_domain_pairs, page_suffix_labels, page_escaped_contacts,
         page_error_counts, site_company_errors, homepage_declared, name_encodings, company_list,
     ]
     queries: dict[str, Query] = {f.__name__: f for f in named}
