@@ -394,6 +394,8 @@ SELECT kind, CAST(method_ord AS INTEGER) AS method_ord, count(*) AS n FROM (
 SELECT batch_id, status, n, round(100.0 * n / sum(n) OVER (PARTITION BY batch_id), 1) AS pct FROM (
   SELECT CAST(pos // 5000 AS INTEGER) AS batch_id, status, count(*) AS n FROM ({ORDER_RESULTS})
   GROUP BY GROUPING SETS ((1, 2), (2)))"""
+    sql["ordered_results"] = f"""
+SELECT o_orderkey, status, pos, pos AS written_pos FROM ({ORDER_RESULTS.replace('SELECT row', 'SELECT o_orderkey, row', 1)})"""
     sql["company_batches"] = """
 SELECT c_custkey, c_name AS name, pos, CAST((pos - 10) // 50 AS INTEGER) AS batch_id FROM (
   SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from orgcard.functions import contacts as C
 from orgcard.functions import html as H
@@ -14,10 +15,10 @@ from orgcard.functions import names as N
 from orgcard.functions import urls as U
 from orgcard.functions.text import let
 from orgcard.operators import discovery, extraction, matching, picking, positions, resolution, results, suffixes, summary
-from orgcard.operators.storage import shared_folder
+from orgcard.operators.storage import materialize, shared_folder
 from orgcard.plans import derived, mining
 from orgcard.plans.derived import table
-from orgcard.sources import companies, dims
+from orgcard.sources import companies, dims, versions
 from orgcard.sources import results as results_table
 from orgcard.sources.pages import fresh, latest_snapshot, spread
 from orgcard.streaming import jobs
@@ -505,6 +506,14 @@ def company_batches(spark, sf_dir):
     return positions.clean_companies(batches, "name").select("c_custkey", "name", "pos", "batch_id")
 
 
+def ordered_results(spark, sf_dir):
+    """Result rows written as a version in input order: where each row stands in its files, taken in name order."""
+    path = scratch(spark)
+    rows = order_results(spark, sf_dir).select("o_orderkey", "status", "pos")
+    versions.write_version(materialize(rows, "ordered"), path, 0, "pos", file_rows=5000)
+    return versions.in_written_order(versions.read_version(spark, path))
+
+
 def doc_result_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as result rows: first run with e-mails, second run with phones."""
     found = doc_contacts(spark, sf_dir)
@@ -568,15 +577,20 @@ def stream_results(spark, sf_dir):
 
 
 def stream_first_seen(spark, sf_dir):
-    """Events as a stream of several micro-batches in time order: each user passes once per cache period."""
+    """Events as a stream of several micro-batches in time order: each user passes once per cache period.
+
+    Each quarter of the time is written by all tasks and then taken by the stream, which goes on from its checkpoint."""
     events, base = table(spark, sf_dir, "events"), scratch(spark)
-    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    for low, high in zip([None, *cuts], [*cuts, None]):  # one file after the other: the source takes them by age
-        part = events if low is None else events.where(at > low)
-        (part if high is None else part.where(at <= high)).coalesce(1).write.mode("append").parquet(f"{base}/events")
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
-    jobs.append_stream(jobs.first_in_window(arriving, "user_id", "ts"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    cuts = events.agg(F.percentile_approx(at, [0.25, 0.5, 0.75])).first()[0] or []
+    quarter = F.coalesce(sum([(at > cut).cast("int") for cut in cuts], F.lit(0)), F.lit(0))
+    events.withColumn("quarter", quarter).write.partitionBy("quarter").parquet(f"{base}/quarters")
+    parts = spark.read.schema(StructType([*events.schema.fields, StructField("quarter", IntegerType())])).parquet(f"{base}/quarters")
+    for n in range(len(cuts) + 1):
+        parts.where(F.col("quarter") == n).drop("quarter").write.mode("append").parquet(f"{base}/events")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+        passed = jobs.first_in_window(arriving, "user_id", "ts")
+        jobs.append_stream(passed, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema("user_id bigint, ts timestamp_ntz").parquet(f"{base}/out").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
 
 
@@ -607,7 +621,7 @@ def registry() -> dict[str, Query]:
         builder_contacts, markup_website, site_company_contacts, contact_page_ranking, sitemap_pages,
         common_path_probe, directory_website, frame_contacts, batch_summary, status_breakdown,
         company_batches, reprocess_merge, upsert_results, upsert_by_key, snapshot_latest,
-        stream_results, stream_first_seen, stream_site_contacts, props_json, company_domain_pairs, page_suffix_labels, page_escaped_contacts,
+        stream_results, stream_first_seen, stream_site_contacts, ordered_results, props_json, company_domain_pairs, page_suffix_labels, page_escaped_contacts,
         page_error_counts, site_company_errors, homepage_declared, name_encodings, company_list,
     ]
     queries: dict[str, Query] = {f.__name__: f for f in named}

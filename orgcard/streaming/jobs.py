@@ -36,7 +36,8 @@ def first_in_window(arriving: DataFrame, key: str, time: str, days: int = CACHE_
     """(key, time) of the rows that pass: the first of a key, then the first that comes ``days`` after the last passed one.
 
     Micro-batches must follow each other in time; within one, rows may come in any order. The state of a key is the time
-    that passed last, dropped when the watermark shows that the period is over and any row would pass.
+    that passed last, dropped when the watermark shows that the period is over and any row would pass. Rows without a time
+    have no place in a period and do not pass; a null key is a key of its own.
     """
     period = timedelta(days=days)
 
@@ -45,11 +46,13 @@ def first_in_window(arriving: DataFrame, key: str, time: str, days: int = CACHE_
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        passed = []
-        for at in pd.concat([f[time] for f in frames]).sort_values():
-            if last is None or at - last >= period:
-                passed.append(at)
-                last = at.to_pydatetime()
+        times = pd.concat([f[time] for f in frames]).sort_values(ignore_index=True)
+        passed, at = [], 0 if last is None else times.searchsorted(pd.Timestamp(last) + period)
+        while at < len(times):  # one step for each row that passes
+            passed.append(times[at])
+            at = times.searchsorted(passed[-1] + period)
+        if passed:
+            last = passed[-1].to_pydatetime()
         state.update((last,))
         expiry = int((last + period).replace(tzinfo=timezone.utc).timestamp() * 1000)
         if expiry > state.getCurrentWatermarkMs():
@@ -57,6 +60,7 @@ def first_in_window(arriving: DataFrame, key: str, time: str, days: int = CACHE_
         if passed:
             yield pd.DataFrame({key: [keys[0]] * len(passed), time: passed})
 
+    arriving = arriving.where(F.col(time).isNotNull())
     timed = arriving.select(key, F.col(time).cast("timestamp_ntz").alias(time), F.col(time).cast("timestamp").alias("_at"))
     types = dict(timed.dtypes)
     return timed.withWatermark("_at", "0 seconds").groupBy(key).applyInPandasWithState(
