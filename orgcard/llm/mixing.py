@@ -6,8 +6,9 @@ laid end to end in seeded order and cut into blocks of equal length, about `bloc
 
 1. Seats (blocks to take) go to sources by highest quotients weight / (2 seats + 1); with very many seats that is done by
    the equivalent divisor, under which every source gets its rounded quotient.
-2. A source's seats go to its shards likewise, in proportion to their blocks; all divisors are searched together by
-   aggregations over the shard table, which never leaves the cluster.
+2. A source's seats go to its shards likewise, in proportion to their blocks and at most `most` a block; all divisors are
+   searched together by aggregations over the shard table, which never leaves the cluster, and seats that tie at the divisor
+   go by highest quotient, then by a seeded order of the shards, until all are given.
 3. In a shard every block is taken seats // blocks times and the rest are chosen by a seeded order.
 
 Only per-source totals reach the driver, at most `max_sources` (more is an error, not a cut).
@@ -20,12 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgcard.llm import common
 
-WEIGHTS, MOST, BLOCK, SHARD, SEED, MAX_SOURCES = (5, 2, 1), 3, 64, 1 << 20, 17, 1_000_000
+WEIGHTS, MOST, BLOCK, SHARD, SEED, MAX_SOURCES = (5, 2, 1), 3, 64, 1 << 20, 17, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,26 +68,49 @@ def source_key(column):
     return F.when(column.isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), column.cast("string")))
 
 
-def by_divisor(shards: DataFrame, seats: DataFrame, rounds: int = 4, grid: int = 24) -> DataFrame:
-    """Column seats for shards (source, shard, blocks) such that those of a source add up to its own, by Sainte-Laguë:
-    for every source the divisor is bracketed, and each round one aggregation tries a grid of divisors for all."""
+def by_divisor(shards: DataFrame, seats: DataFrame, most: int = MOST, seed: int = SEED, rounds: int = 8, grid: int = 24) -> DataFrame:
+    """Column seats for shards (source, shard, blocks) such that those of a source add up to its own, by Sainte-Laguë with at
+    most `most` seats a block. For every source the divisor is bracketed, and each round one aggregation tries a grid of
+    divisors for all. Seats that tie at the divisor go to the highest quotients, of equal ones by a seeded order."""
     spark = shards.sparkSession
+    n_shards = {r["source"]: r["n"] for r in shards.where("blocks > 0").groupBy("source").agg(F.count("*").alias("n")).collect()}
     table = {r["source"]: (r["seats"], r["blocks"]) for r in seats.collect()}
-    bracket = {s: (b / n * 0.5, b / n * 2.0) if n else (1e300, 1e300) for s, (n, b) in table.items()}
+    # at the low end no source gets too few seats (rounding costs a shard half a seat at most), at the high end none too many
+    bracket = {s: (b / (n + n_shards[s] / 2 + 1), 2.0 * b / n) if n else (1e300, 1e300) for s, (n, b) in table.items()}
+    rest: dict[str, int] = {}
+
+    def won(divisor):
+        return F.least(F.floor(F.col("blocks") / divisor + 0.5), F.lit(most) * F.col("blocks"))
+
     for _ in range(rounds):
-        rows = [(s, *np.linspace(lo, hi, grid).tolist()) for s, (lo, hi) in bracket.items()]
-        tried = spark.createDataFrame(rows, "source string, " + ", ".join(f"d{i} double" for i in range(grid)))
+        tries = {s: np.geomspace(lo, hi, grid).tolist() for s, (lo, hi) in bracket.items()}
+        tried = spark.createDataFrame([(s, *d) for s, d in tries.items()] or [("", *[1.0] * grid)],
+                                      "source string, " + ", ".join(f"d{i} double" for i in range(grid)))
         got = shards.join(F.broadcast(tried), "source").groupBy("source").agg(
-            *(F.sum(F.floor(F.col("blocks") / F.col(f"d{i}") + 0.5)).alias(f"d{i}") for i in range(grid))).collect()
-        tries = {r[0]: r[1:] for r in rows}
+            *(F.sum(won(F.col(f"d{i}"))).alias(f"d{i}") for i in range(grid))).collect()
         for r in got:
             s, n = r["source"], table[r["source"]][0]
             if n:
-                fits = next((i for i in range(grid) if r[f"d{i}"] <= n), grid - 1)
-                bracket[s] = (tries[s][max(0, fits - 1)], tries[s][fits])
-    chosen = spark.createDataFrame([(s, hi) for s, (_, hi) in bracket.items()] or [("", 1.0)], "source string, divisor double")
-    return shards.join(F.broadcast(chosen), "source").withColumn(
-        "seats", F.least(F.floor(F.col("blocks") / F.col("divisor") + 0.5), F.lit(MOST) * F.col("blocks"))).drop("divisor")
+                fits = next(i for i in range(grid) if r[f"d{i}"] <= n)
+                bracket[s], rest[s] = (tries[s][max(0, fits - 1)], tries[s][fits]), n - r[f"d{fits}"]
+        if not any(rest.values()):
+            break
+    ends = spark.createDataFrame([(s, lo, hi, rest.get(s, 0)) for s, (lo, hi) in bracket.items()] or [("", 1.0, 1.0, 0)],
+                                 "source string, low double, high double, rest long")
+    held = shards.join(F.broadcast(ends), "source").withColumn("seats", won(F.col("high"))).withColumn("more", won(F.col("low")) - F.col("seats"))
+    if not any(rest.values()):
+        return held.drop("low", "high", "rest", "more")
+    # ranks of the seats between both ends, by counts of quotients and parts of the seeded order, so that no task ranks a whole source
+    near = held.where("rest > 0 and more > 0").select("source", "shard", "rest", F.explode(F.transform(
+        F.sequence(F.lit(1), F.col("more")), lambda i: F.col("blocks") / (2 * (F.col("seats") + i) - 1))).alias("quotient"))
+    near = near.withColumn("own", F.xxhash64("source", "shard", F.lit(seed))).withColumn("part", F.shiftrightunsigned("own", 52))
+    group = ["source", "quotient", "part"]
+    order = Window.partitionBy("source").orderBy(F.desc("quotient"), "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = near.groupBy(*group).agg(F.count("*").alias("n")).select(*group, F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy(*group).orderBy("own", "shard"))
+    tied = near.join(before, group).withColumn("place", place).where("place <= rest").groupBy("source", "shard").agg(F.count("*").alias("tied"))
+    return held.join(tied, ["source", "shard"], "left").withColumn("seats", F.col("seats") + F.coalesce("tied", F.lit(0))).drop(
+        "low", "high", "rest", "more", "tied")
 
 
 def chosen(blocks: int, seats: int, seed: int) -> np.ndarray:
@@ -129,7 +153,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_tokens: int =
     quota = sainte_lague(worth, round(sum(worth)))
     seats = spark.createDataFrame([(s, min(q, most * blocks.get(s, 0)), blocks.get(s, 0)) for s, q in zip(names, quota)],
                                   "source string, seats long, blocks long")
-    quotas = by_divisor(shards, seats).select(F.col("source").alias("s"), F.col("shard").alias("h"), "tokens", "blocks", "seats")
+    quotas = by_divisor(shards, seats, most, seed).select(F.col("source").alias("s"), F.col("shard").alias("h"), "tokens", "blocks", "seats")
     held = dealt.join(quotas, (F.col("source") == F.col("s")) & (F.col("shard") == F.col("h"))).drop("s", "h")
     wide = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name.startswith("keep_")]
 

@@ -91,6 +91,24 @@ def test_sainte_lague(weights, seats):
     assert sorted(zip(weights, got)) == sorted(zip(weights, by_quotients(weights, seats)))
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_seats_of_shards_are_those_of_the_quotient_rule(spark, most):
+    """Ties at the divisor, many shards of one block, and limits of each shard: seats add up and are the highest quotients."""
+    cases = {}
+    for blocks in ([7] * 40, [1] * 60, [1, 1, 1, 1000, 5, 5, 5, 5, 12, 0, 12], [9]):
+        for wanted in {0, 1, 3, sum(blocks) // 7, sum(blocks) * most // 2, sum(blocks) * most - 1, sum(blocks) * most}:
+            cases[f"{len(blocks)}-{wanted}"] = (blocks, wanted)
+    shards = spark.createDataFrame([(s, i, b) for s, (blocks, _) in cases.items() for i, b in enumerate(blocks)], "source string, shard long, blocks long")
+    seats = spark.createDataFrame([(s, wanted, sum(blocks)) for s, (blocks, wanted) in cases.items()], "source string, seats long, blocks long")
+    got = {(r.source, r.shard): r.seats for r in mixing.by_divisor(shards, seats, most).collect()}
+    assert len(got) == sum(len(blocks) for blocks, _ in cases.values())
+    for s, (blocks, wanted) in cases.items():
+        won = [got[s, i] for i in range(len(blocks))]
+        highest = sorted((b / (2 * k + 1) for b in blocks for k in range(most * b)), reverse=True)[:wanted]
+        assert sum(won) == wanted, (s, won)
+        assert sorted((b / (2 * k + 1) for b, n in zip(blocks, won) for k in range(n)), reverse=True) == highest, (s, won)
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
     got = mixing.targets([10, 1000, 1000], [5, 2, 1])
@@ -123,6 +141,8 @@ def test_mix(spark):
     words = defaultdict(int)
     for r in text:
         words[r.key] += len(r.text.split())
+    six = mixing.mix(docs, most=6, weights=(1000, 1), **options).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert any(r.target == 6 * r.source_size > 0 for r in six) and all(abs(r.taken - r.target) <= max(24, 0.02 * r.target) for r in six)
     assert words == {k: n for k, n in ((r.key, sum(x.taken for x in out if x.key == r.key)) for r in out) if n}
     assert mixing.mix(documents(spark, [])).collect() == []
     with pytest.raises(ValueError):
