@@ -16,7 +16,8 @@
    t words are held, k of those are. So no window that could pass the check is missed, whatever the weights.
 5. Check: longest common subsequence of words between an item and the surroundings of a window. A document has the item
    if that is `lcs` of the item's words at least, or if it is `loose` at least and the item's answer (its last sentence)
-   is there in order, as in a paraphrase that keeps the answer.
+   is there in order, as in a paraphrase that keeps the answer. For what the latent space finds `reworded` is enough in place
+   of `loose`: there the words that carry the item's weight agree, though most of the others may have been replaced.
 
 Words are lower-cased (A-Z) and split at blanks and ASCII punctuation. The benchmark is the query set, collected and
 broadcast, `max_items` at most (more is an error).
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from orgcard.llm import common
 
 TERM_BITS, DIMENSION_BITS, PASSAGE, RANK, EXTRA = 18, 15, 64, 128, 8
-COSINE, LCS, LOOSE, MAX_ITEMS = 0.6, 0.8, 0.6, 100_000
+COSINE, LCS, LOOSE, REWORDED, MAX_ITEMS = 0.6, 0.8, 0.6, 0.4, 100_000
 TERMS, DIMENSIONS = 1 << TERM_BITS, 1 << DIMENSION_BITS
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _PLAIN = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -201,7 +203,7 @@ def windows_of(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def candidates(h: np.ndarray, first: np.ndarray, items: Items, cosine: float):
-    """(text, item, window start, window end) of likely matches."""
+    """(text, item, window start, window end, whether the latent space found it) of likely matches."""
     square = items.weights[terms_of(h)].astype(float) ** 2
     near = np.searchsorted(items.vocabulary, h)
     known = items.vocabulary[np.minimum(near, len(items.vocabulary) - 1)] == h if len(items.vocabulary) else np.zeros(len(h), bool)
@@ -219,10 +221,10 @@ def candidates(h: np.ndarray, first: np.ndarray, items: Items, cosine: float):
             v = rows_sum(items.vectors(kept[at]), np.cumsum(n) - n) / np.sqrt(length[part])[:, None].astype(np.float32)
             for k in range(0, len(members), 512):
                 row, item = np.nonzero(v @ queries[k:k + 512].T >= cosine)
-                yield from zip(own[part][row].tolist(), members[k + item].tolist(), start[part][row].tolist(), end[part][row].tolist())
+                yield from zip(own[part][row].tolist(), members[k + item].tolist(), start[part][row].tolist(), end[part][row].tolist(), repeat(True))
         low, high = surroundings(first, start, end, own)
         for row, item in overlapping(near[known], place[low], place[high], postings):
-            yield from zip(own[row].tolist(), members[item].tolist(), start[row].tolist(), end[row].tolist())
+            yield from zip(own[row].tolist(), members[item].tolist(), start[row].tolist(), end[row].tolist(), repeat(False))
 
 
 def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -262,7 +264,7 @@ def overlapping(words: np.ndarray, low: np.ndarray, high: np.ndarray, postings,
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, extra: int = EXTRA, cosine: float = COSINE,
-                lcs: float = LCS, loose: float = LOOSE, max_items: int = MAX_ITEMS, id_col: str = "doc_id",
+                lcs: float = LCS, loose: float = LOOSE, reworded: float = REWORDED, max_items: int = MAX_ITEMS, id_col: str = "doc_id",
                 text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: key, item_ids found in it, n_items, score (largest share of an item's words in common order), and
     the columns keep."""
@@ -290,19 +292,20 @@ def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, extra:
                 h, first = words_of(texts[i:j])
                 flat = h.tolist()
                 bounds = first.tolist()
-                for own, item, start, end in candidates(h, first, items, cosine):
+                for own, item, start, end, by_space in candidates(h, first, items, cosine):
                     if item in found[i + own]:
                         continue
                     words = items.words[item]
                     around = end - start >> 1
                     near = flat[max(bounds[own], start - around):min(bounds[own + 1], end + around)]
                     have = set(words)
-                    if sum(x in have for x in near) < min(lcs, loose) * len(words) - 1e-9:
+                    enough = min(reworded, loose) if by_space else loose
+                    if sum(x in have for x in near) < min(lcs, enough) * len(words) - 1e-9:
                         continue
                     share = lcs_length(words, near) / len(words)
                     score[i + own] = max(score[i + own], share)
                     answer = items.answers[item]
-                    if share >= lcs or share >= loose and len(answer) < len(words) and lcs_length(answer, near) == len(answer):
+                    if share >= lcs or share >= enough and len(answer) < len(words) and lcs_length(answer, near) == len(answer):
                         found[i + own].add(item)
             ids = [sorted(items.ids[k] for k in x if items.ids[k] is not None) for x in found]
             yield pa.RecordBatch.from_arrays(

@@ -119,3 +119,28 @@ def test_recall_of_paraphrases_that_keep_the_answer(spark):
             # no stretch that is looked at is longer than three times the item
             stretches = [words[at:at + 3 * len(item)] for at in range(0, max(1, len(words) - 2 * len(item)), 4)]
             assert any(plain_lcs(item, x) >= 0.57 * len(item) and plain_lcs(answer, x) >= len(answer) - 1 for x in stretches)
+
+
+def test_reworded_items_are_found_through_the_latent_space(spark):
+    """Items whose plain words are all replaced share under 0.6 of their words; only the latent space leads to them."""
+    import random
+    r = random.Random(21)
+    plain = [f"w{i}" for i in range(400)]
+    items = [([f"topic{k}x{j}" for j in range(12)], [f"answer{k}x{j}" for j in range(4)]) for k in range(15)]
+
+    def wording(k):
+        return " ".join(f"{word} {r.choice(plain)}" for word in items[k][0])
+
+    benchmark = spark.createDataFrame([(k, f"{wording(k)} {' '.join(r.choices(plain, k=4))}. {' '.join(items[k][1])}") for k in range(15)], "item_id long, text string")
+    rows = []
+    for i in range(150):
+        before, after = (" ".join(r.choices(plain, k=r.randrange(5, 120))) for _ in range(2))
+        rows.append((i, f"{before} {wording(i % 15)} {' '.join(r.choices(plain, k=3))} {' '.join(items[i % 15][1])} {after}"))
+    rows += [(1000 + i, " ".join(r.choices(plain, k=150))) for i in range(1500)]
+    # the topic without the answer is no copy, nor is the answer alone
+    rows += [(3000 + k, " ".join(r.choices(plain, k=40)) + " " + wording(k)) for k in range(15)] + [(4000 + k, " ".join(items[k][1])) for k in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, without = ({x.key: x.item_ids for x in decontaminate.found_items(docs, benchmark, cosine=c).collect()} for c in (decontaminate.COSINE, 2.0))
+    assert sum(got[i] == [i % 15] for i in range(150)) >= 0.9 * 150
+    assert sum(bool(without[i]) for i in range(150)) <= 0.1 * 150
+    assert all(not found for i, found in got.items() if i >= 1000)
