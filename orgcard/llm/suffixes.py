@@ -245,6 +245,17 @@ def merged(t: pa.Table, gram: int, length: int) -> pa.Table:
     return chunks.arrow(out, FACTS)
 
 
+def texts_in_order(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts of a chunk, their ids, and which of them are the first of their kind.
+
+    Spark hands a chunk over in another order each time, as blocks arrive; places in its texts are sent from one stage to a
+    later one, so they count in the order of id and text."""
+    texts, keys = common.texts_of(t["text"]), t["key"].to_numpy()
+    order = sorted(np.argsort(keys, kind="stable").tolist(), key=lambda i: (keys[i], texts[i]))
+    keys, least = keys[order], t["least"].to_numpy()[order]
+    return [texts[i] for i in order], keys, np.flatnonzero(keys == least)
+
+
 def ordered(answers: pa.Table) -> list[np.ndarray]:
     """What a chunk sent to itself: first byte and owner of its contexts in order, the first of each class, and its range."""
     for kind, data in zip(answers["kind"].to_pylist(), answers["data"].to_pylist()):
@@ -282,9 +293,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes
     by_chunk = lambda x: x.groupBy("chunk")
 
     def kept_texts(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, Anchors]:
-        """Texts, their ids, which of them are the first of their kind, and the anchors of those."""
-        texts, keys = common.texts_of(t["text"]), t["key"].to_numpy()
-        first = np.flatnonzero(keys == t["least"].to_numpy())
+        """What texts_in_order() gives, and the anchors of the first ones."""
+        texts, keys, first = texts_in_order(t)
         return texts, keys, first, Anchors([texts[i] for i in first], length, gram)
 
     def prefixes(t: pa.Table) -> pa.Table:
@@ -322,8 +332,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes
     def apply(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(t):
             return chunks.arrow([], RESULT)
-        texts, keys = common.texts_of(t["text"]), t["key"].to_numpy()
-        first = np.flatnonzero(keys == t["least"].to_numpy())
+        texts, keys, first = texts_in_order(t)
         whole = b"".join(texts[i] for i in first)
         edge = np.cumsum([0, *(len(texts[i]) for i in first)])
         starts, owners, begin, ranges = ordered(answers)

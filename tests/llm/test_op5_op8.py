@@ -112,3 +112,28 @@ def test_rows_of_one_id_are_spread_over_chunks(spark):
     rows = spark.range(4000).select(F.lit(common.NO_ID).alias("key"), F.concat(F.lit("text "), "id").alias("text"))
     got = [r["count"] for r in chunks.dealt(rows, chunks.Layout(8 * common.CHUNK)).groupBy("chunk").count().collect()]
     assert len(got) == 8 and max(got) < 800
+
+
+def test_rows_of_a_chunk_come_in_any_order(spark, monkeypatch):
+    """On several executors the blocks of a chunk arrive in another order in each stage."""
+    import numpy as np
+
+    dealt = chunks.dealt
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(np.random.RandomState().permutation(len(batch)))
+
+    def other_order(docs, layout, *cols):
+        held = dealt(docs, layout, *cols)
+        return held.mapInArrow(shuffled, held.schema)
+
+    monkeypatch.setattr(chunks, "dealt", other_order)
+    rows = corpus(4, range(60))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        out = suffixes.removed(frame(spark, rows), chunk_bytes=3000).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    got = ordered((None if r.key == substring.common.NO_ID else r.key, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out)
+    assert got == ordered(bytes_brute(rows, 50))
