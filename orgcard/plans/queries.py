@@ -432,7 +432,7 @@ def sitemap_pages(spark, sf_dir):
         "site_key", F.explode_outer("sitemaps").alias("sitemap")
     ).filter(F.col("sitemap").isNotNull())
     maps = pages.select(F.col("url").alias("sitemap"), "html")
-    listed = links.join(maps, "sitemap").select(
+    listed = links.join(maps.hint("merge"), "sitemap").select(
         "site_key", F.explode(H.sitemap_locations(F.col("html"))).alias("url")
     )
     contact = discovery.is_contact_reference(F.col("url"), F.lit(""), dims.literal_terms())
@@ -446,14 +446,15 @@ def common_path_probe(spark, sf_dir):
         "site_key", U.url_key(F.col("probe_url")).alias("url_key")
     )
     known = discovery.page_relevance(pages).select(U.url_key(F.col("url")).alias("url_key"), "relevance")
-    return guesses.join(known, "url_key").withColumn("accepted", F.col("relevance") > dims.PROBE_RELEVANCE)
+    # many rows are made of each row of the table, which the planner does not count; it would broadcast a side
+    return guesses.join(known.hint("merge"), "url_key").withColumn("accepted", F.col("relevance") > dims.PROBE_RELEVANCE)
 
 
 def directory_website(spark, sf_dir):
     companies, serp, pages = derived.site_tables(spark, sf_dir)
     best = resolution.best_hits(companies.select("company_name").distinct(), serp)
     entries = best.filter(F.col("entry").isNotNull()).select("company_name", F.col("entry").alias("url"))
-    links = pages.select("url", "html").join(entries, "url")
+    links = pages.select("url", "html").join(entries.hint("merge"), "url")
     return links.select("company_name", "url", resolution.directory_website().alias("website"))
 
 
@@ -560,7 +561,8 @@ def snapshot_latest(spark, sf_dir):
 def stream_results(spark, sf_dir):
     """Documents as a stream: each micro-batch becomes result rows in the results table."""
     schema = table(spark, sf_dir, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # as a pattern, the path may be that of a file or of a folder of files
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/{{documents}}.parquet")
     text = F.col("text")
 
     def to_results(batch: DataFrame) -> DataFrame:
