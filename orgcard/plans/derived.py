@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgcard.sources.pages import spread
+from orgcard.sources.pages import spread_rows
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -37,7 +37,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = F.concat(F.lit("2"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
     exchange = F.concat(F.lit("5"), F.substring(digits, 4, 2))
     number = F.substring(digits, 6, 4)
-    return spread(table(spark, sf_dir, "customer")).select(
+    return spread_rows(table(spark, sf_dir, "customer")).select(
         "c_custkey", "c_name", "c_acctbal", "c_mktsegment",
         F.concat(F.lit("customer"), digits).alias("label"),
         F.concat(F.lit("+1 ("), area, F.lit(") "), exchange, F.lit("-"), number).alias("phone"),

@@ -78,3 +78,13 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal rows over all cores when the input has far fewer splits than cores; else leave it alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+
+
+# Rows of a narrow table from which much is made that one task takes.
+TASK_ROWS = 10_000
+
+
+def spread_rows(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Deal rows evenly, so many to a task at most. How many splits a file has tells nothing of it: its rows may all lie in one
+    row group and so in one split. Counting reads footers only."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))

@@ -18,3 +18,24 @@ def test_documents_stream_from_a_folder_of_files(spark, tmp_path):
 def test_pages_and_links_to_them_are_not_broadcast(spark, plan, name):
     assert "BroadcastHashJoin [url" not in (text := plan(registry()[name](spark, SF_DIR))) and "SortMergeJoin" in text
     assert "BroadcastHashJoin [sitemap" not in text
+
+
+def test_rows_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
+    """A file of many splits may have all its rows in one."""
+    from pyspark.sql import functions as F
+
+    from orgcard.plans import derived
+    from orgcard.sources import pages
+
+    customer = spark.read.parquet(f"{SF_DIR}/customer.parquet")
+    customer.crossJoin(spark.range(200)).drop("id").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    n = customer.count() * 200
+    conf = {"spark.sql.files.openCostInBytes": "1k", "spark.sql.files.maxPartitionBytes": "4k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = derived.card_pages(spark, str(tmp_path), "section").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sum(r["count"] for r in rows) == n and max(r["count"] for r in rows) <= min(pages.TASK_ROWS, n // 4)
