@@ -2,14 +2,15 @@
 
 1. TF-IDF: document frequencies of hashed terms over all passages (stretches of PASSAGE words) of all documents.
    A term's weight is the square of its idf, so that words of every passage hardly count.
-2. Latent space: a randomised SVD of the matrix A of the benchmark's passages over its terms. Tasks sum G = A'(A W) for
-   a fixed Gaussian W, an array of DIMENSIONS x (rank + EXTRA) whatever the number of passages; as A'A is symmetric,
-   G (W'G)^-1 G' gives its leading eigenvectors without a second pass. The space is that of the queries: a document's
-   window keeps its product with them, and what lies outside counts in its length only.
+2. Latent space: a randomised SVD of the matrix A of passages over their terms, of the corpus (all passages of all
+   documents) and of the benchmark. Tasks sum G = A'(A W) for a fixed Gaussian W, an array of DIMENSIONS x (rank + EXTRA)
+   whatever the number of passages; as A'A is symmetric, G (W'G)^-1 G' gives its leading eigenvectors without a second
+   pass. The space has the benchmark's directions and the corpus's at right angles to them, so that frequent terms of the
+   corpus cannot push the queries out of it. What lies outside counts in a window's length only.
 3. Search: windows of a document, of about an item's length and a third of it apart, against all items of that length,
    by cosine; those of `cosine` at least are candidates. An item's cosine with itself is scaled to 1, whatever share of
-   it the space holds. A window of which too little weight is in the benchmark's words cannot reach the threshold and is
-   not multiplied.
+   it the space holds. A window of which too little weight is in the benchmark's words is not
+   multiplied.
 4. Exact candidates beside the cosine, which is blind to words that copies of the item have made frequent and to edits
    that add rare words: every window whose surroundings can hold `loose` of an item's words (each as often as the item
    has it). Of an item's n words, rarest first, all but t - k are looked up, t being `loose` of n and k half of it: where
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from orgcard.llm import common
 
-TERM_BITS, DIMENSION_BITS, PASSAGE, RANK, EXTRA = 18, 15, 64, 128, 8
+TERM_BITS, DIMENSION_BITS, PASSAGE, RANK, CORPUS_RANK, EXTRA = 18, 15, 64, 128, 16, 8
 COSINE, LCS, LOOSE, REWORDED, MAX_ITEMS = 0.6, 0.8, 0.6, 0.4, 100_000
 TERMS, DIMENSIONS = 1 << TERM_BITS, 1 << DIMENSION_BITS
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -107,7 +108,7 @@ def latent(passages: DataFrame, weights, rank: int, extra: int) -> np.ndarray:
         total, w = np.zeros((DIMENSIONS, width), np.float32), random()
         for batch in batches:
             texts = common.texts_of(batch.column("text"))
-            for i, j in common.slices(texts):
+            for i, j in common.slices(texts, common.SLICE >> 2):
                 h, first = words_of(texts[i:j])
                 starts, d = passages_of(first), dimensions_of(h)
                 if not len(d):
@@ -115,7 +116,7 @@ def latent(passages: DataFrame, weights, rank: int, extra: int) -> np.ndarray:
                 scale = weights.value[terms_of(h)][:, None]
                 y = rows_sum(w[d] * scale, starts)
                 own = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(d)))
-                order = np.argsort(d, kind="stable")
+                order = np.argsort(d.astype(np.uint16), kind="stable")  # a radix sort
                 at = np.flatnonzero(np.diff(d[order], prepend=-1))
                 total[d[order[at]]] += rows_sum((y[own] * scale)[order], at)
         yield common.array_parts(total)
@@ -135,6 +136,15 @@ def latent(passages: DataFrame, weights, rank: int, extra: int) -> np.ndarray:
     return out
 
 
+def fitted(docs: DataFrame, benchmark: DataFrame, weights, rank: int, corpus_rank: int, extra: int) -> np.ndarray:
+    """Latent space of the column text of both: the benchmark's directions, then those of the corpus at right angles to them."""
+    own, corpus = latent(benchmark, weights, rank, extra), latent(docs, weights, corpus_rank, extra)
+    for _ in range(2):
+        corpus = corpus - own @ (own.T @ corpus)
+    u, s, _ = np.linalg.svd(corpus, full_matrices=False)
+    return np.concatenate([own, u[:, s > 1e-2]], axis=1).astype(np.float32)
+
+
 def lcs_length(a: list[int], b: list[int]) -> int:
     """Longest common subsequence, one bit for each entry of a."""
     where: dict[int, int] = {}
@@ -208,17 +218,15 @@ def candidates(h: np.ndarray, first: np.ndarray, items: Items, cosine: float):
     near = np.searchsorted(items.vocabulary, h)
     known = items.vocabulary[np.minimum(near, len(items.vocabulary) - 1)] == h if len(items.vocabulary) else np.zeros(len(h), bool)
     whole, shared = (np.concatenate([[0.0], np.cumsum(x)]) for x in (square, square * known))
-    place, kept = np.concatenate([[0], np.cumsum(known)]), h[known]
+    place = np.concatenate([[0], np.cumsum(known)])
     for width, members, queries, postings in items.groups:
         start, end, own = windows_of(first, width)
         length = whole[end] - whole[start]
         likely = np.flatnonzero((shared[end] - shared[start] >= (0.9 * cosine) ** 2 * length) & (place[end] > place[start]) & (length > 0))
         for i in range(0, len(likely), 1 << 12):
             part = likely[i:i + (1 << 12)]
-            a, b = place[start[part]], place[end[part]]
-            n = b - a
-            at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            v = rows_sum(items.vectors(kept[at]), np.cumsum(n) - n) / np.sqrt(length[part])[:, None].astype(np.float32)
+            n = end[part] - start[part]
+            v = rows_sum(items.vectors(h[spread(start[part], n)]), np.cumsum(n) - n) / np.sqrt(length[part])[:, None].astype(np.float32)
             for k in range(0, len(members), 512):
                 row, item = np.nonzero(v @ queries[k:k + 512].T >= cosine)
                 yield from zip(own[part][row].tolist(), members[k + item].tolist(), start[part][row].tolist(), end[part][row].tolist(), repeat(True))
@@ -263,8 +271,8 @@ def overlapping(words: np.ndarray, low: np.ndarray, high: np.ndarray, postings,
         yield rows[row], item
 
 
-def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, extra: int = EXTRA, cosine: float = COSINE,
-                lcs: float = LCS, loose: float = LOOSE, reworded: float = REWORDED, max_items: int = MAX_ITEMS, id_col: str = "doc_id",
+def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, corpus_rank: int = CORPUS_RANK,
+                extra: int = EXTRA, cosine: float = COSINE, lcs: float = LCS, loose: float = LOOSE, reworded: float = REWORDED, max_items: int = MAX_ITEMS, id_col: str = "doc_id",
                 text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: key, item_ids found in it, n_items, score (largest share of an item's words in common order), and
     the columns keep."""
@@ -277,7 +285,8 @@ def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, extra:
     rows = sorted((r["i"] is None, r["i"] or 0, bytes(r["t"] or b"")) for r in rows)
     df, n = frequencies(docs)
     weights = (np.log((n + 1) / (df + 1)) ** 2).astype(np.float32)
-    space = latent(benchmark.select(F.col(item_text).cast("string").cast("binary").alias("text")), sc.broadcast(weights), rank, extra)
+    queries = benchmark.select(F.col(item_text).cast("string").cast("binary").alias("text"))
+    space = fitted(docs.select("text"), queries, sc.broadcast(weights), rank, corpus_rank, extra)
     held = sc.broadcast(Items([None if none else i for none, i, _ in rows], [t for *_, t in rows], space, weights, min(lcs, loose)))
     wide = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name.startswith("keep_")]
 

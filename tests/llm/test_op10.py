@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from orgcard.llm import common, decontaminate
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -144,3 +146,18 @@ def test_reworded_items_are_found_through_the_latent_space(spark):
     assert sum(got[i] == [i % 15] for i in range(150)) >= 0.9 * 150
     assert sum(bool(without[i]) for i in range(150)) <= 0.1 * 150
     assert all(not found for i, found in got.items() if i >= 1000)
+
+
+def test_latent_space_is_fitted_to_the_corpus_too(spark):
+    """What the documents are about, in words that no item has, has directions of its own in the space."""
+    import numpy as np
+    topics = [[f"topic{k}x{j}" for j in range(20)] for k in range(3)]
+    docs = spark.createDataFrame([(i, " ".join(topics[i % 3])) for i in range(300)], "doc_id long, text string").withColumn("text", F.col("text").cast("binary"))
+    benchmark = spark.createDataFrame([(f"item{i} " * 3 + f"other{i}",) for i in range(5)], "text string").withColumn("text", F.col("text").cast("binary"))
+    weights = spark.sparkContext.broadcast(np.ones(decontaminate.TERMS, np.float32))
+    space = decontaminate.fitted(docs.select("text"), benchmark, weights, 128, 16, 8)
+    assert np.allclose(space.T @ space, np.diag(np.diag(space.T @ space)), atol=1e-3)
+    for words in [*topics, ["item1", "item1", "item1", "other1"]]:
+        v = np.zeros(decontaminate.DIMENSIONS)
+        np.add.at(v, decontaminate.dimensions_of(decontaminate.words_of([" ".join(words).encode()])[0]), 1)
+        assert np.linalg.norm(v @ space) > 0.95 * np.linalg.norm(v)
