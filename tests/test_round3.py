@@ -39,3 +39,17 @@ def test_rows_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
         for k in conf:
             spark.conf.unset(k)
     assert sum(r["count"] for r in rows) == n and max(r["count"] for r in rows) <= min(pages.TASK_ROWS, n // 4)
+
+
+def test_trees_are_handed_back_a_few_pages_at_a_time():
+    """A worker is given 10,000 pages at a time; their trees are many times as large."""
+    import pyarrow as pa
+
+    from orgcard.functions import tree as T
+
+    html = ["<p>a<b>c</b></p>", None, "<![broken[ x ]]>", ""] * 300
+    parts = list(T._shred.func(iter([pa.array(html[:1100]), pa.array(html[1100:]), pa.array([], pa.string())])))
+    rows = pa.concat_arrays(parts).to_pylist()
+    assert max(map(len, parts)) <= T.PAGES and len(rows) == len(html)
+    assert [r["error"] is not None for r in rows[:4]] == [False, False, True, False] and rows[1]["nodes"] is None
+    assert [n["tag"] for n in rows[-4]["nodes"]] == ["p", "#text", "b", "#text"]
