@@ -66,6 +66,13 @@ def passages_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(first[:-1], n) + step * PASSAGE
 
 
+def scaled(rows: np.ndarray, at: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """rows[at] * scale without a second copy."""
+    out = rows.take(at, 0)
+    out *= scale
+    return out
+
+
 def rows_sum(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0) if len(starts) else np.zeros((0, values.shape[1]), values.dtype)
 
@@ -114,11 +121,12 @@ def latent(passages: DataFrame, weights, rank: int, extra: int) -> np.ndarray:
                 if not len(d):
                     continue
                 scale = weights.value[terms_of(h)][:, None]
-                y = rows_sum(w[d] * scale, starts)
+                y = rows_sum(scaled(w, d, scale), starts)
                 own = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(d)))
                 order = np.argsort(d.astype(np.uint16), kind="stable")  # a radix sort
-                at = np.flatnonzero(np.diff(d[order], prepend=-1))
-                total[d[order[at]]] += rows_sum((y[own] * scale)[order], at)
+                d = d[order]
+                at = np.flatnonzero(np.diff(d, prepend=-1))
+                total[d[at]] += rows_sum(scaled(y, own[order], scale[order]), at)
         yield common.array_parts(total)
 
     g = common.summed(passages.mapInArrow(product, common.PARTS), np.float32, (DIMENSIONS, width)).astype(float)
@@ -165,6 +173,8 @@ class Items:
         self.space, self.weights = space, weights
         h, first = words_of(texts)
         self.vocabulary = np.unique(h)
+        self.may_know = np.zeros(TERMS, bool)
+        self.may_know[terms_of(self.vocabulary)] = True
         self.words, self.answers, self.ids, groups = [], [], [], {}
         for key, text, i, j in zip(ids, texts, first[:-1].tolist(), first[1:].tolist()):
             if i == j:
@@ -185,21 +195,38 @@ class Items:
             length = np.array([np.sqrt((weights[terms_of(x)] ** 2).sum()) for x in own])
             self.groups.append((n, np.array(members), (v * (length / held)[:, None]).astype(np.float32), self.postings(own, least)))
 
-    def postings(self, own: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are in the vocabulary, and the places there of those that are."""
+        likely = np.flatnonzero(self.may_know[terms_of(hashes)])
+        near = np.searchsorted(self.vocabulary, hashes[likely])
+        found = self.vocabulary[np.minimum(near, len(self.vocabulary) - 1)] == hashes[likely] if len(self.vocabulary) else np.zeros(0, bool)
+        known = np.zeros(len(hashes), bool)
+        known[likely[found]] = True
+        return known, near[found]
+
+    def postings(self, own: list[np.ndarray], least: float) -> tuple[np.ndarray, ...]:
         """Where the entries of each word of the vocabulary begin; of each entry the item and how often it has the word
-        among those looked up; of each item how many of those a match holds at least."""
+        among those looked up; of each item how many of those a match holds at least; and bounds (how often an item has the
+        word among its rarest, how many of those a match holds): all but k - m of an item's words looked up hold m of any k."""
         rows, needed = [], []
+        bounds = [(np.zeros(len(self.vocabulary), np.int64), []) for _ in range(2)]
         for m, x in enumerate(own):
             t = max(1, math.ceil(least * len(x) - 1e-9))
             k = (t + 1) // 2
             looked_up = x[np.lexsort((x, -self.weights[terms_of(x)]))][:len(x) - t + k]
-            rows += [(at, m, times) for at, times in Counter(np.searchsorted(self.vocabulary, looked_up).tolist()).items()]
+            looked_up = np.searchsorted(self.vocabulary, looked_up)
+            rows += [(at, m, times) for at, times in Counter(looked_up.tolist()).items()]
             needed.append(k)
+            for (most, least_held), held in zip(bounds, (1, (k + 1) // 2)):
+                at, times = np.unique(looked_up[:len(looked_up) - k + held], return_counts=True)
+                most[at] = np.maximum(most[at], times)
+                least_held.append(held)
         word, item, times = np.array(sorted(rows), np.int64).T
-        return np.searchsorted(word, np.arange(len(self.vocabulary) + 1)), item, times, np.array(needed)
+        bounds = [(most, min(least_held)) for most, least_held in bounds]
+        return np.searchsorted(word, np.arange(len(self.vocabulary) + 1)), item, times, np.array(needed), bounds
 
     def vectors(self, hashes: np.ndarray) -> np.ndarray:
-        return self.space[dimensions_of(hashes)] * self.weights[terms_of(hashes)][:, None]
+        return scaled(self.space, dimensions_of(hashes), self.weights[terms_of(hashes)][:, None])
 
 
 def windows_of(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,8 +242,7 @@ def windows_of(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, n
 def candidates(h: np.ndarray, first: np.ndarray, items: Items, cosine: float):
     """(text, item, window start, window end, whether the latent space found it) of likely matches."""
     square = items.weights[terms_of(h)].astype(float) ** 2
-    near = np.searchsorted(items.vocabulary, h)
-    known = items.vocabulary[np.minimum(near, len(items.vocabulary) - 1)] == h if len(items.vocabulary) else np.zeros(len(h), bool)
+    known, near = items.known(h)
     whole, shared = (np.concatenate([[0.0], np.cumsum(x)]) for x in (square, square * known))
     place = np.concatenate([[0], np.cumsum(known)])
     for width, members, queries, postings in items.groups:
@@ -231,7 +257,7 @@ def candidates(h: np.ndarray, first: np.ndarray, items: Items, cosine: float):
                 row, item = np.nonzero(v @ queries[k:k + 512].T >= cosine)
                 yield from zip(own[part][row].tolist(), members[k + item].tolist(), start[part][row].tolist(), end[part][row].tolist(), repeat(True))
         low, high = surroundings(first, start, end, own)
-        for row, item in overlapping(near[known], place[low], place[high], postings):
+        for row, item in overlapping(near, place[low], place[high], postings):
             yield from zip(own[row].tolist(), members[item].tolist(), start[row].tolist(), end[row].tolist(), repeat(False))
 
 
@@ -249,12 +275,15 @@ def surroundings(first: np.ndarray, start: np.ndarray, end: np.ndarray, own: np.
 def overlapping(words: np.ndarray, low: np.ndarray, high: np.ndarray, postings, most: int = 1 << 20):
     """(stretch, item) arrays: all stretches low to high of words (places in the vocabulary) that hold as many of an
     item's looked up words as a match needs; a word that the stretch has counts as often as the item has it."""
-    begin, item_of, times, needed = postings
+    begin, item_of, times, needed, bounds = postings
+    held = [(np.concatenate([[0], np.cumsum(often[words])]), least) for often, least in bounds]
+    few = np.flatnonzero(np.logical_and.reduce([total[high] - total[low] >= least for total, least in held]))
+    low, high = low[few], high[few]
     fan = np.diff(begin)[words]
     place = np.concatenate([[0], np.cumsum(fan > 0)])
     words, a, b = words[fan > 0], place[low], place[high]
     fan = fan[fan > 0]
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words.astype(np.uint16) if len(begin) <= 1 << 16 else words, kind="stable")  # a radix sort
     before = np.full(len(words), -1)
     before[order[1:]] = np.where(words[order[1:]] == words[order[:-1]], order[:-1], -1)
     likely = np.flatnonzero(b - a >= needed.min())
@@ -268,7 +297,7 @@ def overlapping(words: np.ndarray, low: np.ndarray, high: np.ndarray, postings,
         entry = spread(begin[words[at]], fan[at])
         total = np.bincount(np.repeat(row, fan[at]) * len(needed) + item_of[entry], times[entry], len(rows) * len(needed))
         row, item = np.nonzero(total.reshape(len(rows), -1) >= needed)
-        yield rows[row], item
+        yield few[rows[row]], item
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, corpus_rank: int = CORPUS_RANK,

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from orgcard.llm import common, decontaminate
@@ -161,3 +162,31 @@ def test_latent_space_is_fitted_to_the_corpus_too(spark):
         v = np.zeros(decontaminate.DIMENSIONS)
         np.add.at(v, decontaminate.dimensions_of(decontaminate.words_of([" ".join(words).encode()])[0]), 1)
         assert np.linalg.norm(v @ space) > 0.95 * np.linalg.norm(v)
+
+
+def test_stretches_without_rare_words_are_dropped_before_words_are_counted():
+    """Few stretches of common words reach the count, and all that hold what a match needs come out of it."""
+    random = np.random.RandomState(5)
+    common_words, rare = [f"w{i}" for i in range(30)], [f"r{i}" for i in range(400)]
+    texts = [" ".join([*(common_words[(10 * k + i) % 30] for i in range(10)), *random.choice(rare, 8)]).encode() for k in range(12)]
+    weights = np.ones(decontaminate.TERMS, np.float32)
+    weights[decontaminate.terms_of(decontaminate.words_of([" ".join(common_words).encode()])[0])] = 0.01
+    items = decontaminate.Items(list(range(12)), texts, np.zeros((decontaminate.DIMENSIONS, 4), np.float32), weights, 0.6)
+    plain = [" ".join(random.choice(common_words, 18)).encode() for _ in range(200)]
+    h, first = decontaminate.words_of([*plain, *texts])
+    known, words = items.known(h)
+    assert known.all() and np.array_equal(items.vocabulary[words], h)
+    (_, members, _, postings), = items.groups
+    begin, item_of, times, needed, bounds = postings
+    seen = []
+    for text, (i, j) in enumerate(zip(first[:-1], first[1:])):
+        own = set(words[i:j].tolist())
+        total = np.zeros(len(needed), int)
+        for w in own:
+            np.add.at(total, item_of[begin[w]:begin[w + 1]], times[begin[w]:begin[w + 1]])
+        looked_up = int((np.diff(begin)[words[i:j]] > 0).sum())
+        seen += [(text, m) for m in np.flatnonzero(total >= needed) if looked_up >= needed.min()]
+    found = [(int(r), int(m)) for row, item in decontaminate.overlapping(words, first[:-1], first[1:], postings) for r, m in zip(row, item)]
+    assert sorted(found) == sorted(seen) and {(200 + k, k) for k in range(12)} <= set(found)
+    passed = np.logical_and.reduce([np.add.reduceat(often[words], first[:-1]) >= least for often, least in bounds])
+    assert passed[200:].all() and passed[:200].sum() < 20
