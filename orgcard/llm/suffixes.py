@@ -121,9 +121,10 @@ def decoded(prefixes: bytes, lengths: bytes, rest: bytes) -> tuple[list[bytes],
 
 def differ_at(x: bytes, y: bytes, n: int) -> int:
     """Common prefix length of two strings that share their first n bytes."""
-    while (a := x[n:n + 32]) == (b := y[n:n + 32]) and len(a) == 32:
-        n += 32
-    end = min(len(a), len(b))
+    width = 8  # most differ soon
+    while (a := x[n:n + width]) == (b := y[n:n + width]) and len(a) == width:
+        n, width = n + width, 32
+    end = len(a) if len(a) < len(b) else len(b)
     unlike = int.from_bytes(a[:end], "big") ^ int.from_bytes(b[:end], "big")
     return n + end - (unlike.bit_length() + 7 >> 3)
 
@@ -172,12 +173,28 @@ class LoserTree:
                 head[run], n = strings[at[run]], lcp[at[run]]
             else:
                 head[run], n = None, 0
-            node = (run + size) >> 1
-            while node:
-                (run, n), lose[node] = self._match(run, n, *lose[node])
+            node, x = (run + size) >> 1, head[run]
+            while node:  # as in _match; a run that has ended has a prefix of 0
+                b, m = lose[node]
+                if n < m:
+                    lose[node], run, n, x = (run, n), b, m, head[b]
+                elif n == m and (y := head[b]) is not None:
+                    if x is None:
+                        lose[node], run, x = (run, 0), b, y
+                    else:
+                        p = differ_at(x, y, n)
+                        if p == len(x) or p < len(y) and x[p] < y[p]:
+                            lose[node] = (b, p)
+                        else:
+                            lose[node], run, x = (run, p), b, y
                 node >>= 1
 
 
+def class_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where one of the keys differs from the one before it."""
+    return np.logical_or.reduce([np.concatenate([[True], key[1:] != key[:-1]]) for key in keys])
+
+
 def matches(strings: list[bytes], right: np.ndarray, ids: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """For each string of length bytes in some contexts: entry, offset of its start from the context's, least id among
     equal strings at the same anchor of the group."""
@@ -193,9 +210,14 @@ def matches(strings: list[bytes], right: np.ndarray, ids: np.ndarray, group: np.
     at = begin[entry] + offset
     one = common.span_hash(common.byte_sums(buf, 1), at, at + length)
     two = common.span_hash(common.byte_sums(buf, 2), at, at + length) ^ common.mix((left[entry] - offset).astype(np.uint64) + common.mix(group[entry].astype(np.uint64)))
-    order = np.lexsort((two, one))
-    a, b = one[order], two[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    # the order of the classes does not matter: one number for both hashes is sorted, unless different pairs share one
+    mixed = one + common.mix(two)
+    order = np.argsort(mixed)
+    new = class_starts(one[order], two[order])
+    if np.count_nonzero(new) != np.count_nonzero(class_starts(mixed[order])):
+        order = np.lexsort((two, one))
+        new = class_starts(one[order], two[order])
+    first = np.flatnonzero(new)
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(ids[entry][order], first), np.diff(first, append=len(order)))
     return entry, offset, least

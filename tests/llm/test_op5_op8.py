@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from orgcard.llm import chunks, substring, suffixes
@@ -137,3 +138,25 @@ def test_rows_of_a_chunk_come_in_any_order(spark, monkeypatch):
         spark.conf.unset("spark.sql.exchange.reuse")
     got = ordered((None if r.key == substring.common.NO_ID else r.key, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out)
     assert got == ordered(bytes_brute(rows, 50))
+
+
+def test_matches_keep_classes_apart_whose_mixed_hashes_are_equal(monkeypatch):
+    """The classes are those of both hashes, by the one sort and by the other that is left for mixed hashes which collide."""
+    r = random.Random(9)
+    strings = [bytes(r.choice(b"ab") for _ in range(r.randrange(4, 12))) for _ in range(300)]
+    right = np.array([r.randrange(0, len(x)) for x in strings])
+    ids, group = np.arange(300)[::-1].copy(), np.repeat(np.arange(6), 50)
+    least, seen = {}, []
+    for i, (x, n) in enumerate(zip(strings, right.tolist())):
+        text = x[n:][::-1] + x[:n]
+        for offset in range(len(text) - 3):
+            key = (text[offset:offset + 4], len(x) - n - offset, int(group[i]))
+            seen.append((i, offset, key))
+            least[key] = min(least.get(key, 999), int(ids[i]))
+    expected = [(i, offset, least[key]) for i, offset, key in seen]
+    starts, widths = suffixes.class_starts, []
+    monkeypatch.setattr(suffixes, "class_starts", lambda *keys: widths.append(len(keys)) or starts(*keys))
+    found = lambda: [tuple(map(int, row)) for row in zip(*suffixes.matches(strings, right, ids, group, 4))]
+    assert found() == expected and widths == [2, 1]
+    monkeypatch.setattr(suffixes, "class_starts", lambda *keys: widths.append(len(keys)) or (starts(*keys) if len(keys) == 2 else starts(keys[0] >> np.uint64(63))))
+    assert found() == expected and widths[2:] == [2, 1, 2]
