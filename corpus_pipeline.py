@@ -21,6 +21,7 @@ from orgcard.llm import common, decontaminate, jaccard, langid, mixing, packing
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 FEW = 200_000  # ids that have several texts, for a broadcast
 ROWS = 2000  # with whole texts that go to a Python worker at a time
+NEAR_ROWS = 4000  # the same for near copies, whose runs of keys are shorter the fewer rows they are made of
 LEAST_SCORE = 0.5  # of a prediction; below it no language is more likely than all others together
 
 
@@ -50,7 +51,7 @@ def with_vertex(docs: DataFrame) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component of near copies; documents without a link stay."""
     common.ship(spark)
-    common.hand_over(spark)
+    common.hand_over(spark, NEAR_ROWS)
     docs = with_vertex(docs.select(*COLUMNS))
     place = jaccard.joined(docs, gram=5, percent=80, id_col="key").where("key = component_id").select("key").distinct()
     first = F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("row")  # of equal texts under one id

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 import zipfile
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -55,19 +57,39 @@ def trim_heap():
 
 
 _caches: dict[str, dict] = {}
+_given_back = [0.0]
+
+
+def give_back():
+    """Gives what a worker has freed back to the system, in Arrow's pool and in the heap."""
+    pa.default_memory_pool().release_unused()
+    trim_heap()
+    _given_back[0] = time.monotonic()
 
 
 def cache(owner: str) -> dict:
     """What a worker keeps of one operator from task to task. Workers are used again by later stages, so what they keep of
-    other operators is dropped first."""
-    if other := [name for name in _caches if name != owner]:
-        for name in other:
-            del _caches[name]
-        pa.default_memory_pool().release_unused()
-        trim_heap()
+    other operators is dropped first. What groups have freed is given back every second or so."""
+    other = [name for name in _caches if name != owner]
+    for name in other:
+        del _caches[name]
+    if other or time.monotonic() > _given_back[0] + 1:
+        give_back()
     return _caches.setdefault(owner, {})
 
 
+def lean(function):
+    """For functions over the record batches of a task: at its end freed memory is given back, as Spark keeps the worker, idle or
+    for other tasks."""
+
+    @wraps(function)
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n at least."""
     if len(_powers.get("up", ())) < n:

@@ -80,6 +80,7 @@ def rows_sum(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Passages with each term, and passages in all."""
 
+    @common.lean
     def count(batches):
         common.cache("decontaminate")
         total = np.zeros(TERMS + 1, np.int64)
@@ -110,6 +111,7 @@ def latent(passages: DataFrame, weights, rank: int, extra: int) -> np.ndarray:
     def random():
         return np.random.RandomState(7).standard_normal((DIMENSIONS, width)).astype(np.float32)
 
+    @common.lean
     def product(batches):
         common.cache("decontaminate")
         total, w = np.zeros((DIMENSIONS, width), np.float32), random()
@@ -319,6 +321,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, corpus_
     held = sc.broadcast(Items([None if none else i for none, i, _ in rows], [t for *_, t in rows], space, weights, min(lcs, loose)))
     wide = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name.startswith("keep_")]
 
+    @common.lean
     def search(batches):
         common.cache("decontaminate")
         items = held.value

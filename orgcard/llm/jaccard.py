@@ -74,6 +74,7 @@ def least_common(n: np.ndarray, percent: int) -> np.ndarray:
 def sizes_and_counts(docs: DataFrame, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """How often each cell's shingles occur, and the number of sets by size (LARGEST and more together)."""
 
+    @common.lean
     def count(batches):
         common.cache("jaccard")
         total = np.zeros((1 << CELL_BITS) + LARGEST + 1, np.int64)
@@ -125,6 +126,7 @@ def set_rows(docs: DataFrame, counts, boundary: int, gram: int, percent: int, ra
     def marks(head: np.ndarray) -> bytes:
         return np.sort(head.astype(np.uint16)).tobytes()  # the lower bits of each hash
 
+    @common.lean
     def make(batches):
         common.cache("jaccard")
         for batch in batches:
@@ -284,6 +286,7 @@ def asked_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the documents (key, text) with the given ids. A filter of fixed size, a cell for each hash, keeps
     most other texts out of the exchange; it lets some through, the join none."""
 
+    @common.lean
     def marks(batches):
         common.cache("jaccard")
         total = np.zeros(FILTER, np.uint32)
@@ -293,6 +296,7 @@ def asked_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     seen = docs.sparkSession.sparkContext.broadcast(np.packbits(common.summed(ids.mapInArrow(marks, common.PARTS), np.uint32, (FILTER,)) > 0))
 
+    @common.lean
     def likely(batches):
         common.cache("jaccard")
         cells = seen.value

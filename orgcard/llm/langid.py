@@ -240,6 +240,7 @@ def identified(docs: DataFrame, model_path: str = MODEL, docs_a_language: int =
     seen = docs.select("key", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
                        F.col("text").cast("binary").alias("text"), *(f for f, _ in wide))
 
+    @common.lean
     def predict(batches):
         names, p = model.value
         trie, held = trie_of(pieces.value), common.cache("langid")
@@ -251,7 +252,7 @@ def identified(docs: DataFrame, model_path: str = MODEL, docs_a_language: int =
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             if names:
-                for i, j in common.slices(texts, 2 * common.SLICE):
+                for i, j in common.slices(texts, common.SLICE >> 1):
                     logs = scorer.score(texts[i:j])
                     best[i:j] = logs.argmax(1)
                     score[i:j] = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)

@@ -171,12 +171,13 @@ def packed(docs: DataFrame, length: int = LENGTH, batch_tokens: int = BATCH, ran
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     docs = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
+    @common.lean
     def pack(batches):
         e = encoder(ranks.value)
         pieces, held = [], 0
         for batch in common.small(batches):
             keys, texts = batch.column("key").to_pylist(), common.texts_of(batch.column("text"))
-            for i, j in common.slices(texts, 2 * common.SLICE):
+            for i, j in common.slices(texts, common.SLICE >> 1):
                 ids, begin = e.ids(texts[i:j])
                 for key, a, b in zip(keys[i:j], begin.tolist(), begin[1:].tolist()):
                     pieces += [(key, at - a, ids[at:min(at + length, b)]) for at in range(a, b, length)]

@@ -4,6 +4,7 @@ import base64
 import os
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from orgcard.llm import common, decontaminate, packing
@@ -108,3 +109,45 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark):
         again = corpus_pipeline.with_vertex(docs).select("key").distinct().count()
         corpus_pipeline.FEW = before
         assert again == len(set(rows))
+
+
+def test_tokens_are_made_of_small_slices(monkeypatch):
+    seen, ids = [], packing.Encoder.ids
+
+    class Docs:  # takes the task's function, as a session would
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda x: type("B", (), {"value": x}))})})
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            return function
+
+    class Any:
+        def __getattr__(self, _):
+            return lambda *a, **k: self
+
+    monkeypatch.setattr(packing, "F", Any())
+    monkeypatch.setattr(packing.Encoder, "ids", lambda self, texts: seen.append(sum(map(len, texts))) or ids(self, texts))
+    texts = [f"{i} some words of a text ".encode() * 400 for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(400), pa.int64()), "text": pa.array(texts, pa.binary())})
+    rows = [r for out in packing.packed(Docs())([batch]) for r in out.to_pylist()]
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= common.SLICE >> 1
+    assert sorted({k for r in rows for k in r["doc_ids"]}) == list(range(400))
+
+
+def test_a_task_gives_back_what_it_freed():
+    calls, before = [], common.trim_heap
+    common.trim_heap = lambda: calls.append(1)
+    try:
+        run = common.lean(lambda batches: (x + 1 for x in batches))
+        assert list(run(iter([1, 2]))) == [2, 3] and calls == [1]
+    finally:
+        common.trim_heap = before
+
+
+def test_near_copies_are_handed_over_in_small_batches(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.deduplicate(spark, docs, SF).count() == 1
+    assert int(spark.conf.get(common.BATCH_ROWS)) == corpus_pipeline.NEAR_ROWS
+    common.hand_over(spark)
