@@ -171,7 +171,9 @@ def attribute(tag: Column, name: str) -> Column:
 
 def anchors(html: Column, ends: bool = False) -> Column:
     """Anchors with a reference: array of (href, text) in document order; ``ends`` adds whether an end tag closes it."""
-    markup = extract_all(tagged(without_invisible(html)), ANCHOR)
+    bare = let(without_invisible(html), tagged)
+    # what is left out may part the name of an anchor from its attributes
+    markup = F.when(~html.rlike(r"(?i)<a[\s<]"), F.array().cast("array<string>")).otherwise(extract_all(bare, ANCHOR))
 
     def of(a: Column) -> Column:
         text = strip(decode_entities(F.regexp_replace(a, TAG, " ")))
@@ -273,25 +275,34 @@ def _has_class(markup: Column, tags: str, words: str) -> Column:
     return markup.rlike(rf"""(?is)<(?:{tags})\b[^>]*?\sclass\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)(?:{words})""")
 
 
-def relevance_tests(html: Column, text: Column) -> dict[str, Column]:
-    """The seven presence tests; ``text`` is the visible text of the page."""
-    markup = without_invisible(html)
+def _class_tests(markup: Column) -> dict[str, Column]:
     return {
         "section": _has_class(markup, "div|section", SECTION_WORDS),
         "form": _has_class(markup, "form", FORM_WORDS),
-        "place": text.rlike(PLACE_WORDS),
         "social": _has_class(markup, "div|ul", SOCIAL_WORDS),
+        "map": _has_class(markup, "iframe|div", MAP_WORDS),
+    }
+
+
+def _text_tests(text: Column) -> dict[str, Column]:
+    return {
+        "place": text.rlike(PLACE_WORDS),
         "email": first_email(text).isNotNull(),
         "phone": first_phone_raw(text).isNotNull(),
-        "map": _has_class(markup, "iframe|div", MAP_WORDS),
     }
 
 
+def relevance_tests(html: Column, text: Column) -> dict[str, Column]:
+    """The seven presence tests; ``text`` is the visible text of the page."""
+    return _class_tests(without_invisible(html)) | _text_tests(text)
+
+
+def _weight(tests: dict[str, Column]) -> Column:
+    return sum((F.when(test, RELEVANCE_WEIGHTS[name]).otherwise(0.0) for name, test in tests.items()), F.lit(0.0))
+
+
 def relevance(html: Column, text: Column) -> Column:
-    """How likely a page holds contact data, 0..1."""
-    tests = relevance_tests(html, text)
-    total = sum(
-        (F.when(test, RELEVANCE_WEIGHTS[name]).otherwise(0.0) for name, test in tests.items()),
-        F.lit(0.0),
-    )
-    return total / RELEVANCE_MAX
+    """How likely a page holds contact data, 0..1. The weights are halves, so their sum is exact in any order; markup is bared
+    once for all class tests, and only where a class may occur."""
+    classes = F.when(html.rlike("(?i)class"), let(without_invisible(html), lambda m: _weight(_class_tests(m)))).otherwise(0.0)
+    return (classes + _weight(_text_tests(text))) / RELEVANCE_MAX

@@ -59,12 +59,13 @@ def url_key(url: Column) -> Column:
 
 def is_valid_url(url: Column, directories: list[str] | None = None) -> Column:
     """http(s) with a dotted host that is no social network (nor, on request, a directory)."""
-    return let(url, lambda u: _is_valid(u, authority(u), directories))
+    parts = lambda u: F.struct(scheme(u).alias("scheme"), authority(u).alias("net"))
+    return let(let(url, parts), lambda u: _is_valid(u["scheme"], u["net"], directories))
 
 
-def _is_valid(url: Column, net: Column, directories: list[str] | None) -> Column:
+def _is_valid(scheme_: Column, net: Column, directories: list[str] | None) -> Column:
     ok = (
-        F.coalesce(scheme(url).isin("http", "https"), F.lit(False))
+        F.coalesce(scheme_.isin("http", "https"), F.lit(False))
         & F.coalesce(F.length(net) > 3, F.lit(False))
         & F.coalesce(F.contains(net, F.lit(".")), F.lit(False))
         & F.coalesce(~contains_any(net, SOCIAL_HOSTS), F.lit(False))
